@@ -31,7 +31,7 @@ from featlens.llm.storage import sampled
 
 TABLE = text.byte_table(text.SPACE + b"!\"#$%&'()*+,./:;<=>?@[\\]^`{|}~")
 #: Labelled documents that the fit reads at most, as an expected number.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 #: Tokens that the field is fitted on at most.
 FIT_TOKENS = 250_000
 
@@ -140,14 +140,16 @@ def learn(docs: list[np.ndarray], labels: np.ndarray) -> Model:
     v = len(look.known) + 1
     (own, prev, nxt), trans, start = chain.fit([ids, before, after], [v] * 3, tags, first, 2)
     model = Model(look.known, own[:, 1] - own[:, 0], prev[:, 1] - prev[:, 0], nxt[:, 1] - nxt[:, 0], trans, start, 1.0, 0.0)
-    # the curve, on all sampled documents that count
-    lengths = np.array([len(docs[i]) for i in taken])
-    ids = look(np.concatenate([docs[i] for i in taken]))
-    of_doc = np.concatenate([[0], np.cumsum(lengths)])
-    first = np.zeros(len(ids), bool)
-    first[of_doc[:-1]] = True
-    p = chain.marginals(model._scores(ids, first), first, trans, start)[:, 1]
-    x = np.log(evidence_of(p, of_doc) + 1e-3)
+    # the curve, on all sampled documents that count, some at a time
+    found = []
+    for lo in range(0, len(taken), 256):
+        part = [docs[i] for i in taken[lo : lo + 256]]
+        of_doc = np.concatenate([[0], np.cumsum([len(d) for d in part])])
+        ids = look(np.concatenate(part))
+        first = np.zeros(len(ids), bool)
+        first[of_doc[:-1]] = True
+        found.append(evidence_of(chain.marginals(model._scores(ids, first), first, trans, start)[:, 1], of_doc))
+    x = np.log(np.concatenate(found) + 1e-3)
     b = np.array([1.0, 0.0])
     z = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
