@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SAMPLES = 16
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Documents of one bucket of the order by doc_id, about, and the number of buckets at most.
-BUCKET_DOCS, MAX_BUCKETS = 2000, 4096
+BUCKET_DOCS, MAX_BUCKETS = 500, 65_536
 
 
 def samples(term, weight, number: int = SAMPLES) -> list[F.Column]:
@@ -79,7 +79,7 @@ def in_order(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "text")
     n = d.count()
     buckets = max(1, min(MAX_BUCKETS, n // BUCKET_DOCS))
-    cuts = d.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000)).first()[0] if buckets > 1 else None
+    cuts = d.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
     cuts = sorted(set(cuts or []))
     if cuts:
         d = Bucketizer(splits=[-math.inf, *[float(c) for c in cuts], math.inf], inputCol="x", outputCol="b", handleInvalid="keep").transform(d.withColumn("x", F.col("doc_id").cast("double")))
@@ -91,7 +91,7 @@ def in_order(documents: DataFrame) -> DataFrame:
     line = Window.orderBy(F.col("bucket").desc())
     first = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = heads.select("doc_id", "text", F.coalesce(F.lag("bucket").over(line), F.last("bucket").over(first)).alias("bucket"))
-    rows = d.withColumn("is_guest", F.lit(False)).unionByName(above.withColumn("is_guest", F.lit(True))).repartition("bucket")
+    rows = d.withColumn("is_guest", F.lit(False)).unionByName(above.withColumn("is_guest", F.lit(True))).repartition(buckets, "bucket")
     order = Window.partitionBy("bucket").orderBy("is_guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     return rows.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "is_guest")
 
