@@ -100,7 +100,8 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     """distinct (unit) -> unit, edges: array of (cost = -score, s, e, id), by cost, then s; empty if no substring is a piece."""
     n = F.char_length("unit")
     # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle
-    starts = distinct.select("unit").repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    # so many units to a partition that sorting their edges doesn't spill
+    starts = distinct.select("unit").repartition(max(1, distinct.count() // 20_000), "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
     spans = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     edges = spans.join(F.broadcast(piece_table(distinct.sparkSession, model)), "piece", "left").where((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
