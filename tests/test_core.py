@@ -102,7 +102,8 @@ def test_evolution_finds_the_cut(spark):
     rng = np.random.default_rng(2)
     v = rng.integers(0, 20, 800).astype(float)
     df = spark.createDataFrame([(i, int(x > 9), [float(x)]) for i, x in enumerate(v)], "row_id int, y int, features array<double>")
-    o = evolve.Options(evaluations=200, rate=0.5)
+    # of two candidates one is half of all points: at the default alpha no cut is the best mask
+    o = evolve.Options(evaluations=200, rate=0.5, alpha=0.2)
     one, two = (evolve.fit(df, partitions=2, options=o).cuts for _ in range(2))
     assert one == two and 9.5 in one[0]
     assert evolve.naive_bayes_error(np.array([[0], [0], [1], [1]]), np.array([0, 0, 1, 1]), 2) == 0
@@ -170,3 +171,17 @@ def test_files(spark, tmp_path):
     files.write_thresholds(spark, t, str(tmp_path / "t"))
     assert files.read_thresholds(spark, str(tmp_path / "t"), 2).cuts == t.cuts
     assert files.fold_paths("a", "s-fold", 2)[1] == ("a/s-2tra.data", "a/s-2tst.data")
+
+
+def test_running_histograms(spark, tmp_path):
+    from featlens.streaming import histograms
+
+    rows = queries.binned(spark, "/root/testdata/sf0.001")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = histograms.running_hist2(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "running")
+    try:
+        query.processAllAvailable()
+        got = {r.feature: r.mi for r in histograms.running_relevance(query).collect()}
+    finally:
+        query.stop()
+    assert got == pytest.approx({r.feature: r.mi for r in info.relevance(rows).collect()})
