@@ -268,8 +268,11 @@ def encode(documents: DataFrame, model: Model, keys: list[str], known: DataFrame
 def encode_documents(documents: DataFrame, model: Model) -> DataFrame:
     """documents' doc_id, ids (of the whole text) and n_units; gathers a text's ids in one row. documents must come straight from a table, so that rows keep their numbers."""
     rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    gathered = encode(rows, model, ["row"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    return rows.join(gathered, "row", "left").select("doc_id", F.coalesce(F.flatten(F.col("p.ids")), F.array().cast("array<int>")).alias("ids"), F.coalesce(F.size("p"), F.lit(0)).alias("n_units"))
+    # ids travel as text, which takes less room in a shuffle than arrays of a few numbers
+    known = vocabulary(rows, model).select("unit", "seen", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+    gathered = encode(rows, model, ["row"], known).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+    gathered = gathered.select("row", F.split(F.array_join("p.ids", " "), " ").cast("array<int>").alias("ids"), F.size("p").alias("n_units"))
+    return rows.select("row", "doc_id").join(gathered, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
 
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
