@@ -62,8 +62,9 @@ def _timed(manifest: Manifest, fold: int, stage: str, make: Callable, load: Call
         return load(), done
     began = time.time()
     out = make()
-    manifest.record(fold, stage, time.time() - began)
-    return out, time.time() - began
+    seconds = time.time() - began
+    manifest.record(fold, stage, seconds)
+    return out, seconds
 
 
 def _with_codes(df: DataFrame, codes: DataFrame) -> DataFrame:
