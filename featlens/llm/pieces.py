@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units (a run of spaces with the word that follows, or a line
-break), which no piece of the model crosses. Each distinct unit is encoded
-once: its substrings of at most the longest piece's length are exploded and
+break; where no piece mixes letters, digits and other characters, words are cut
+between those too), which no piece of the model crosses. Each distinct unit is
+encoded once: its substrings of at most the longest piece's length are exploded and
 equi-joined to the piece table, the edges are grouped by unit, and a Spark
 higher-order aggregate folds them. For unigram models the fold is Viterbi over
 the pieces' scores. For BPE models Viterbi over scores gives other pieces than
@@ -11,7 +12,7 @@ merges on the same edges, at each step the best-scored edge that spans exactly
 two of the pieces so far, leftmost first. Characters that are no piece become
 byte pieces, or the unknown piece where the model has none.
 
-Units that make up more than a 2**-18th of all occurrences, at most 2**18 of
+The most frequent units of at most MAX_FOLD code points, at most FREQUENT of
 them whatever the corpus, are broadcast to the occurrences; all others meet
 theirs by a shuffled join. Units of more than MAX_FOLD code points, which are
 too long for the fold's 64-bit sets, are encoded by the same rules in Python.
@@ -23,6 +24,7 @@ doc_ids are kept. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,17 @@ from pyspark.sql import types as T
 from featlens.llm.storage import written
 
 SPACE = "▁"
-MAX_FOLD, MAX_PIECES, FREQUENT = 60, 1_000_000, 1 << 18
+MAX_FOLD, MAX_PIECES, FREQUENT = 60, 1_000_000, 1 << 17
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
 
+def _kind(c: str) -> str:
+    """S for a space, B for a line break, L for letters and marks, D for decimal digits, O for others."""
+    category = unicodedata.category(c)
+    return "S" if c == SPACE else "B" if c == "\n" else "L" if category[0] in "LM" else "D" if category == "Nd" else "O"
+
+
 @dataclass(frozen=True)
 class Model:
     """pieces: (piece, id, score) of normal pieces; first_byte: id of byte piece 0, or None; kind: UNIGRAM or BPE."""
@@ -52,8 +60,13 @@ class Model:
 
     @property
     def unit_pattern(self) -> str:
-        breaks = any("\n" in p and len(p) > 1 for p, _, _ in self.pieces)
-        return f"{SPACE}*[^{SPACE}]+|{SPACE}+" if breaks else f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n"
+        """Cuts texts where no piece crosses: two characters side by side within no piece can be cut apart."""
+        pairs = {_kind(a) + _kind(b) for p, _, _ in self.pieces for a, b in zip(p, p[1:])}
+        if any("B" in p for p in pairs):
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        if pairs <= {"SS", "SL", "SO", "LL", "OO"}:
+            return f"{SPACE}*[\\p{{L}}\\p{{M}}]+|{SPACE}*[^{SPACE}\\n\\p{{L}}\\p{{M}}\\p{{Nd}}]+|\\p{{Nd}}|{SPACE}+|\\n"
+        return f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n"
 
 
 def load(path: str) -> Model:
@@ -87,7 +100,7 @@ def from_proto(proto) -> Model:
 
 def units(model: Model) -> F.Column:
     """The units of column text."""
-    normal = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
+    normal = F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE)))
     return F.when(F.col("text") != "", F.regexp_extract_all(normal, F.lit(model.unit_pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -97,16 +110,19 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct (unit) -> unit, edges: array of (cost = -score, s, e, id), by cost, then s; empty if no substring is a piece."""
+    """distinct (unit, seen) -> unit, seen, edges: array of (cost = -score, s, e, id, outer, inner), by cost, then s; gap: whether a character is no piece. outer and inner are the bits of an edge's ends and of the boundaries it spans."""
     n = F.char_length("unit")
-    # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle
-    # so many units to a partition that sorting their edges doesn't spill
-    starts = distinct.select("unit").repartition(max(1, distinct.count() // 20_000), "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
-    spans = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle;
+    # in order before the rows are many, so that the grouping's sort finds them sorted;
+    # so many units to a partition that their edges fit in memory
+    dealt = distinct.select("unit", "seen").repartition(max(1, distinct.count() // 20_000), "unit").sortWithinPartitions("unit")
+    starts = dealt.select("unit", "seen", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("unit", "seen", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
+    spans = spans.select("unit", "seen", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     edges = spans.join(F.broadcast(piece_table(distinct.sparkSession, model)), "piece", "left").where((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    outer, inner = _bit(F.col("s")).bitwiseOR(_bit(F.col("e"))), _bit(F.col("e")) - _bit(F.col("s") + 1)
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id", outer.alias("outer"), inner.alias("inner")))
+    return edges.groupBy("unit").agg(F.any_value("seen").alias("seen"), F.sort_array(F.collect_list(edge)).alias("edges"), F.max(F.col("id").isNull()).alias("gap"))
 
 
 def _bit(i) -> F.Column:
@@ -122,17 +138,21 @@ def _bytes(model: Model, char: F.Column) -> F.Column:
 
 
 def _merged(model: Model) -> F.Column:
-    """BPE: the set of boundaries that is left, as bits, folded over merges."""
+    """BPE: the set of boundaries that is left, as bits, folded over merges. An edge leaves the state when one of its ends is merged away, or all that it spans."""
     n = F.char_length("unit")
-    wide = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((_bit(x["s"]).bitwiseOR(_bit(x["e"]))).alias("outer"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+
+    def within(x, cuts):
+        return cuts.bitwiseAND(x["outer"]) == x["outer"]
 
     def step(state, _):
-        best = F.get(F.filter(state["wide"], lambda x: (state["cuts"].bitwiseAND(x["outer"]) == x["outer"]) & (F.bit_count(state["cuts"].bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
-        cuts = F.when(state["done"], state["cuts"]).otherwise(state["cuts"].bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint")))))
-        return F.struct(cuts.alias("cuts"), (state["done"] | (cuts == state["cuts"])).alias("done"), state["wide"].alias("wide"))
+        cuts, wide = state["cuts"], state["wide"]
+        best = F.get(F.filter(wide, lambda x: within(x, cuts) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
+        left = F.filter(wide, lambda x: within(x, cuts) & (cuts.bitwiseAND(x["inner"]) != 0))
+        return F.struct(cuts.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint")))).alias("cuts"), left.alias("wide"))
 
+    wide = F.transform(F.filter("edges", lambda x: x["inner"] != 0), lambda x: F.struct(x["outer"].alias("outer"), x["inner"].alias("inner")))
     whole = (_bit(n + 1) - F.lit(1)).alias("cuts")
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.struct(whole, F.lit(False).alias("done"), wide.alias("wide")), step, lambda s: s["cuts"])
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.struct(whole, wide.alias("wide")), step, lambda s: s["cuts"])
 
 
 def _viterbi(model: Model) -> F.Column:
@@ -162,7 +182,9 @@ def _ids(model: Model) -> F.Column:
         found = F.get(F.filter("edges", lambda x: (x["s"] == t["s"]) & (x["e"] == t["e"])), F.lit(0))["id"]
         return F.when(found.isNotNull(), F.array(found)).otherwise(_bytes(model, F.substring(F.col("unit"), t["s"] + 1, F.lit(1))))
 
-    return F.flatten(F.transform(tokens, of))
+    taken = F.filter("edges", lambda x: (F.col("cuts").bitwiseAND(x["outer"]) == x["outer"]) & (F.col("cuts").bitwiseAND(x["inner"]) == 0))
+    known = F.sort_array(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))["id"]
+    return F.when(F.col("gap"), F.flatten(F.transform(tokens, of))).otherwise(known)
 
 
 def encode_long(model: Model, unit: str, table: dict[str, tuple[int, float]]) -> list[int]:
@@ -215,10 +237,14 @@ def encode_long(model: Model, unit: str, table: dict[str, tuple[int, float]]) ->
 
 
 def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct (unit, further columns), each unit once -> unit, ids."""
-    short = distinct.select("unit").where(F.char_length("unit") <= MAX_FOLD)
+    """distinct (unit, seen, further columns), each unit once -> unit, seen, ids; dealt by unit."""
+    short = distinct.where(F.char_length("unit") <= MAX_FOLD)
     fold = _merged(model) if model.kind == BPE else _viterbi(model)
-    done = lattice(short, model).withColumn("cuts", fold).select("unit", _ids(model).alias("ids"))
+    return lattice(short, model).withColumn("cuts", fold).select("unit", "seen", _ids(model).alias("ids"))
+
+
+def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
+    """The same for the units that are too long for encode_units."""
     shared = distinct.sparkSession.sparkContext.broadcast(model)
 
     @F.udf(T.ArrayType(T.IntegerType()))
@@ -228,49 +254,70 @@ def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
             object.__setattr__(m, "_table", {p: (i, s) for p, i, s in m.pieces})
         return encode_long(m, unit, m._table)
 
-    rest = distinct.select("unit").where(F.char_length("unit") > MAX_FOLD)
-    return done.unionByName(rest.select("unit", long_unit("unit").alias("ids")))
+    rest = distinct.select("unit", "seen").where(F.char_length("unit") > MAX_FOLD).repartition("unit")
+    return rest.select("unit", "seen", long_unit("unit").alias("ids"))
 
 
-def decode_units(encoded: DataFrame, model: Model) -> DataFrame:
-    """encoded (unit, ids) -> unit, decoded: the pieces' text, byte pieces as UTF-8; the unknown piece is U+2047."""
+def decode_units(encoded: DataFrame, model: Model, *further: F.Column) -> DataFrame:
+    """encoded (unit, ids, further columns) -> unit, decoded, further: the pieces' text, byte pieces as UTF-8; the unknown piece is U+2047. Where encoded is dealt by unit, rows stay where they are."""
     spark = encoded.sparkSession
     rows = [(i, p.encode().hex()) for p, i, _ in model.pieces] + [(model.unknown, "e28187")]
     if model.first_byte is not None:
         rows += [(model.first_byte + b, f"{b:02x}") for b in range(256)]
     table = spark.createDataFrame(rows, "id int, bytes string")
-    long = encoded.select("unit", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    parts = long.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
-    return parts.select("unit", F.decode(F.unhex(F.array_join(F.col("p.bytes"), "")), "UTF-8").alias("decoded"))
+    kept = encoded.select("unit", "ids", *further)
+    names = [c for c in kept.columns if c not in ("unit", "ids")]
+    long = kept.select("unit", *names, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
+    parts = long.groupBy("unit").agg(*[F.any_value(c).alias(c) for c in names], F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
+    return parts.select("unit", F.decode(F.unhex(F.array_join(F.col("p.bytes"), "")), "UTF-8").alias("decoded"), *names)
 
 
 def occurrences(documents: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return documents.select(*keys, F.posexplode(units(model)).alias("pos", "unit"))
 
 
-def vocabulary(documents: DataFrame, model: Model) -> DataFrame:
-    """Written table of the corpus's distinct units: unit, seen (occurrences), ids, decoded."""
-    counted = written(occurrences(documents, model, []).groupBy("unit").agg(F.count("*").alias("seen")), "units")
-    ids = written(encode_units(counted, model), "unit-ids")
-    return written(counted.join(ids, "unit").join(decode_units(ids, model), "unit", "left"), "vocabulary")
+def counted(documents: DataFrame, model: Model) -> DataFrame:
+    """Written table of the corpus's distinct units: unit, seen (occurrences)."""
+    rows = documents.select(F.explode(units(model)).alias("unit"))
+    return written(rows.groupBy("unit").agg(F.count("*").alias("seen")), "units", "zstd")
+
+
+def vocabulary(documents: DataFrame, model: Model, decoded: bool = True, *columns: F.Column) -> DataFrame:
+    """Written table of the corpus's distinct units: unit, seen (occurrences), ids, decoded; or unit, seen and the columns computed from those."""
+    found = counted(documents, model)
+    further = [F.col("seen"), F.struct("ids").alias("ids_")]
+
+    def done(encoded):
+        if decoded:
+            encoded = decode_units(encoded, model, *further).select("unit", "seen", F.col("ids_.ids").alias("ids"), "decoded")
+        return encoded.select("unit", "seen", *columns) if columns else encoded
+
+    return written(done(encode_units(found, model)).unionByName(done(encode_long_units(found, model))), "vocabulary", "zstd")
+
+
+def frequent(known: DataFrame) -> F.Column:
+    """Whether a unit of known (unit, seen) is broadcast: at most FREQUENT units are."""
+    steps = sorted({round(2 ** (k / 4)) for k in range(200)})
+    above = known.where(F.char_length("unit") <= MAX_FOLD).agg(*[F.count_if(F.col("seen") >= t).alias(str(t)) for t in steps]).first()
+    least = next((t for t in steps if above[str(t)] <= FREQUENT), 1 << 62)
+    return (F.col("seen") >= least) & (F.char_length("unit") <= MAX_FOLD)
 
 
 def encode(documents: DataFrame, model: Model, keys: list[str], known: DataFrame | None = None) -> DataFrame:
-    """The encoded corpus, one row for each unit of each text: keys, pos, unit, ids, decoded."""
+    """The encoded corpus, one row for each unit of each text: keys, pos, unit, and known's columns (by default ids, decoded)."""
     known = vocabulary(documents, model) if known is None else known
-    total = known.agg(F.sum("seen")).first()[0] or 0
-    often = F.broadcast(known.where(F.col("seen") >= total / FREQUENT).drop("seen"))
-    seldom = known.where(F.col("seen") < total / FREQUENT).drop("seen")
+    chosen = frequent(known)
+    often, seldom = known.where(chosen).drop("seen"), known.where(~chosen).drop("seen")
     rows = occurrences(documents, model, keys)
-    return rows.join(often, "unit").unionByName(rows.join(often.select("unit"), "unit", "left_anti").join(seldom, "unit"))
+    return rows.join(F.broadcast(often), "unit").unionByName(rows.join(F.broadcast(often.select("unit")), "unit", "left_anti").join(seldom, "unit"))
 
 
 def encode_documents(documents: DataFrame, model: Model) -> DataFrame:
     """documents' doc_id, ids (of the whole text) and n_units; gathers a text's ids in one row. documents must come straight from a table, so that rows keep their numbers."""
     rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     # ids travel as text, which takes less room in a shuffle than arrays of a few numbers
-    known = vocabulary(rows, model).select("unit", "seen", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
-    gathered = encode(rows, model, ["row"], known).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+    known = vocabulary(rows, model, False, F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+    gathered = encode(rows, model, ["row"], known).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
     gathered = gathered.select("row", F.split(F.array_join("p.ids", " "), " ").cast("array<int>").alias("ids"), F.size("p").alias("n_units"))
     return rows.select("row", "doc_id").join(gathered, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
 
@@ -286,11 +333,9 @@ def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
 def summary(documents: DataFrame, model: Model) -> DataFrame:
     """One row for each document: doc_id, n_units, n_pieces, ids_digest (a sum over units of a hash of place and ids) and round_trip (every unit decodes to itself). documents must come straight from a table, so that rows keep their numbers."""
     rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "doc_id"]
-    known = vocabulary(documents, model)
-    known = known.select("unit", "seen", F.size("ids").cast("bigint").alias("n"), F.xxhash64(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("h"), F.coalesce(F.col("decoded") == F.col("unit"), F.lit(False)).alias("same"))
+    same = F.coalesce(F.col("decoded") == F.col("unit"), F.lit(False)).alias("same")
+    known = vocabulary(documents, model, True, F.size("ids").alias("n"), F.hash("ids").alias("h"), same)
     mark = F.xxhash64("pos", "h").bitwiseAND(F.lit((1 << 40) - 1))
-    encoded = encode(rows, model, keys, known)
-    per = encoded.groupBy(*keys).agg(F.count("*").alias("n_units"), F.sum("n").alias("n_pieces"), F.sum(mark).alias("ids_digest"), F.min("same").alias("round_trip"))
-    none = rows.where(F.coalesce(F.col("text"), F.lit("")) == "").select("doc_id", F.lit(0).cast("bigint").alias("n_units"), F.lit(0).cast("bigint").alias("n_pieces"), F.lit(0).cast("bigint").alias("ids_digest"), F.lit(True).alias("round_trip"))
-    return per.drop("row").unionByName(none)
+    per = encode(rows, model, ["row"], known).groupBy("row").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_pieces"), F.sum(mark).alias("ids_digest"), F.min("same").alias("round_trip"))
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_units", "n_pieces", "ids_digest")]
+    return rows.select("row", "doc_id").join(per, "row", "left").select("doc_id", *counts, F.coalesce("round_trip", F.lit(True)).alias("round_trip"))

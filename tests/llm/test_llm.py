@@ -56,6 +56,9 @@ def test_sentencepiece_is_the_librarys(spark, real):
     path = "/opt/tokenizers/piece_bpe_32k.model"
     model, lib = pieces.load(path), sp.SentencePieceProcessor(model_file=path)
     d = real.select("doc_id", "text").where("doc_id BETWEEN 9 AND 50").union(docs(spark).select("doc_id", "text"))
+    alphabet = ["a", "b", "Th", "ing", " ", "  ", "1", "27", "\u00b2.", "\u0667", "e\u0301", "\u6f22\u5b57", "\n", "\t", "--", "()", "\U0001f600", "."]
+    mixed = ["".join(np.random.default_rng(i).choice(alphabet, 60)) for i in range(40)]
+    d = d.union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(mixed)], "doc_id long, text string"))
     d.write.mode("overwrite").parquet("/tmp/checkpoints/featlens/test-pieces")
     d = spark.read.parquet("/tmp/checkpoints/featlens/test-pieces")
     texts = {r.doc_id: r.text or "" for r in d.collect()}
