@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from featlens.llm.storage import written
 
 SPACE = "▁"
-MAX_FOLD, MAX_PIECES, FREQUENT = 60, 1_000_000, 1 << 17
+MAX_FOLD, MAX_PIECES, FREQUENT = 60, 1 << 20, 1 << 17
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -105,12 +105,13 @@ def units(model: Model) -> F.Column:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece, id, score: at most MAX_PIECES rows."""
-    return spark.createDataFrame(list(model.pieces), "piece string, id int, score double")
+    """piece, id, cost = -score, rank: the cost's place among all costs. At most MAX_PIECES rows."""
+    place = {c: i for i, c in enumerate(sorted({-s for _, _, s in model.pieces}))}
+    return spark.createDataFrame([(p, i, -s, place[-s]) for p, i, s in model.pieces], "piece string, id int, cost double, rank bigint")
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct (unit, seen) -> unit, seen, edges: array of (cost = -score, s, e, id, outer, inner), by cost, then s; gap: whether a character is no piece. outer and inner are the bits of an edge's ends and of the boundaries it spans."""
+    """distinct (unit, seen) -> unit, seen, edges: array of (s, e, id, outer, inner, and for unigram models cost), by cost, then s; gap: whether a character is no piece. outer and inner are the bits of an edge's ends and of the boundaries it spans."""
     n = F.char_length("unit")
     # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle;
     # in order before the rows are many, so that the grouping's sort finds them sorted;
@@ -120,9 +121,23 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     spans = starts.select("unit", "seen", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
     spans = spans.select("unit", "seen", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     edges = spans.join(F.broadcast(piece_table(distinct.sparkSession, model)), "piece", "left").where((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
-    outer, inner = _bit(F.col("s")).bitwiseOR(_bit(F.col("e"))), _bit(F.col("e")) - _bit(F.col("s") + 1)
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id", outer.alias("outer"), inner.alias("inner")))
-    return edges.groupBy("unit").agg(F.any_value("seen").alias("seen"), F.sort_array(F.collect_list(edge)).alias("edges"), F.max(F.col("id").isNull()).alias("gap"))
+    # an edge travels as one number, rank, s, e and id beside each other, which sorts as they do
+    place = [F.call_function("shiftleft", F.col(c).cast("bigint"), F.lit(by)) for c, by in (("rank", 32), ("s", 26), ("e", 20), ("id", 0))]
+    packed = place[0] + place[1] + place[2] + place[3]
+    costly = model.kind == UNIGRAM
+    edge = F.when(F.col("id").isNotNull(), F.struct(packed.alias("edge"), "cost") if costly else packed)
+    grouped = edges.groupBy("unit").agg(F.any_value("seen").alias("seen"), F.sort_array(F.collect_list(edge)).alias("edges"), F.max(F.col("id").isNull()).alias("gap"))
+
+    def field(x, by, bits):
+        return F.call_function("shiftright", x, F.lit(by)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+    def unpacked(item):
+        x = item["edge"] if costly else item
+        s, e = field(x, 26, 6), field(x, 20, 6)
+        parts = [s.alias("s"), e.alias("e"), field(x, 0, 20).alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("outer"), (_bit(e) - _bit(s + 1)).alias("inner")]
+        return F.struct(*parts, *([item["cost"].alias("cost")] if costly else []))
+
+    return grouped.withColumn("edges", F.transform("edges", unpacked))
 
 
 def _bit(i) -> F.Column:
@@ -267,7 +282,8 @@ def decode_units(encoded: DataFrame, model: Model, *further: F.Column) -> DataFr
     table = spark.createDataFrame(rows, "id int, bytes string")
     kept = encoded.select("unit", "ids", *further)
     names = [c for c in kept.columns if c not in ("unit", "ids")]
-    long = kept.select("unit", *names, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
+    # outer, for the other form adds a filter on ids below this, which would compute them once more
+    long = kept.select("unit", *names, F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id")
     parts = long.groupBy("unit").agg(*[F.any_value(c).alias(c) for c in names], F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
     return parts.select("unit", F.decode(F.unhex(F.array_join(F.col("p.bytes"), "")), "UTF-8").alias("decoded"), *names)
 
