@@ -313,10 +313,16 @@ def vocabulary(documents: DataFrame, model: Model, decoded: bool = True, *column
 
 def frequent(known: DataFrame) -> F.Column:
     """Whether a unit of known (unit, seen) is broadcast: at most FREQUENT units are."""
-    steps = sorted({round(2 ** (k / 4)) for k in range(200)})
-    above = known.where(F.char_length("unit") <= MAX_FOLD).agg(*[F.count_if(F.col("seen") >= t).alias(str(t)) for t in steps]).first()
-    least = next((t for t in steps if above[str(t)] <= FREQUENT), 1 << 62)
-    return (F.col("seen") >= least) & (F.char_length("unit") <= MAX_FOLD)
+    step = F.floor(F.log2("seen") * 4)
+    short = F.char_length("unit") <= MAX_FOLD
+    least, units_above = 1 << 31, 0
+    # at most 256 rows, as a count has 64 bits
+    for r in sorted(known.where(short).groupBy(step.alias("step")).count().collect(), reverse=True):
+        units_above += r["count"]
+        if units_above > FREQUENT:
+            break
+        least = r["step"]
+    return (step >= least) & short
 
 
 def encode(documents: DataFrame, model: Model, keys: list[str], known: DataFrame | None = None) -> DataFrame:
