@@ -281,6 +281,25 @@ def test_passages(spark):
     assert passages.repeated(docs(spark).where("false")).count() == 0
 
 
+def met_windows(x, y):
+    """All window places that two texts' shingles share, as verify takes them."""
+    rows = []
+    for k, seed in enumerate(passages.SEEDS):
+        at = [{int(s[c]): int(c) for c in passages.compact_windows(text.mix(s ^ seed), np.array([0, len(s)]), 46)[1]} for s in (x, y)]
+        rows += [(at[0][s], at[1][s], 1 << k) for s in at[0].keys() & at[1].keys()]
+    return np.array(rows)
+
+
+def test_passages_where_texts_diverge():
+    rng = np.random.default_rng(3)
+    words = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    p, q, long = words(60), words(60), words(300)
+    x, y = (passages.shingles(np.concatenate(t)) for t in ([p, q], [p, words(200), q]))
+    assert [r[:4] for r in passages.verify(x, y, met_windows(x, y))] == [(0, 60, 0, 60), (60, 120, 260, 320)]
+    x, y = (passages.shingles(np.concatenate(t)) for t in ([long], [long[:150], words(200), long[150:]]))
+    assert [r[:4] for r in passages.verify(x, y, met_windows(x, y))] == [(0, 150, 0, 150), (150, 300, 350, 500)]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u", "a"), (2, "u\n", "a"), (3, None, None), (5, "x", ""), (7, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (None, "z", "a"), (0, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (5, "x", "")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
