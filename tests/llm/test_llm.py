@@ -300,6 +300,13 @@ def test_passages_where_texts_diverge():
     assert [r[:4] for r in passages.verify(x, y, met_windows(x, y))] == [(0, 150, 0, 150), (150, 300, 350, 500)]
 
 
+def test_passages_of_one_layout(spark):
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    letters = [(d, " ".join(w("p", 60) + w(f"own{d}_", 60) + w("q", 60) + w(f"end{d}_", 20))) for d in (201, 202)]
+    out = passages.repeated(docs(spark, letters)).collect()
+    assert sorted((r.start, r.end, r.partner_start, r.partner_end) for r in out) == [(0, 60, 0, 60), (120, 180, 120, 180)]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u", "a"), (2, "u\n", "a"), (3, None, None), (5, "x", ""), (7, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (None, "z", "a"), (0, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (5, "x", "")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
