@@ -100,13 +100,18 @@ def hexadecimal(bits) -> F.Column:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """documents, all their columns, with one row of each component: the one with the smallest doc_id; of rows that repeat a doc_id, one."""
-    marked = written(near_duplicates(documents), "simhash-marked")
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    repeated = marked.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    key, keys = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), kept.distinct().select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
-    rows = documents.withColumn("_key", key).join(keys, "_key", "left_semi")
+    """documents, all their columns, with one row of each component: the one with the smallest doc_id (null last), of several the one with the smallest hash of its text.
+
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id, or
+    have none, stay if their texts are in components of their own.
+    """
+    tag = F.struct(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("a"), F.xxhash64(F.lit(SEED), F.col("doc_id").isNull(), "doc_id", "text").alias("b"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", tag.alias("tag"))
+    marked = near_duplicates(documents.select(name.alias("doc_id"), "text")).where("doc_id.tag = component_id.tag")
+    kept = written(marked.groupBy("component_id.tag").count(), "simhash-kept")
+    repeated = kept.where("count > 1").limit(1).count() > 0
+    rows = documents.withColumn("_tag", tag).join(kept.select(F.col("tag").alias("_tag")), "_tag", "left_semi")
     if repeated:
-        order = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
+        order = Window.partitionBy("_tag").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
         rows = rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return rows.drop("_key")
+    return rows.drop("_tag")

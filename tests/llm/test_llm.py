@@ -196,6 +196,13 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id)[:3] == [1, 4, 6] and kept[0].label == "k"
 
 
+def test_one_of_each_keeps_what_has_no_copy(spark):
+    words = lambda n: " ".join(f"{n}w{i}" for i in range(40))
+    rows = [*((None, words(n)) for n in range(30)), (3, words("A")), (7, words("A")), (7, words("B")), (7, words("B")), (None, words("B")), (None, None), (None, "")]
+    kept = [(r.doc_id, r.text or "") for r in simhash.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([*((None, words(n)) for n in range(30)), (3, words("A")), (7, words("B")), (None, "")], key=str)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]
