@@ -11,8 +11,9 @@ A license may stand anywhere in a long text, and more than once, so alignment
 runs in windows. A window starts at a word of the template and is half as long
 again as the template; it is aligned if it holds so many different words of the
 template that the least coverage is still possible. That bound is exact: a
-template word that is not in the window cannot be matched. After a hit the scan
-goes on behind it.
+template word that is not in the window cannot be matched. Of a hit and the
+windows that start in it, the one that matches most words counts, and of equal
+ones the shortest; the scan goes on behind it.
 
 Null and empty texts have no licenses. Repeated rows are scanned each; null
 doc_ids are kept; texts of any length are scanned whole; extra columns are
@@ -114,35 +115,39 @@ class Template:
         weight = np.array([self.count[h] for h in hashes[hits].tolist()])
         if weight.sum() < need:  # even with every word counted at each place
             return []
-        out, begin, n = [], 0, len(hits)
+        out, n = [], len(hits)
         held: dict[int, int] = {}
         found, end, i = 0, 0, 0
+        best, first, limit = None, 0, 0
         places, words = hits.tolist(), hashes[hits].tolist()
-        while i < n:
+        while i < n or best:
+            if best and (i == n or places[i] >= limit or best[2] == len(self.list) == best[1] - best[0]):
+                # what is left of the windows before the best may hold an occurrence of its own
+                before = hits[(hits >= first) & (hits < best[0])]
+                out += [*self.find(hashes[: best[0]], before, least), best]
+                i = end = int(np.searchsorted(hits, best[1]))
+                held, found, best = {}, 0, None
+                continue
             while end < n and places[end] < places[i] + self.window:
                 w = words[end]
                 held[w] = held.get(w, 0) + 1
                 if held[w] <= self.count[w]:
                     found += 1
                 end += 1
-            best = None
-            if found >= need and places[i] >= begin:
+            if found >= (best[2] if best else need):
                 lo, hi = places[i], min(places[i] + self.window, len(hashes))
                 pairs = patience(hashes[lo:hi].tolist(), self.list)
                 if len(pairs) >= need:
-                    best = (lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs))
-            stop = i + 1
-            if best:
-                out.append(best)
-                begin = best[1]
-                while stop < n and places[stop] < begin:
-                    stop += 1
-            for k in range(i, min(stop, end)):
-                w = words[k]
-                if held[w] <= self.count[w]:
-                    found -= 1
-                held[w] -= 1
-            i, end = stop, max(end, stop)
+                    hit = (lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs))
+                    if not best:
+                        best, first, limit = hit, lo, hit[1]
+                    elif (hit[2], hit[0] - hit[1]) > (best[2], best[0] - best[1]):
+                        best = hit
+            w = words[i]
+            if held[w] <= self.count[w]:
+                found -= 1
+            held[w] -= 1
+            i += 1
         return out
 
 

@@ -96,6 +96,17 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark).where("false")).count() == 0
 
 
+def test_licenses_are_aligned_at_their_best_window(spark):
+    mit = licenses.TEMPLATES["MIT-text"]
+    prose = "we went to the end of the road and saw the house of a friend who had to sell the car for the price of the use of it " * 5
+    rows = [(30, prose + mit + " " + prose), (31, prose + mit.replace("merge, ", "") + " " + mit + " of the end"), (32, "permission to speak is what the author has and " + mit)]
+    out = {r.doc_id: [x for x in r.licenses if x.license == "MIT-text"] for r in licenses.scan(docs(spark, rows)).collect()}
+    body = len(mit.rstrip("."))
+    assert [(x.start, x.end, x.coverage) for x in out[30]] == [(len(prose), len(prose) + body, 1.0)]
+    assert [x.coverage == 1 for x in out[31]] == [False, True] and out[31][0].start == len(prose) and out[31][1].end - out[31][1].start == body
+    assert [(x.start, x.coverage) for x in out[32]] == [(47, 1.0)]
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
