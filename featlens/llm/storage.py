@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,50 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/featlens"
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write's shuffle files go as soon as its table is whole: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with releasing(df.sparkSession):
+        df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once all that is made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key that holds more than one in so many rows is joined by broadcast: fewer keys than this can.
+HOT_SHARE = 1000
+
+
+def join_many(many: DataFrame, few: DataFrame, keys: list[str], seen: str, total: int) -> DataFrame:
+    """many joined to few on keys, whose rows in many few counts in column seen (total in all; dropped).
+
+    A key that holds over 1 / HOT_SHARE of all rows would make one task of
+    them. At most HOT_SHARE keys do, whatever the input, so few's rows of these
+    are broadcast, and many's rows of them stay where they are. Keys are not null.
+    """
+    hot = F.col(seen) * HOT_SHARE > F.lit(total)
+    frequent = F.broadcast(few.where(hot).drop(seen))
+    rest = many.join(F.broadcast(few.where(hot).select(*keys)), keys, "left_anti")
+    return many.join(frequent, keys).unionByName(rest.join(few.where(~hot).drop(seen), keys))
 
 
 def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:

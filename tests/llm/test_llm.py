@@ -339,11 +339,28 @@ def test_warc(spark, tmp_path):
     assert out == sorted(f"Row(page_id={e[0]}, payload_bytes={e[1]}, payload_digest='{e[2]}', record_type='{e[3]}', refers_to={e[4]})" for e in expected)
     path = f"file://{tmp_path}/w"
     warc.write(pages, path)
-    assert all(r.record.endswith(r.payload) for r in warc.restored(spark, path).collect())
+    records, payloads = warc.stores(spark, path)
+    assert payloads.count() == len({h or "" for _, _, h in rows}) and records.count() == len(rows)
+    full = {bytes(r.record) for r in warc.originals(spark, path, True).collect()}
+    assert all(any(x.endswith(b"\r\n\r\n" + (h or "").encode()) for x in full) for _, _, h in rows)
+    warc.export(spark, path, f"{path}-files")
+    of_files = warc.read_files(spark, f"{path}-files").collect()
+    assert sorted(bytes(r.header + r.http + (r.payload or b"")) for r in of_files) == sorted(bytes(r.record) for r in warc.originals(spark, path).collect())
     assert {r.record_type for r in warc.round_trip(pages, 2).where("payload_bytes < 2").collect()} == {"response"}
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_takes_long_pages_and_shared_payloads(spark, tmp_path):
+    long = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("CASE WHEN id < 2 THEN repeat('0123456789', 5000000) ELSE 'x' END").alias("html"))
+    path = f"file://{tmp_path}/long"
+    warc.write(long, path)
+    warc.export(spark, path, f"{path}-files")
+    assert sorted((r.page_id, r.n) for r in warc.read_files(spark, f"{path}-files").select("page_id", F.length("payload").alias("n")).collect()) == [("0", 50_000_000), ("1", None), ("2", 1)]
+    shared = spark.range(6000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("own "), "id")).alias("html"))
+    out = warc.round_trip(shared)
+    assert out.where("record_type = 'revisit'").count() == 1999 and out.where("refers_to = 0 AND payload_bytes = 4").count() == 1999 and out.count() == 6000
+
+
 def test_tokens():
     data = "Ab, cd\n é x".encode() + b"ef gh"
     t = text.Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data) - 5, len(data)]), text.byte_table(text.SPACE + b","))
