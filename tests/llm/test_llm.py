@@ -325,6 +325,63 @@ def test_passages_of_one_layout(spark):
     assert sorted((r.start, r.end, r.partner_start, r.partner_end) for r in out) == [(0, 60, 0, 60), (120, 180, 120, 180)]
 
 
+def test_windows_that_overlap():
+    # (k, l, c, r in x, l, c, r in y)
+    rows = [(0, 0, 10, 60, 100, 110, 160), (1, 5, 40, 80, 105, 140, 180), (0, 70, 90, 120, 170, 190, 220), (2, 85, 100, 130, 0, 20, 50), (0, 200, 210, 300, 300, 310, 400), (0, 205, 220, 300, 305, 320, 400)]
+    holds = lambda p, q: p[0] != q[0] and all(a[o] <= b[o + 1] <= a[o + 2] for a, b in ((p, q), (q, p)) for o in (1, 4))
+    assert passages.overlapping(np.array(rows)).tolist() == [any(holds(p, q) for q in rows) for p in rows] == [True, True, False, False, False, False]
+    rng = np.random.default_rng(0)
+    c, d = np.sort(rng.integers(0, 3000, 900)), rng.integers(0, 3000, 900)
+    spread = rng.integers(0, 40, (4, 900))
+    w = np.stack([rng.integers(0, 4, 900), c - spread[0], c, c + spread[1], d - spread[2], d, d + spread[3]], 1)
+    assert passages.overlapping(w).tolist() == [any(holds(p, q) for q in w.tolist()) for p in w.tolist()]
+
+
+def brute_passage(x, y, places, width):
+    """Whether stretches of one width, each beginning at a shared shingle, are alike enough."""
+    for i, h in enumerate(x[: len(x) - width + 1]):
+        for j in places.get(h, ()):
+            if j + width <= len(y):
+                a, b = set(x[i : i + width]), set(y[j : j + width])
+                if len(a & b) >= 0.8 * len(a | b):
+                    return True
+    return False
+
+
+def test_passages_against_brute_force(spark, real):
+    d = real.select("doc_id", "text")
+    own = {r.doc_id: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for r in d.collect() if len(w := WORD.findall(r.text or "")) >= 50}
+    places = {i: {} for i in own}
+    for i, s in own.items():
+        for n, h in enumerate(s):
+            places[i].setdefault(h, []).append(n)
+    ids, truth = sorted(own), set()
+    for a in ids:
+        for b in ids:
+            if a < b and sum(h in places[b] for h in own[a]) >= 41 and any(brute_passage(own[a], own[b], places[b], w) for w in (46, 60)):
+                truth |= {a, b}
+    out = passages.repeated(d).collect()
+    found = {x for r in out for x in (r.doc_id, r.partner_id)}
+    assert len(truth) > 20 and len(found & truth) >= 0.95 * len(truth)
+    for r in out:
+        x, y = (set(own[i][s : e - 4]) for i, s, e in ((r.doc_id, r.start, r.end), (r.partner_id, r.partner_start, r.partner_end)))
+        assert min(r.end - r.start, r.partner_end - r.partner_start) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
+
+
+def test_passages_amid_others_that_share_a_line(spark):
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    line = w("line", 12)
+    rows = [(i, " ".join(w(f"a{i}_", 60) + line + w(f"b{i}_", 60))) for i in range(400)]
+    for n in range(20):
+        p = w(f"p{n}_", 25) + line + w(f"q{n}_", 25)
+        near = [*p[:8], "zz", *p[9:]]
+        rows += [(1000 + n, " ".join(w(f"c{n}_", 50) + p + w(f"d{n}_", 50))), (2000 + n, " ".join(w(f"e{n}_", 30) + near + w(f"f{n}_", 80)))]
+    out = passages.repeated(docs(spark, rows)).collect()
+    found = {x for r in out for x in (r.doc_id, r.partner_id)}
+    assert min(found) >= 1000 and len(found) >= 38
+    assert passages.windows(docs(spark, [(1, "For " * 3000)])).count() < 100
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u", "a"), (2, "u\n", "a"), (3, None, None), (5, "x", ""), (7, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (None, "z", "a"), (0, "q", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n é"), (5, "x", "")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
