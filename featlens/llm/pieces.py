@@ -12,13 +12,17 @@ merges on the same edges, at each step the best-scored edge that spans exactly
 two of the pieces so far, leftmost first. Characters that are no piece become
 byte pieces, or the unknown piece where the model has none.
 
-The most frequent units of at most MAX_FOLD code points, at most FREQUENT of
-them whatever the corpus, are broadcast to the occurrences; all others meet
-theirs by a shuffled join. Units of more than MAX_FOLD code points, which are
-too long for the fold's 64-bit sets, are encoded by the same rules in Python.
-
-Null and empty texts have no pieces. Repeated rows are encoded each; null
-doc_ids are kept. Extra columns are ignored.
+A document is then put together from its units. The most frequent units (at
+most FREQUENT, and COMMON_LONG longer ones, whatever the corpus) are known to
+every task by number, so a text becomes a string of short numbers where it
+lies; its other units are joined to their pieces by a shuffle and return to
+their places. The whole document's ids are decoded again from the pieces' bytes.
+Units of more than MAX_FOLD code points, which are too long for the fold's
+64-bit sets, are encoded by the same rules in Python, in Arrow batches.
+
+Null and empty texts have no pieces. Very long texts are one row like any
+other. Equal scores go to the leftmost merge. Repeated rows are encoded each;
+null doc_ids are kept. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +31,18 @@ import heapq
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from featlens.llm.storage import written
+from featlens.llm.storage import forget, written
 
 SPACE = "▁"
-MAX_FOLD, MAX_PIECES, FREQUENT = 60, 1 << 20, 1 << 17
+MAX_FOLD, MAX_PIECES = 60, 1 << 20
+#: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
+FREQUENT, COMMON_LONG, LONG = 1 << 19, 1 << 10, 4096
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -262,34 +270,15 @@ def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
     """The same for the units that are too long for encode_units."""
     shared = distinct.sparkSession.sparkContext.broadcast(model)
 
-    @F.udf(T.ArrayType(T.IntegerType()))
-    def long_unit(unit):
+    def encoded(batches):
         m = shared.value
-        if not hasattr(m, "_table"):
-            object.__setattr__(m, "_table", {p: (i, s) for p, i, s in m.pieces})
-        return encode_long(m, unit, m._table)
+        table = {p: (i, s) for p, i, s in m.pieces}
+        for b in batches:
+            ids = [encode_long(m, u, table) for u in b.column("unit").to_pylist()]
+            yield pa.record_batch([b.column("unit"), b.column("seen"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "seen", "ids"])
 
     rest = distinct.select("unit", "seen").where(F.char_length("unit") > MAX_FOLD).repartition("unit")
-    return rest.select("unit", "seen", long_unit("unit").alias("ids"))
-
-
-def decode_units(encoded: DataFrame, model: Model, *further: F.Column) -> DataFrame:
-    """encoded (unit, ids, further columns) -> unit, decoded, further: the pieces' text, byte pieces as UTF-8; the unknown piece is U+2047. Where encoded is dealt by unit, rows stay where they are."""
-    spark = encoded.sparkSession
-    rows = [(i, p.encode().hex()) for p, i, _ in model.pieces] + [(model.unknown, "e28187")]
-    if model.first_byte is not None:
-        rows += [(model.first_byte + b, f"{b:02x}") for b in range(256)]
-    table = spark.createDataFrame(rows, "id int, bytes string")
-    kept = encoded.select("unit", "ids", *further)
-    names = [c for c in kept.columns if c not in ("unit", "ids")]
-    # outer, for the other form adds a filter on ids below this, which would compute them once more
-    long = kept.select("unit", *names, F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    parts = long.groupBy("unit").agg(*[F.any_value(c).alias(c) for c in names], F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
-    return parts.select("unit", F.decode(F.unhex(F.array_join(F.col("p.bytes"), "")), "UTF-8").alias("decoded"), *names)
-
-
-def occurrences(documents: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    return documents.select(*keys, F.posexplode(units(model)).alias("pos", "unit"))
+    return rest.mapInArrow(encoded, "unit string, seen bigint, ids array<int>")
 
 
 def counted(documents: DataFrame, model: Model) -> DataFrame:
@@ -298,66 +287,163 @@ def counted(documents: DataFrame, model: Model) -> DataFrame:
     return written(rows.groupBy("unit").agg(F.count("*").alias("seen")), "units", "zstd")
 
 
-def vocabulary(documents: DataFrame, model: Model, decoded: bool = True, *columns: F.Column) -> DataFrame:
-    """Written table of the corpus's distinct units: unit, seen (occurrences), ids, decoded; or unit, seen and the columns computed from those."""
+def vocabulary(documents: DataFrame, model: Model) -> DataFrame:
+    """Written table of the corpus's distinct units: unit, seen (occurrences), ids."""
     found = counted(documents, model)
-    further = [F.col("seen"), F.struct("ids").alias("ids_")]
-
-    def done(encoded):
-        if decoded:
-            encoded = decode_units(encoded, model, *further).select("unit", "seen", F.col("ids_.ids").alias("ids"), "decoded")
-        return encoded.select("unit", "seen", *columns) if columns else encoded
-
-    return written(done(encode_units(found, model)).unionByName(done(encode_long_units(found, model))), "vocabulary", "zstd")
+    known = written(encode_units(found, model).unionByName(encode_long_units(found, model)), "vocabulary", "zstd")
+    forget(found)
+    return known
 
 
 def frequent(known: DataFrame) -> F.Column:
-    """Whether a unit of known (unit, seen) is broadcast: at most FREQUENT units are."""
+    """Whether a unit of known (unit, seen) is known to every task: at most FREQUENT short and COMMON_LONG longer units are."""
     step = F.floor(F.log2("seen") * 4)
-    short = F.char_length("unit") <= MAX_FOLD
-    least, units_above = 1 << 31, 0
-    # at most 256 rows, as a count has 64 bits
-    for r in sorted(known.where(short).groupBy(step.alias("step")).count().collect(), reverse=True):
-        units_above += r["count"]
-        if units_above > FREQUENT:
-            break
-        least = r["step"]
-    return (step >= least) & short
-
-
-def encode(documents: DataFrame, model: Model, keys: list[str], known: DataFrame | None = None) -> DataFrame:
-    """The encoded corpus, one row for each unit of each text: keys, pos, unit, and known's columns (by default ids, decoded)."""
-    known = vocabulary(documents, model) if known is None else known
-    chosen = frequent(known)
-    often, seldom = known.where(chosen).drop("seen"), known.where(~chosen).drop("seen")
-    rows = occurrences(documents, model, keys)
-    return rows.join(F.broadcast(often), "unit").unionByName(rows.join(F.broadcast(often.select("unit")), "unit", "left_anti").join(seldom, "unit"))
+    size = F.char_length("unit")
+    short = size <= MAX_FOLD
+    # at most 512 rows, as a count has 64 bits
+    rows = known.where(size <= LONG).groupBy(short.alias("short"), step.alias("step")).count().collect()
+    least = {}
+    for kind, most in ((True, FREQUENT), (False, COMMON_LONG)):
+        least[kind], above = 1 << 31, 0
+        for r in sorted((r for r in rows if r["short"] == kind), key=lambda r: -r["step"]):
+            above += r["count"]
+            if above > most:
+                break
+            least[kind] = r["step"]
+    return (size <= LONG) & (step >= F.when(short, least[True]).otherwise(least[False]))
+
+
+def _short_numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of whole numbers below 2**28, seven bits to a byte, all but the last marked; and how many bytes each takes."""
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(4):
+        at = size > k
+        out[end[at] - 1 - k] = ((x[at] >> 7 * k) & 127) | (128 if k else 0)
+    return out, size
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    """The numbers of _short_numbers."""
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(4):
+        at = first + k
+        inside = at <= last
+        out[inside] = (out[inside] << 7) | (data[at[inside]] & 127)
+    return out
 
 
-def encode_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """documents' doc_id, ids (of the whole text) and n_units; gathers a text's ids in one row. documents must come straight from a table, so that rows keep their numbers."""
+def _numbered(batches, names: pa.Array):
+    """(row, units) -> row, numbers (bytes: for each unit its place in names and 1, or 0) and rest: the units that are 0, in order."""
+    for b in batches:
+        units_, rows = b.column("units"), b.column("row")
+        lo = 0
+        while lo < len(rows):
+            ends = units_.offsets.to_numpy()
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+            flat, ends = units_.values.slice(ends[lo], ends[hi] - ends[lo]), ends[lo : hi + 1] - ends[lo]
+            number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy().astype(np.int64) + 1
+            data, size = _short_numbers(number)
+            cut = np.concatenate([[0], np.cumsum(size)])[ends]
+            missing = number == 0
+            rest = np.concatenate([[0], np.cumsum(missing)])[ends]
+            numbers = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.record_batch([rows.slice(lo, hi - lo), numbers, pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), flat.filter(pa.array(missing)))], ["row", "numbers", "rest"])
+            lo = hi
+
+
+class Pieces:
+    """What putting documents together needs: the frequent units' ids, and every id's bytes."""
+
+    def __init__(self, model: Model, ids: list[list[int]]):
+        self.ids = np.array([i for x in ids for i in x], np.int32)
+        self.ends = np.concatenate([[0, 0], np.cumsum([len(x) for x in ids], dtype=np.int64)])  # number 0 has none here
+        of = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.unknown: "\u2047".encode()}
+        if model.first_byte is not None:
+            of |= {model.first_byte + b: bytes([b]) for b in range(256)}
+        texts = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.byte_ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+    def whole(self, numbers: np.ndarray, rest: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids of a text: numbers' ids, and for number 0 the next sizes[i] ids of rest."""
+        start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        missing = np.flatnonzero(numbers == 0)
+        size[missing] = sizes
+        if not len(self.ids):
+            return rest
+        out = self.ids.take(_spread(start, size), mode="clip")
+        out[_spread((np.cumsum(size) - size)[missing], size[missing])] = rest
+        return out
+
+    def decoded(self, ids: np.ndarray) -> str:
+        start, end = self.byte_ends[ids], self.byte_ends[ids + 1]
+        return self.bytes[_spread(start, end - start)].tobytes().decode("utf-8", "replace")[1:]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at start and are size long."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _whole(batches, table: Pieces, decode: bool):
+    for b in batches:
+        for lo in range(0, len(b), 256):
+            part = b.slice(lo, 256)
+            ids, texts, count = [], [], []
+            for numbers, rest, sizes in zip(part.column("numbers"), part.column("rest"), part.column("sizes"), strict=True):
+                number = _numbers(np.frombuffer(numbers.as_buffer(), np.uint8))
+                found = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32) for x in (rest, sizes)]
+                ids.append(table.whole(number, *found).astype(np.int32))
+                count.append(len(number))
+                if decode:
+                    texts.append(table.decoded(ids[-1]))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            cols = [part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())), pa.array(count, pa.int32())]
+            yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], ["row", "ids", "n_units", *(["decoded"] if decode else [])])
+
+
+def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
+    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. documents must come straight from a table, so that rows keep their numbers."""
+    spark = documents.sparkSession
     rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    # ids travel as text, which takes less room in a shuffle than arrays of a few numbers
-    known = vocabulary(rows, model, False, F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
-    gathered = encode(rows, model, ["row"], known).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    gathered = gathered.select("row", F.split(F.array_join("p.ids", " "), " ").cast("array<int>").alias("ids"), F.size("p").alias("n_units"))
-    return rows.select("row", "doc_id").join(gathered, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
+    known = vocabulary(documents, model)
+    chosen = frequent(known)
+    # at most FREQUENT + COMMON_LONG rows
+    often = known.where(chosen).select("unit", "ids", "seen").toArrow().sort_by([("seen", "descending"), ("unit", "ascending")])
+    names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
+    table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").to_pylist()))
+    split = rows.select("row", F.coalesce(units(model), F.array().cast("array<string>")).alias("units"))
+    numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), "row bigint, numbers binary, rest array<string>"), "numbered", "zstd")
+    seldom = numbered.select("row", F.posexplode("rest").alias("n", "unit")).join(known.where(~chosen).select("unit", "ids"), "unit")
+    others = written(seldom.select("row", "n", "ids"), "seldom-units", "zstd")
+    forget(known)
+    gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
+    gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
+    both = numbered.select("row", "numbers").join(gathered, "row", "left")
+    further = ", decoded string" if decode else ""
+    whole = both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"row bigint, ids array<int>, n_units int{further}")
+    return rows.select("row", "doc_id", *([F.sha2("text", 256).alias("text_sha256")] if decode else [])).join(whole, "row").drop("row")
 
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
     """encoded (doc_id, ids) -> doc_id, text: what encode_documents encoded."""
-    keyed = encoded.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("unit"))
-    back = decode_units(keyed.select("unit").distinct().select("unit", F.when(F.col("unit") == "", F.array().cast("array<string>")).otherwise(F.split("unit", " ")).cast("array<int>").alias("ids")), model)
-    text = F.translate(F.substring(F.col("decoded"), 2, 2**31 - 1), SPACE, " ")
-    return keyed.join(back, "unit", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+    table = encoded.sparkSession.sparkContext.broadcast(Pieces(model, []))
 
+    def texts(batches):
+        for b in batches:
+            ids = [np.array(x, np.int64) for x in b.column("ids").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array([table.value.decoded(x) for x in ids], pa.string())], ["doc_id", "text"])
 
-def summary(documents: DataFrame, model: Model) -> DataFrame:
-    """One row for each document: doc_id, n_units, n_pieces, ids_digest (a sum over units of a hash of place and ids) and round_trip (every unit decodes to itself). documents must come straight from a table, so that rows keep their numbers."""
-    rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    same = F.coalesce(F.col("decoded") == F.col("unit"), F.lit(False)).alias("same")
-    known = vocabulary(documents, model, True, F.size("ids").alias("n"), F.hash("ids").alias("h"), same)
-    mark = F.xxhash64("pos", "h").bitwiseAND(F.lit((1 << 40) - 1))
-    per = encode(rows, model, ["row"], known).groupBy("row").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_pieces"), F.sum(mark).alias("ids_digest"), F.min("same").alias("round_trip"))
-    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_units", "n_pieces", "ids_digest")]
-    return rows.select("row", "doc_id").join(per, "row", "left").select("doc_id", *counts, F.coalesce("round_trip", F.lit(True)).alias("round_trip"))
+    return encoded.select("doc_id", "ids").mapInArrow(texts, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def round_trip(documents: DataFrame, model: Model) -> DataFrame:
+    """Every document's doc_id, n_units, n_pieces, ids, decoded (the text of the ids) and round_trip: whether that is its text (null: empty)."""
+    out = encode_documents(documents, model, True)
+    same = F.sha2("decoded", 256) == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))
+    return out.select("doc_id", F.col("n_units").cast("bigint").alias("n_units"), F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded", same.alias("round_trip"))

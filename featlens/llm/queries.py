@@ -14,7 +14,7 @@ TOXIC = 0.7
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
-    return pieces.summary(table(spark, sf_dir, "documents"), pieces.load(model_path))
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load(model_path))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,22 @@ def test_sentencepiece_is_the_librarys(spark, real):
     encoded = pieces.encode_documents(d, model)
     assert all(r.ids == lib.encode(texts[r.doc_id]) for r in encoded.collect())
     assert all(r.text == texts[r.doc_id] for r in pieces.decode_documents(encoded, model).collect())
-    assert pieces.summary(d, model).where("NOT round_trip").count() == 0 and pieces.summary(d, model).count() == len(texts)
+    out = pieces.round_trip(d, model).collect()
+    assert len(out) == len(texts) and all(r.round_trip and r.decoded == texts[r.doc_id] and r.n_pieces == len(r.ids) for r in out)
+    few = pieces.FREQUENT, pieces.COMMON_LONG
+    try:
+        pieces.FREQUENT, pieces.COMMON_LONG = 40, 0
+        assert all(r.ids == lib.encode(texts[r.doc_id]) for r in pieces.encode_documents(d, model).collect())
+    finally:
+        pieces.FREQUENT, pieces.COMMON_LONG = few
+    assert pieces.round_trip(d.where("false"), model).count() == 0
+
+
+def test_short_numbers():
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 5])
+    data, size = pieces._short_numbers(x)
+    assert pieces._numbers(data).tolist() == x.tolist() and size.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 1]
+    assert pieces._numbers(pieces._short_numbers(np.zeros(0, np.int64))[0]).tolist() == []
 
 
 def test_unigram_viterbi(spark):
