@@ -42,7 +42,7 @@ from featlens.llm.storage import forget, written
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
 #: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
-FREQUENT, COMMON_LONG, LONG = 1 << 19, 1 << 10, 4096
+FREQUENT, COMMON_LONG, LONG = 1 << 20, 1 << 10, 4096
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -337,13 +337,13 @@ def _numbers(data: np.ndarray) -> np.ndarray:
 
 
 def _numbered(batches, names: pa.Array):
-    """(row, units) -> row, numbers (bytes: for each unit its place in names and 1, or 0) and rest: the units that are 0, in order."""
+    """(units, other columns) -> the others, numbers (bytes: for each unit its place in names and 1, or 0) and rest: the units that are 0, in order."""
     for b in batches:
-        units_, rows = b.column("units"), b.column("row")
+        units_, others = b.column("units"), [c for c in b.schema.names if c != "units"]
         lo = 0
-        while lo < len(rows):
+        while lo < len(b):
             ends = units_.offsets.to_numpy()
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 22), "right")) - 1)
             flat, ends = units_.values.slice(ends[lo], ends[hi] - ends[lo]), ends[lo : hi + 1] - ends[lo]
             number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy().astype(np.int64) + 1
             data, size = _short_numbers(number)
@@ -351,7 +351,8 @@ def _numbered(batches, names: pa.Array):
             missing = number == 0
             rest = np.concatenate([[0], np.cumsum(missing)])[ends]
             numbers = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.record_batch([rows.slice(lo, hi - lo), numbers, pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), flat.filter(pa.array(missing)))], ["row", "numbers", "rest"])
+            unknown = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), flat.filter(pa.array(missing)))
+            yield pa.record_batch([*[b.column(c).slice(lo, hi - lo) for c in others], numbers, unknown], [*others, "numbers", "rest"])
             lo = hi
 
 
@@ -403,31 +404,32 @@ def _whole(batches, table: Pieces, decode: bool):
                 if decode:
                     texts.append(table.decoded(ids[-1]))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            cols = [part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())), pa.array(count, pa.int32())]
-            yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], ["row", "ids", "n_units", *(["decoded"] if decode else [])])
+            kept = [c for c in b.schema.names if c not in ("numbers", "rest", "sizes")]
+            cols = [*[part.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())), pa.array(count, pa.int32())]
+            yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], [*kept, "ids", "n_units", *(["decoded"] if decode else [])])
 
 
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
     """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. documents must come straight from a table, so that rows keep their numbers."""
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     known = vocabulary(documents, model)
     chosen = frequent(known)
     # at most FREQUENT + COMMON_LONG rows
     often = known.where(chosen).select("unit", "ids", "seen").toArrow().sort_by([("seen", "descending"), ("unit", "ascending")])
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
     table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").to_pylist()))
-    split = rows.select("row", F.coalesce(units(model), F.array().cast("array<string>")).alias("units"))
-    numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), "row bigint, numbers binary, rest array<string>"), "numbered", "zstd")
+    kept = ["row", "doc_id", *(["text_md5"] if decode else [])]
+    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
+    rows = documents.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "text_md5": F.unhex(F.md5("text"))})
+    split = rows.select(*kept, F.coalesce(units(model), F.array().cast("array<string>")).alias("units"))
+    numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), f"{kinds}, numbers binary, rest array<string>"), "numbered", "zstd")
     seldom = numbered.select("row", F.posexplode("rest").alias("n", "unit")).join(known.where(~chosen).select("unit", "ids"), "unit")
     others = written(seldom.select("row", "n", "ids"), "seldom-units", "zstd")
     forget(known)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    both = numbered.select("row", "numbers").join(gathered, "row", "left")
-    further = ", decoded string" if decode else ""
-    whole = both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"row bigint, ids array<int>, n_units int{further}")
-    return rows.select("row", "doc_id", *([F.sha2("text", 256).alias("text_sha256")] if decode else [])).join(whole, "row").drop("row")
+    both = numbered.drop("rest").join(gathered, "row", "left")
+    return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
@@ -445,5 +447,5 @@ def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
 def round_trip(documents: DataFrame, model: Model) -> DataFrame:
     """Every document's doc_id, n_units, n_pieces, ids, decoded (the text of the ids) and round_trip: whether that is its text (null: empty)."""
     out = encode_documents(documents, model, True)
-    same = F.sha2("decoded", 256) == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))
+    same = F.unhex(F.md5("decoded")) == F.coalesce("text_md5", F.unhex(F.md5(F.lit(""))))
     return out.select("doc_id", F.col("n_units").cast("bigint").alias("n_units"), F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded", same.alias("round_trip"))
