@@ -17,9 +17,14 @@ a size, blocks of documents chosen by a hash share the copies in proportion;
 the order of another hash in a block says who gets one more. A block has about
 BLOCK rows whatever the size's share of all rows.
 
-Null texts have size 0; documents of size 0 are taken once and count nothing.
-A null source is a source of its own, the last. Repeated rows are documents of
-their own. An empty table gives an empty result. Extra columns are ignored.
+Null and empty texts have size 0; documents of size 0 are taken once and count
+nothing. Very long texts are counted whole, and are a size of their own. A null
+source is a source of its own, the last. Repeated rows are documents of their
+own; a doc_id, or its lack, that over one in HOT_SHARE rows have is spread over
+the blocks by row. Of equal hashes the smaller doc_id, then the earlier row,
+gets one more. The different sizes of one source (not its documents) are one
+group. An empty table gives an empty result. Extra columns are ignored, or kept
+by repeated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import WORD, written
+from featlens.llm.storage import HOT_SHARE, WORD, fresh, written
 
 WEIGHTS, TOTAL, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 MAX_SOURCES, BLOCK, ROUNDS = 1_000_000, 1000, 100
@@ -52,7 +57,8 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, total: float
         for i in full:
             out[i] = cap * sizes[i]
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        closed = set(full)
+        open_ = [i for i in open_ if i not in closed]
     return out
 
 
@@ -119,9 +125,15 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     cap must be a whole number. Sources are ranked by code point, null last;
     weights repeat over them.
     """
+    rows = documents.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    return _mixed(rows, "row", weights, total, cap).drop("row")
+
+
+def _mixed(documents: DataFrame, row: str, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
+    """mix() with the number of each row, column row of documents, as column row."""
     spark = documents.sparkSession
     doc_id = documents.schema["doc_id"].dataType.simpleString()
-    sized = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
+    sized = written(documents.select(F.col(row).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
     histogram = written(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "size-histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("docs"))
     found = per_source.limit(MAX_SOURCES + 1).collect()
@@ -142,23 +154,28 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     copies = rated.groupBy("key").applyInPandas(_rounded(cap), "source string, size bigint, copies bigint")
     # documents of one size in blocks
     most = histogram.agg(F.max("docs")).first()[0] or 1
-    sized = sized.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(-(-most // BLOCK))))
+    # at most HOT_SHARE rows
+    hot = sized.groupBy("doc_id").count().where(F.col("count") * HOT_SHARE > sized.count()).where("count > 1").select(F.col("doc_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = sized.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+    salt = F.when(F.col("hot"), F.col("row"))
+    sized = marked.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("doc_id", salt, F.lit("block")), F.lit(-(-most // BLOCK))))
     counted = sized.where("size > 0").groupBy("key", "size", "block").agg(F.count("*").alias("n"))
     run = Window.partitionBy("key", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     shared = counted.join(copies.withColumn("key", key).drop("source"), ["key", "size"]).withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("key", "size")))
     part = lambda n: F.floor(F.col("copies") * n / F.col("all"))
     shared = shared.select("key", "size", "block", "n", (part(F.col("upto")) - part(F.col("upto") - F.col("n"))).alias("mine"))
-    order = Window.partitionBy("key", "size", "block").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id")
+    order = Window.partitionBy("key", "size", "block").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "row")
     ranked = sized.join(shared, ["key", "size", "block"], "left").withColumn("rank", F.row_number().over(order))
     each = F.floor(F.col("mine") / F.col("n"))
     taken = F.when(F.col("size") == 0, F.lit(1)).otherwise(each + F.when(F.col("rank") <= F.col("mine") - each * F.col("n"), 1).otherwise(0)).cast("bigint")
     out = ranked.withColumn("copies", taken).join(known, "key")
-    return out.select(F.col("doc_id").cast(doc_id).alias("doc_id"), "source", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("size"), F.col("mean"), F.col("l"), cap)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("row", F.col("doc_id").cast(doc_id).alias("doc_id"), "source", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("size"), F.col("mean"), F.col("l"), cap)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated(documents: DataFrame, **options) -> DataFrame:
-    """documents, all their columns, each row as many times as mix() says. doc_id must name a row."""
-    copies = mix(documents, **options).select("doc_id", "copies").dropDuplicates(["doc_id"])
-    other = copies.withColumnsRenamed({"doc_id": "_id", "copies": "_copies"})
-    rows = documents.join(other, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """documents, all their columns, each row as many times as mix() says. Rows are told apart by a number written beside them."""
+    row, copies = fresh("row", documents), fresh("copies", documents)
+    rows = written(documents.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    taken = _mixed(rows, row, **options).select(F.col("row").alias(row), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    joined = rows.join(taken, row)
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])

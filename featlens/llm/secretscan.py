@@ -5,18 +5,26 @@ matches that are too short are dropped. The field tags tokens (runs without
 white space, quotes and most punctuation) as outside, begin or inside. Features
 are the token's shape (length, share of digits, letter cases, symbols, hex
 only), its left and right neighbours' words (hashed), and the file: how much of
-it is digits and symbols. Viterbi decodes. It learns from the patterns' matches
-in a bounded sample of documents, so it finds tokens that look and stand like
-them; with no match in the sample it adds nothing.
-
-Offsets are code points, ends exclusive. Null is an empty text: no spans.
-Repeated rows, null doc_ids and very long texts are handled as any other;
-extra columns are ignored.
+it is digits and symbols. Viterbi decodes.
+
+It is fitted on a bounded sample of documents: on the patterns' matches and on
+secrets of other alphabets behind other words (ALPHABETS, LEADS), which
+are put into every fourth document of the sample (by a hash of its text).
+Three quarters of the documents are shown without neighbours. So it
+finds what no pattern matches: upper-case hex, base64, tokens behind "bearer"
+or in connection strings. With an empty table it adds nothing.
+
+Offsets are code points, ends exclusive. Null is an empty text: no spans. Very
+long texts are scanned whole. Repeated rows have the same spans; null doc_ids
+are kept. A span of the field that overlaps a pattern's is left out; spans that
+start together are in the order of their kinds. An empty table gives no rows.
+Extra columns, whatever their names, are ignored, or kept by redacted().
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +43,11 @@ HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-#: Documents that the fit reads at most, as an expected number, and tokens that it is fitted on.
-SAMPLE_DOCS, FIT_TOKENS = 12_000, 120_000
+#: Documents that the fit reads at most, as an expected number; tokens on each side of a secret, and secrets of one document, that it takes; tokens that it is fitted on.
+SAMPLE_DOCS, SLICE, SLICES, FIT_TOKENS = 12_000, 50, 3, 160_000
+#: What planted secrets are made of, and the words before them.
+ALPHABETS = (b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+LEADS = (b"", b"Authorization: Bearer ", b"bearer ", b"auth=", b"pwd: ", b"credential ", b"private_key: ", b"signing key ", b"postgres://svc:", b"login ", b"passphrase: ", b"session=", b"key: ")
 TABLE = text.byte_table(text.SPACE + b"!\"#$%&'()*,:;<=>?@[\\]^`{|}~")
 BUCKETS, SHAPES, FILES = 4096, 1600, 24
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 40, 41, 64])
@@ -145,40 +156,65 @@ def tagged(buf: np.ndarray, offs: np.ndarray, toks: text.Tokens, found: list[lis
     return tags
 
 
+def _planted(doc: bytes) -> tuple[bytes, int, int]:
+    """doc with a made secret between two of its words, and the secret's place; all chosen by a hash of doc."""
+    rng = np.random.default_rng(zlib.crc32(doc))
+    alphabet = np.frombuffer(ALPHABETS[rng.integers(len(ALPHABETS))], np.uint8)
+    value = alphabet[rng.integers(0, len(alphabet), int(rng.integers(16, 65)))].tobytes()
+    gaps = [m.start() for m in re.finditer(rb"[ \n]", doc)] or [len(doc)]
+    at = gaps[int(rng.integers(len(gaps)))]
+    lead = b" " + LEADS[rng.integers(len(LEADS))]
+    return doc[:at] + lead + value + doc[at:], at + len(lead), at + len(lead) + len(value)
+
+
+def _taught(doc: bytes) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(has a secret, features, tags) of the stretches of a document that the fit takes."""
+    key = zlib.crc32(doc, 1)
+    place = None
+    if key % 4 == 0:
+        doc, *place = _planted(doc)
+    buf, offs = np.frombuffer(doc, np.uint8), np.array([0, len(doc)])
+    toks = text.Tokens(buf, offs, TABLE)
+    found = base_matches(buf, offs)
+    feats, tags = np.stack(features(buf, offs, toks)).astype(np.int16), tagged(buf, offs, toks, found)
+    if place:
+        inside = (toks.start >= place[0]) & (toks.start < place[1])
+        tags[inside] = 2
+        tags[np.flatnonzero(inside)[:1]] = 1
+    if key // 16 % 4:
+        feats[1:4] = 0
+    at = np.flatnonzero(tags == 1)
+    if not len(at) and key % 16 != 1 or not len(tags):
+        return []
+    centres = at[:SLICES] if len(at) else [key // 64 % len(tags)]
+    return [(len(at) > 0, feats[:, s], tags[s]) for s in (slice(max(0, c - SLICE), c + SLICE) for c in centres)]
+
+
 def _labelled(batches):
-    """Documents with matches, and one in sixteen of the others, as features and tags."""
     for b in batches:
         hit, feats, tags = [], [], []
         for lo, hi, buf, offs in text.slices(b.column("text")):
-            toks = text.Tokens(buf, offs, TABLE)
-            found = base_matches(buf, offs)
-            f, y = np.stack(features(buf, offs, toks)).astype(np.int16), tagged(buf, offs, toks, found)
             for d in range(hi - lo):
-                s = slice(toks.of_doc[d], toks.of_doc[d + 1])
-                if s.start < s.stop and (found[d] or (d + lo) % 16 == 0):
-                    hit.append(bool(found[d]))
-                    feats.append(f[:, s].tobytes())
-                    tags.append(y[s].astype(np.int8).tobytes())
+                for has, f, y in _taught(buf[offs[d] : offs[d + 1]].tobytes()):
+                    hit.append(has)
+                    feats.append(f.tobytes())
+                    tags.append(y.astype(np.int8).tobytes())
         yield pa.record_batch([pa.array(hit, pa.bool_()), pa.array(feats, pa.binary()), pa.array(tags, pa.binary())], ["hit", "feats", "tags"])
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on about sample_docs documents, chosen by a hash of doc_id."""
-    rows = sampled(documents.select("doc_id", "text"), "doc_id", sample_docs, documents.count())
-    rows = rows.select("text").mapInArrow(_labelled, "hit boolean, feats binary, tags binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (not r["hit"], r["tags"], r["feats"]))
-    hits, rest = [r for r in rows if r["hit"]], [r for r in rows if not r["hit"]]
-    if not hits:
-        return Model(None)
-    used, left = [], FIT_TOKENS
-    for part, room in ((dict.fromkeys(r["feats"] for r in hits), FIT_TOKENS * 3 // 4), (dict.fromkeys(r["feats"] for r in rest), FIT_TOKENS // 4)):
-        tags = {r["feats"]: r["tags"] for r in rows}
-        for f in part:
-            if len(tags[f]) <= room:
-                used.append((f, tags[f]))
-                room -= len(tags[f])
-        left = room
-    if not used:
+    """Fits on about sample_docs documents, chosen by a hash of doc_id and text; repeated rows count once. At most SLICES stretches of 2 * SLICE tokens of each come to the driver."""
+    d = documents.select("doc_id", "text").where("text <> ''")
+    rows = sampled(d, ["doc_id", "text"], sample_docs, d.count()).select("text").distinct()
+    rows = rows.mapInArrow(_labelled, "hit boolean, feats binary, tags binary").toArrow().to_pylist()
+    rows = sorted({(zlib.crc32(r["feats"]), r["feats"], r["tags"], r["hit"]) for r in rows})
+    used = []
+    for has, room in ((True, FIT_TOKENS // 2), (False, FIT_TOKENS // 2)):
+        for _, f, y, hit in rows:
+            if hit == has and len(y) <= room:
+                used.append((f, y))
+                room -= len(y)
+    if not any(any(y) for _, y in used):
         return Model(None)
     feats = np.concatenate([np.frombuffer(f, np.int16).reshape(5, -1) for f, _ in used], 1).astype(np.int64)
     tags = np.concatenate([np.frombuffer(y, np.int8) for _, y in used]).astype(np.int64)

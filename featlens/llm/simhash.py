@@ -8,22 +8,28 @@ join, whose condition counts the bits that differ. Equal fingerprints are one
 node from the start, so copies never meet in pairs.
 
 Null and empty texts, and texts of white space, have fingerprint zero, which
-links like any other. Texts of fewer than four words have one shingle. Repeated
+links like any other. Texts of fewer than four words have one shingle; very
+long ones are hashed whole, a bounded number of shingles at a time. Repeated
 rows are linked as copies; a null doc_id is never a component's name unless
-nothing else is in it. Extra columns are ignored.
+nothing else is in it. A bit that exactly half of the shingles set is 0. A
+fingerprint that many rows share is one node, and its rows are named where they
+lie. Signatures have 20 or 21 bits, so the pairs that are compared grow with the
+square of the different fingerprints, divided by 2**20: three segments of 64
+bits allow no longer ones. An empty table gives no rows. Extra columns are
+ignored, or kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from featlens.llm import text
 from featlens.llm.components import components
-from featlens.llm.storage import written
+from featlens.llm.storage import forget, fresh, join_many, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of the segments: one more than half as many as MAX_BITS.
@@ -87,12 +93,13 @@ def _signed(x: int) -> int:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """documents' doc_id, bits and component_id: the smallest doc_id that links reach from it."""
     prints = written(fingerprints(documents), "simhash")
-    nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("doc_id"))
+    nodes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "simhash-nodes")
     roots = components(links(nodes.select("bits")))
-    of = written(nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), "doc_id"), "simhash-roots")
-    names = written(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-names")
-    named = of.join(names, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select("doc_id", "bits", "component_id")
+    of = written(nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits")), "simhash-roots")
+    names = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = written(of.drop("doc_id").join(names, "root").select("bits", "component_id", "seen"), "simhash-names")
+    forget(nodes, of)
+    return join_many(prints, named, ["bits"], "seen", prints.count()).select("doc_id", "bits", "component_id")
 
 
 def hexadecimal(bits) -> F.Column:
@@ -100,18 +107,15 @@ def hexadecimal(bits) -> F.Column:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """documents, all their columns, with one row of each component: the one with the smallest doc_id (null last), of several the one with the smallest hash of its text.
+    """documents, all their columns, with one row of each component: the one with the smallest doc_id (null last), of several the one with the smallest hash of its text, of equal rows any one.
 
-    Rows are told apart by doc_id and text, so rows that repeat a doc_id, or
-    have none, stay if their texts are in components of their own.
+    Rows are told apart by a number that is written beside them, so rows that
+    repeat a doc_id, or have none, stay if their texts are in components of
+    their own. An empty table stays empty.
     """
-    tag = F.struct(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("a"), F.xxhash64(F.lit(SEED), F.col("doc_id").isNull(), "doc_id", "text").alias("b"))
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", tag.alias("tag"))
-    marked = near_duplicates(documents.select(name.alias("doc_id"), "text")).where("doc_id.tag = component_id.tag")
-    kept = written(marked.groupBy("component_id.tag").count(), "simhash-kept")
-    repeated = kept.where("count > 1").limit(1).count() > 0
-    rows = documents.withColumn("_tag", tag).join(kept.select(F.col("tag").alias("_tag")), "_tag", "left_semi")
-    if repeated:
-        order = Window.partitionBy("_tag").orderBy(*[F.col(f"`{c}`") for c in documents.columns])
-        rows = rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return rows.drop("_tag")
+    row = fresh("row", documents)
+    rows = written(documents.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    marked = near_duplicates(rows.select(name.alias("doc_id"), "text"))
+    kept = written(marked.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(row)), "simhash-kept")
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """name, made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables that written() made, once all that is made of them is written itself."""
     for df in tables:
@@ -73,8 +81,8 @@ def join_many(many: DataFrame, few: DataFrame, keys: list[str], seen: str, total
     return many.join(frequent, keys).unionByName(rest.join(few.where(~hot).drop(seen), keys))
 
 
-def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About rows of total rows (all of them if there are no more), chosen by a hash of key: reruns agree."""
+def sampled(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
+    """About rows of total rows (all of them if there are no more), chosen by a hash of keys: reruns agree, and equal keys go together."""
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / total))

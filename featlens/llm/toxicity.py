@@ -10,11 +10,13 @@ Forward-backward gives each token's P(toxic); a document's evidence is
 up), which a logistic curve, fitted on the sample's labels, turns
 into a score.
 
-Null and empty texts have no tokens: they get the score of no evidence.
-Repeated rows are scored each; null doc_ids are kept and count as not held out.
-Labels that are null, or not 0 or 1, are not used. With no labels of one of the
-classes all scores are the share of label 1 (0 with no labels). Extra columns
-are ignored.
+Null and empty texts have no tokens: they get the score of no evidence. Very
+long texts are scored whole. Repeated rows are scored each, and count once for
+the fit; of a doc_id with two labels the larger counts. Null doc_ids are kept
+and count as not held out. Labels that are null, or not 0 or 1, are not used.
+With no labels of one of the classes all scores are the share of label 1 (0
+with no labels). An empty table gives no rows. Extra columns, whatever their
+names, are ignored, or kept by rejecting().
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from featlens.llm.storage import sampled
 TABLE = text.byte_table(text.SPACE + b"!\"#$%&'()*+,./:;<=>?@[\\]^`{|}~")
 #: Labelled documents that the fit reads at most, as an expected number.
 SAMPLE_DOCS = 8_000
-#: Tokens that the field is fitted on at most.
-FIT_TOKENS = 250_000
+#: Tokens that the field is fitted on at most; a longer sampled text gives RUNS runs of RUN tokens, evenly spread over it.
+FIT_TOKENS, RUNS, RUN = 250_000, 12, 1000
 
 
 @dataclass
@@ -137,6 +139,9 @@ def learn(docs: list[np.ndarray], labels: np.ndarray) -> Model:
     is_seed = np.concatenate([[False], np.isin(look.known, seeds)])
     tags = (is_seed[ids] & (np.repeat(y[order], lengths) == 1)).astype(np.int64)
     before, after = neighbours(ids, first)
+    # most documents are shown without neighbours, so that a word counts by itself where they are new
+    hidden = np.repeat(np.arange(len(order)) % 4 != 0, lengths)
+    before[hidden] = after[hidden] = 0
     v = len(look.known) + 1
     (own, prev, nxt), trans, start = chain.fit([ids, before, after], [v] * 3, tags, first, 2)
     model = Model(look.known, own[:, 1] - own[:, 0], prev[:, 1] - prev[:, 0], nxt[:, 1] - nxt[:, 0], trans, start, 1.0, 0.0)
@@ -152,30 +157,45 @@ def learn(docs: list[np.ndarray], labels: np.ndarray) -> Model:
     x = np.log(np.concatenate(found) + 1e-3)
     b = np.array([1.0, 0.0])
     z = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(50):
+
+    def loss(b):
+        return np.logaddexp(0, z @ b).sum() - y @ (z @ b) + 5e-4 * b @ b
+
+    for _ in range(100):
         s = sigmoid(z @ b)
         g = z.T @ (y - s) - 1e-3 * b
         h = (z * (s * (1 - s))[:, None]).T @ z + 1e-3 * np.eye(2)
-        b = b + np.clip(np.linalg.solve(h, g), -2, 2)
+        step = np.linalg.solve(h, g)
+        while loss(b + step) > loss(b) and np.abs(step).max() > 1e-9:
+            step /= 2
+        b = b + step
     model.slope, model.level = float(max(b[0], 0)), float(b[1])
     return model
 
 
+def _spread(tokens: np.ndarray) -> np.ndarray:
+    if len(tokens) <= RUNS * RUN:
+        return tokens
+    return np.concatenate([tokens[a : a + RUN] for a in np.linspace(0, len(tokens) - RUN, RUNS).astype(int)])
+
+
 def _hashed(batches):
     for b in batches:
         out = []
         for lo, hi, buf, offs in text.slices(b.column("text")):
             t = text.Tokens(buf, offs, TABLE)
             h = t.hash
-            out += [h[t.of_doc[i] : t.of_doc[i + 1]].tobytes() for i in range(hi - lo)]
+            out += [_spread(h[t.of_doc[i] : t.of_doc[i + 1]]).tobytes() for i in range(hi - lo)]
         yield pa.record_batch([b.column("label"), pa.array(out, pa.binary())], ["label", "tokens"])
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits on documents (doc_id, text) whose doc_id labels gives; about sample_docs of them, chosen by a hash of doc_id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    known = sampled(known, "doc_id", sample_docs, known.count())
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(_hashed, "label int, tokens binary").toArrow()
+    known = sampled(known, ["doc_id"], sample_docs, known.count())
+    # at most about sample_docs rows of known; repeated rows count once
+    joined = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id").distinct()
+    rows = joined.orderBy("doc_id", "text").select("label", "text").mapInArrow(_hashed, "label int, tokens binary").toArrow()
     docs = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")]
     return learn(docs, np.array(rows.column("label").to_pylist(), np.int64))
 

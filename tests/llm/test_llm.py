@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featlens.llm import chain, licenses, mixing, passages, pieces, quality, secretscan, simhash, text, toxicity, warc, weighted
+import corpus_pipeline
+from featlens.llm import chain, licenses, mixing, passages, pieces, quality, queries, secretscan, simhash, text, toxicity, warc, weighted
 from featlens.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,6 +24,65 @@ def real(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+#: Rows with nulls, empty and long texts, ties and repeats.
+HARD = [*ODD, *ODD[3:6], (None, "no id here at all"), (None, "another text " * 30), (7, "an id again"), (None, None), (11, "x" * 100_000), (12, "word " * 60_000)]
+
+
+def clashing(spark, rows=HARD):
+    """documents with further columns, named as the operators name theirs."""
+    extra = ["row", "copies", "tag", "_tag", "key", "block", "bits", "label", "score", "spans", "ids", "seen", "size"]
+    made = [(i, t, "en", None if k % 4 == 0 else f"s{k % 3}", -1 if t is None else len(t), *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+
+
+STAGES = corpus_pipeline.STAGES
+
+
+@pytest.mark.parametrize("k", range(len(STAGES)), ids=[n for n, _ in STAGES])
+def test_stages_take_hard_rows(spark, k, tmp_path):
+    name, stage = STAGES[k]
+    sf = "/root/testdata/sf0.001"
+    path = f"file://{tmp_path}/d"
+    clashing(spark).write.parquet(path)
+    d = spark.read.parquet(path)
+    out = stage(spark, d, sf)
+    rows, before = out.collect(), d.collect()
+    if name != "sentencepiece":
+        assert out.columns == d.columns
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name in ("toxicity", "secrets", "sentencepiece"):
+        assert ids == collections.Counter(r.doc_id for r in before)
+    if name == "simhash":
+        texts = lambda t: " ".join((t or "").lower().split())
+        # none of the different texts here are near one another, but the repetitive ones may be
+        assert len(rows) == len(set(map(str, rows))) and {texts(r.text) for r in rows} <= {texts(r.text) for r in before}
+        assert sum(r.doc_id is None for r in rows) >= 2 and sum(r.doc_id == 7 for r in rows) == 2
+    if name == "mixing":
+        assert {str(r) for r in rows} <= {str(r) for r in before} and all(n <= 2 * c for n, c in ((ids[i], sum(r.doc_id == i for r in before)) for i in ids))
+        assert ids[1] == 1 and {r.text for r in rows if r.doc_id is None} >= {None}
+    if name == "sentencepiece":
+        model = pieces.load(queries.PIECES)
+        back = pieces.decode_documents(out, model).collect()
+        assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(r.doc_id), r.text or "") for r in before)
+    assert stage(spark, d.where("false"), sf).count() == 0
+
+
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf).collect()
+    d = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    kept = collections.Counter(r.doc_id for r in out)
+    assert set(kept) <= set(d) and max(kept.values()) <= 2 and all(near[i] == i for i in kept if near[i] in kept)
+    import sentencepiece as sp
+
+    lib = sp.SentencePieceProcessor(model_file=queries.PIECES)
+    clean = [r for r in out if not brute_secrets(d[r.doc_id] or "")]
+    assert len(clean) > 100 and sum(r.ids == lib.encode(d[r.doc_id]) for r in clean) >= len(clean) - 2
+    masked = [r for r in out if brute_secrets(d[r.doc_id] or "")]
+    assert all("[secret]" in lib.decode(list(r.ids)) for r in masked)
+
+
 def brute_log(score, first, trans, start, pick):
     """Marginals or best path of each text by enumeration."""
     import itertools
@@ -280,6 +340,41 @@ def test_secrets(spark):
     assert secretscan.scan(docs(spark), secretscan.train(docs(spark).where("false"))).count() == len(ODD)
 
 
+def test_field_finds_secrets_that_no_pattern_matches(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secretscan.train(d)
+    rng = np.random.default_rng(5)
+    leads = ["deploy with Bearer ", "conn: mongodb://app:", "use code ", "x-auth-id: ", "the value "]
+    letters = ["0123456789ABCDEF", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    rows, truth = [], {}
+    for r in d.where("text IS NOT NULL").limit(300).collect():
+        value = "".join(rng.choice(list(letters[rng.integers(3)]), int(rng.integers(20, 60))))
+        w = r.text.split(" ")
+        k = int(rng.integers(0, len(w) + 1))
+        before = " ".join(w[:k]) + " " + leads[rng.integers(5)]
+        truth[r.doc_id] = (len(before), len(before) + len(value))
+        rows.append((r.doc_id, before + value + " " + " ".join(w[k:])))
+    out = secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    hits = sum(any(s.start <= truth[r.doc_id][0] and s.end >= truth[r.doc_id][1] for s in r.spans) for r in out)
+    assert hits >= 0.9 * len(rows)
+    clean = secretscan.scan(d, model).where("exists(spans, s -> s.kind = 'crf')").count()
+    assert clean <= 0.01 * d.count()
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = queries.op7_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").join(d.select("doc_id", "text"), "doc_id").where("toxic IS NOT NULL").collect()
+    words = lambda r: set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+    seen = [collections.Counter(w for r in out if not r.held_out and r.toxic == y for w in words(r)) for y in (0, 1)]
+    told = {w for w, n in seen[1].items() if n >= 6 and not seen[0][w]}
+    held = [r for r in out if r.held_out]
+    # labels of documents without any such word can't be told from the text
+    sure = [r for r in held if r.toxic and words(r) & told]
+    assert len(told) >= 5 and len(sure) >= 8 and sum(r.predicted for r in sure) >= 0.9 * len(sure)
+    clean = [r for r in held if not r.toxic]
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
 def brute_windows(h, width):
     out = []
     for c in range(len(h)):
