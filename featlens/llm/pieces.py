@@ -42,7 +42,7 @@ from featlens.llm.storage import forget, written
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
 #: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
-FREQUENT, COMMON_LONG, LONG = 1 << 20, 1 << 10, 4096
+FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -359,9 +359,9 @@ def _numbered(batches, names: pa.Array):
 class Pieces:
     """What putting documents together needs: the frequent units' ids, and every id's bytes."""
 
-    def __init__(self, model: Model, ids: list[list[int]]):
-        self.ids = np.array([i for x in ids for i in x], np.int32)
-        self.ends = np.concatenate([[0, 0], np.cumsum([len(x) for x in ids], dtype=np.int64)])  # number 0 has none here
+    def __init__(self, model: Model, ids: pa.ListArray):
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.ends = np.concatenate([[0, 0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)])  # number 0 has none here
         of = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.unknown: "\u2047".encode()}
         if model.first_byte is not None:
             of |= {model.first_byte + b: bytes([b]) for b in range(256)}
@@ -415,9 +415,10 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
     known = vocabulary(documents, model)
     chosen = frequent(known)
     # at most FREQUENT + COMMON_LONG rows
-    often = known.where(chosen).select("unit", "ids", "seen").toArrow().sort_by([("seen", "descending"), ("unit", "ascending")])
+    often = known.where(chosen).orderBy(F.desc("seen"), "unit").select("unit", "ids").toArrow()
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
-    table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").to_pylist()))
+    table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").combine_chunks()))
+    del often
     kept = ["row", "doc_id", *(["text_md5"] if decode else [])]
     kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
     rows = documents.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "text_md5": F.unhex(F.md5("text"))})
@@ -434,7 +435,7 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
     """encoded (doc_id, ids) -> doc_id, text: what encode_documents encoded."""
-    table = encoded.sparkSession.sparkContext.broadcast(Pieces(model, []))
+    table = encoded.sparkSession.sparkContext.broadcast(Pieces(model, pa.array([], pa.list_(pa.int32()))))
 
     def texts(batches):
         for b in batches:
