@@ -21,7 +21,7 @@ from featlens.sources import declared, files
 
 #: The command line's parameters and their defaults.
 DEFAULTS = {
-    "file-format": "KEEL", "data-format": "dense", "npart": "0", "disc": "none", "disc-nbins": "15", "disc-nchrom": "50", "disc-geval": "5000", "disc-mvfactor": "1", "disc-alpha": "0.7", "disc-srate": "0.1", "disc-vth": "100",
+    "file-format": "declared", "data-format": "dense", "npart": "0", "disc": "none", "disc-nbins": "15", "disc-nchrom": "50", "disc-geval": "5000", "disc-mvfactor": "1", "disc-alpha": "0.7", "disc-srate": "0.1", "disc-vth": "100",
     "fs": "no", "fs-criterion": "mrmr", "fs-nfeat": "100", "fs-beta": "0", "classifier": "svm", "folds": "1",
 }
 

@@ -135,6 +135,36 @@ def _second_pick(name: str) -> None:
     query(f"WITH {BASE}, {LONG}, {HIST2}, {MI}, {pair_sql(0)} SELECT feature, {ROUND(SCORES[name])} AS score FROM pair JOIN (SELECT feature, mi AS rel FROM mi) USING (feature)")(second)
 
 
+#: Scores over the picks so far, as SQL aggregates over pairs (mi, cmi) of a feature.
+GREEDY = {
+    "mim": "rel",
+    "mifs": "rel - sum(p.mi)",
+    "jmi": "rel - avg(p.mi) + avg(p.cmi)",
+    "mrmr": "rel - avg(p.mi)",
+    "cmim": "rel - greatest(0, max(p.mi - p.cmi))",
+    "if": "rel - greatest(0, max(p.mi - p.cmi))",
+    "icap": "rel - sum(greatest(0, p.mi - p.cmi))",
+}
+
+
+def greedy_sql(name: str) -> str:
+    """The greedy search unrolled: every pair of features first, then one pick after another."""
+    n = len(FEATURES)
+    parts = " UNION ALL ".join(f"SELECT {j} AS pick, {i} AS feature, f{i} AS x, f{j} AS y, y AS z FROM base" for j in range(n) for i in range(n) if i != j)
+    key = "pick, feature"
+    steps = ["p1 AS (SELECT 1 AS rank, feature, rel AS score FROM rel ORDER BY rel DESC, feature LIMIT 1)"]
+    for k in range(2, n + 1):
+        steps.append(f"""s{k} AS (SELECT feature, {GREEDY[name]} AS score FROM rel JOIN pairs p USING (feature) WHERE p.pick IN (SELECT feature FROM p{k - 1}) AND feature NOT IN (SELECT feature FROM p{k - 1}) GROUP BY feature, rel),
+p{k} AS (SELECT * FROM p{k - 1} UNION ALL (SELECT {k} AS rank, feature, score FROM s{k} ORDER BY round(score, 12) DESC, feature LIMIT 1))""")
+    return f"""WITH {BASE}, {LONG}, {HIST2}, {MI}, rel AS (SELECT feature, mi AS rel FROM mi), l3 AS ({parts}), h3 AS (SELECT {key}, x, y, z, count(*)::DOUBLE AS n FROM l3 GROUP BY ALL),
+c3 AS (SELECT {key}, sum(n / nt * log2(n * nz / (nxz * nyz))) AS cmi FROM (SELECT {key}, n, sum(n) OVER (PARTITION BY {key}, x, z) AS nxz,
+  sum(n) OVER (PARTITION BY {key}, y, z) AS nyz, sum(n) OVER (PARTITION BY {key}, z) AS nz, sum(n) OVER (PARTITION BY {key}) AS nt FROM h3) GROUP BY {key}),
+m3 AS (SELECT {key}, sum(n / nt * log2(n * nt / (nx * ny))) AS mi FROM (SELECT {key}, n, sum(n) OVER (PARTITION BY {key}, x) AS nx, sum(n) OVER (PARTITION BY {key}, y) AS ny,
+  sum(n) OVER (PARTITION BY {key}) AS nt FROM (SELECT {key}, x, y, sum(n) AS n FROM h3 GROUP BY ALL)) GROUP BY {key}),
+pairs AS (SELECT {key}, mi, cmi FROM m3 JOIN c3 USING ({key})), {", ".join(steps)}
+SELECT rank::INT AS rank, feature, {ROUND('score')} AS score FROM p{n}"""
+
+
 def _greedy(name: str) -> None:
     def greedy(spark, sf_dir):
         rows = binned(spark, sf_dir).persist()
@@ -143,7 +173,7 @@ def _greedy(name: str) -> None:
         return found.select("rank", "feature", rounded("score").alias("score"))
 
     greedy.__name__ = f"select_{name}"
-    query()(greedy)
+    query(greedy_sql(name))(greedy)
 
 
 for _name in CRITERIA:
@@ -166,21 +196,22 @@ def sparse_redundancy(spark, sf_dir):
     return info.redundancy_sparse(files.sparse_entries(binned(spark, sf_dir), "bins"), 0).select("feature", rounded("mi").alias("mi"), rounded("cmi").alias("cmi"))
 
 
-@query(
-    f"""WITH {BASE}, {LONG}, {HIST2}, g AS (SELECT f.feature, f.x, l.y, nx, ny, nt, coalesce(h.n, 0) AS n FROM
+CHI = f"""{BASE}, {LONG}, {HIST2}, g AS (SELECT f.feature, f.x, l.y, nx, ny, nt, coalesce(h.n, 0) AS n FROM
   (SELECT feature, x, sum(n) AS nx FROM h2 GROUP BY ALL) f JOIN (SELECT feature, y, sum(n) AS ny, sum(sum(n)) OVER (PARTITION BY feature) AS nt FROM h2 GROUP BY feature, y) l USING (feature)
-  LEFT JOIN h2 h ON h.feature = f.feature AND h.x = f.x AND h.y = l.y)
-SELECT feature, round(sum((n - nx * ny / nt) * (n - nx * ny / nt) / (nx * ny / nt)), 4) + 0.0 AS statistic FROM g GROUP BY feature"""
-)
+  LEFT JOIN h2 h ON h.feature = f.feature AND h.x = f.x AND h.y = l.y),
+chi AS (SELECT feature, sum((n - nx * ny / nt) * (n - nx * ny / nt) / (nx * ny / nt)) AS statistic FROM g GROUP BY feature)"""
+
+
+@query(f"WITH {CHI} SELECT feature, round(statistic, 4) + 0.0 AS statistic FROM chi")
 def chi_square_rank(spark, sf_dir):
     rows = binned(spark, sf_dir).select(F.col("y").cast("double").alias("label"), array_to_vector(F.col("bins").cast("array<double>")).alias("features"))
     return select.chi_square(rows).select("feature", (F.round("statistic", 4) + 0.0).alias("statistic"))
 
 
-@query()
+@query(f"WITH {CHI} SELECT (row_number() OVER (ORDER BY statistic DESC, feature))::INT AS rank, feature, round(statistic, 4) + 0.0 AS score FROM chi QUALIFY rank <= 3")
 def chi_square_select(spark, sf_dir):
     rows = binned(spark, sf_dir).select(F.col("y").cast("double").alias("label"), array_to_vector(F.col("bins").cast("array<double>")).alias("features"))
-    return select.chi_square_select(rows, 3).table(spark)
+    return select.chi_square_select(rows, 3).table(spark).select("rank", "feature", (F.round("score", 4) + 0.0).alias("score"))
 
 
 # ---- discretization ----
@@ -192,13 +223,21 @@ def continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.expr(LABEL).alias("y"), F.array("l_quantity", "l_extendedprice").alias("features"))
 
 
-POINTS = f"""pts AS (SELECT v, y, count(*) AS n FROM (SELECT l_quantity::FLOAT AS v, {LABEL} AS y FROM lineitem) GROUP BY ALL),
+PRICE_LABEL = "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_extendedprice <= 20000 THEN 0 WHEN l_extendedprice <= 60000 THEN 1 ELSE 2 END"
+
+
+def points_sql(value: str, label: str) -> str:
+    """CTE cands: the boundary candidates of a value with class counts."""
+    return f"""pts AS (SELECT v, y, count(*) AS n FROM (SELECT {value}::FLOAT AS v, {label} AS y FROM lineitem) GROUP BY ALL),
 vals AS (SELECT v, min(y) AS low, max(y) AS high, {', '.join(f'coalesce(sum(n) FILTER (y = {i}), 0) AS c{i}' for i in range(3))} FROM pts GROUP BY v),
 mark AS (SELECT *, CASE WHEN lag(v) OVER w IS NOT NULL AND NOT least(low, lag(low) OVER w) = greatest(high, lag(high) OVER w) THEN 1 ELSE 0 END AS starts FROM vals WINDOW w AS (ORDER BY v)),
 runs AS (SELECT run, min(v) AS first, max(v) AS last, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2 FROM (SELECT *, sum(starts) OVER (ORDER BY v) AS run FROM mark) GROUP BY run),
 cands AS (SELECT (CASE WHEN lead(first) OVER w IS NULL THEN last ELSE ((last::DOUBLE + (lead(first) OVER w)::DOUBLE) / 2)::FLOAT END)::DOUBLE AS cut, c0, c1, c2 FROM runs WINDOW w AS (ORDER BY run))"""
 
 
+POINTS = points_sql("l_quantity", LABEL)
+
+
 @query(f"SELECT 0 AS feature, v::DOUBLE AS v, y, n FROM (SELECT l_quantity::FLOAT AS v, {LABEL} AS y, count(*) AS n FROM lineitem GROUP BY ALL)")
 def distinct_value_hist(spark, sf_dir):
     return mdlp.point_hist(continuous(spark, sf_dir), only=[0]).select("feature", F.col("v").cast("double").alias("v"), "y", "n")
@@ -226,27 +265,45 @@ def mdlp_root_costs(spark, sf_dir):
     return mdlp.split_costs(cum, nodes, 3).select(F.col("cut").cast("double").alias("cut"), rounded("w").alias("w"))
 
 
+def search_sql(points: str, levels: int = 5) -> str:
+    """The search for cuts by description length, unrolled level by level."""
+    each = range(3)
+    sums = ", ".join(f"sum(c{i}) OVER w AS l{i}" for i in each)
+    parts = [f"WITH {points}, cum AS (SELECT *, {sums} FROM cands WINDOW w AS (ORDER BY cut))", f"n0 AS (SELECT '-inf'::DOUBLE AS lo, 'inf'::DOUBLE AS hi, {', '.join(f'0 AS b{i}' for i in each)}, {', '.join(f'sum(c{i}) AS t{i}' for i in each)} FROM cands)"]
+    entropy = lambda c, s: " + ".join(_PART(f"{c}{i}", s) for i in each)
+    number = lambda c: " + ".join(f"({c}{i} > 0)::INT" for i in each)
+    for k in range(levels):
+        left = ", ".join(f"(l{i} - b{i})::DOUBLE AS x{i}, (t{i} - l{i} + b{i})::DOUBLE AS z{i}, t{i}::DOUBLE AS a{i}" for i in each)
+        parts.append(f"""e{k} AS (SELECT *, x0 + x1 + x2 AS s1, z0 + z1 + z2 AS s2, a0 + a1 + a2 AS s FROM (SELECT *, {left} FROM cum JOIN n{k} ON cut > lo AND cut < hi)),
+h{k} AS (SELECT *, {entropy('a', 's')} AS hs, {entropy('x', 's1')} AS h1, {entropy('z', 's2')} AS h2, {number('a')} AS k0, {number('x')} AS k1, {number('z')} AS k2 FROM e{k}),
+w{k} AS (SELECT *, (s1 * h1 + s2 * h2) / s AS w, log2(3.0 ** k0 - 2) - (k0 * hs - k1 * h1 - k2 * h2) AS delta FROM h{k}),
+g{k} AS (SELECT * FROM w{k} WHERE CASE WHEN s <= 1 THEN true ELSE hs - w - (log2(s - 1) + delta) / s > -1e-5 END QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY w, cut) = 1),
+n{k + 1} AS (SELECT * FROM (SELECT lo, cut AS hi, {', '.join(f'b{i}' for i in each)}, {', '.join(f'l{i} - c{i} - b{i} AS t{i}' for i in each)} FROM g{k} UNION ALL
+  SELECT cut AS lo, hi, {', '.join(f'l{i} AS b{i}' for i in each)}, {', '.join(f'b{i} + t{i} - l{i} AS t{i}' for i in each)} FROM g{k}) WHERE t0 + t1 + t2 > 0)""")
+    found = " UNION ALL ".join(f"SELECT cut FROM g{k}" for k in range(levels))
+    return ", ".join(parts) + f" SELECT 0 AS feature, (row_number() OVER (ORDER BY cut) - 1)::INT AS place, cut FROM ({found})"
+
+
 def _cut_rows(spark: SparkSession, t: Thresholds) -> DataFrame:
     return t.table(spark).select("feature", F.posexplode("thresholds").alias("place", "cut")).select("feature", "place", F.col("cut").cast("double").alias("cut"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 10.5::DOUBLE), (0, 1, 30.5::DOUBLE)) t(feature, place, cut)")
+@query(search_sql(POINTS))
 def mdlp_quantity(spark, sf_dir):
     return _cut_rows(spark, mdlp.fit(continuous(spark, sf_dir), only=[0]))
 
 
-@query()
+@query(search_sql(points_sql("l_extendedprice", PRICE_LABEL)))
 def mdlp_full(spark, sf_dir):
     return _cut_rows(spark, mdlp.fit(priced(spark, sf_dir)))
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, y, features): price, with labels by its bands."""
-    label = "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_extendedprice <= 20000 THEN 0 WHEN l_extendedprice <= 60000 THEN 1 ELSE 2 END"
-    return _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.expr(label).alias("y"), F.array("l_extendedprice").alias("features"))
+    return _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.expr(PRICE_LABEL).alias("y"), F.array("l_extendedprice").alias("features"))
 
 
-@query()
+@query(search_sql(points_sql("l_extendedprice", PRICE_LABEL)))
 def mdlp_levels(spark, sf_dir):
     """The search for features with many cuts, whatever their number."""
     return _cut_rows(spark, mdlp.fit(priced(spark, sf_dir), max_by_part=0))
@@ -314,10 +371,11 @@ def clamp_bounds(spark, sf_dir):
     return declared.clamped(_customers(spark, sf_dir).select("c_custkey", "c_acctbal"), header)
 
 
-@query("SELECT DISTINCT p_type FROM part WHERE p_partkey % 50 = 0 EXCEPT SELECT p_type FROM part WHERE p_partkey % 50 <> 0 AND p_size < 3")
+@query("SELECT DISTINCT floor(c_acctbal)::BIGINT::VARCHAR AS balance FROM customer EXCEPT SELECT floor(s_acctbal)::BIGINT::VARCHAR FROM supplier")
 def unseen_nominals(spark, sf_dir):
-    part = _table(spark, sf_dir, "part")
-    return declared.unseen(part.where("p_partkey % 50 = 0"), part.where("p_partkey % 50 <> 0 AND p_size < 3"), "p_type")
+    """Whole balances of customers that no supplier has."""
+    customers = _table(spark, sf_dir, "customer").select(F.floor("c_acctbal").cast("bigint").cast("string").alias("balance"))
+    return declared.unseen(customers, _table(spark, sf_dir, "supplier").select(F.floor("s_acctbal").cast("bigint").cast("string").alias("balance")), "balance")
 
 
 @query("SELECT CASE WHEN c_acctbal < 0 THEN 'below minimum' ELSE 'above maximum' END AS kind, count(*) AS n FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000 GROUP BY 1")
@@ -327,6 +385,65 @@ def validation_errors(spark, sf_dir):
     return declared.validate(declared.raw_rows(lines), header).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# ---- files ----
+
+COUNTED = f"WITH {BASE} SELECT y::DOUBLE AS label, {', '.join(f'f{i}::DOUBLE AS f{i}' for i in range(len(FEATURES)))}, count(*) AS n FROM base GROUP BY ALL"
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("label").cast("double").alias("label"), *[F.col("features")[i].cast("double").alias(f"f{i}") for i in range(len(FEATURES))]).agg(F.count("*").alias("n"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binned(spark, sf_dir).select(F.col("y").cast("double").alias("label"), F.col("bins").cast("array<double>").alias("features"))
+
+
+@query(COUNTED)
+def libsvm_round_trip(spark, sf_dir):
+    path = files.scratch(spark, "libsvm")
+    files.write_libsvm(_labelled(spark, sf_dir), path)
+    return _counted(files.read_libsvm(spark, path, dense=True, n_features=len(FEATURES)))
+
+
+@query(COUNTED)
+def delimited_round_trip(spark, sf_dir):
+    path = files.scratch(spark, "delimited")
+    rows = _labelled(spark, sf_dir)
+    rows.select("label", *[F.col("features")[i].alias(f"f{i}") for i in range(len(FEATURES))]).write.csv(path)
+    return _counted(files.read_delimited(spark, path, len(FEATURES) + 1))
+
+
+@query(COUNTED)
+def sparse_table_round_trip(spark, sf_dir):
+    path = files.scratch(spark, "sparse")
+    files.write_table(files.sparse_entries(_labelled(spark, sf_dir)), path)
+    entries = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["i"], e["v"])))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0)))
+    return _counted(spark.read.parquet(path).select("label", dense.alias("features")))
+
+
+@query("SELECT c_acctbal, c_nationkey::BIGINT AS c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL")
+def declared_round_trip(spark, sf_dir):
+    path = files.scratch(spark, "declared")
+    declared.write(_customers(spark, sf_dir), CUSTOMERS, path)
+    rows, _ = declared.read(spark, path, declared.read_header(spark, path + ".header"))
+    return rows.groupBy("c_acctbal", "c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 10.5::DOUBLE), (0, 1, 30.5::DOUBLE), (2, 0, 4.0::DOUBLE)) t(feature, place, cut)")
+def threshold_store(spark, sf_dir):
+    path = files.scratch(spark, "thresholds")
+    files.write_thresholds(spark, Thresholds([[10.5, 30.5], None, [4.0]]), path)
+    return _cut_rows(spark, files.read_thresholds(spark, path, 3))
+
+
+@query(f"WITH {BASE}, {LONG}, {HIST2}, {MI} SELECT rank, feature, {ROUND('mi')} AS score FROM (SELECT *, (row_number() OVER (ORDER BY mi DESC, feature))::INT AS rank FROM mi) WHERE rank <= 4")
+def selection_store(spark, sf_dir):
+    path = files.scratch(spark, "selection")
+    files.write_selection(spark, select.select_features(binned(spark, sf_dir), "mim", 4), path)
+    return files.read_selection(spark, path).table(spark).select("rank", "feature", rounded("score").alias("score"))
+
+
 # ---- evaluation ----
 
 PREDICTED = f"SELECT l_orderkey % 5 AS fold, CASE WHEN {LABEL} = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS label, CASE WHEN l_extendedprice > 40000 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM lineitem"

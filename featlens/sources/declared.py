@@ -142,9 +142,11 @@ def _attribute(name: str, rest: str) -> Attribute:
 
 
 def read_header(spark: SparkSession, path: str, most: int = 100_000) -> Header:
-    """The header of a file: the lines up to @data. A header has at most so many lines."""
-    numbered = spark.read.text(path, wholetext=False)
-    return parse_header([r.value for r in numbered.limit(most).collect()])
+    """The header of a file: the lines up to @data, in the file's order. A header that has no @data within so many lines is an error, not cut."""
+    lines = [r.value for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most and not any(x.strip().lower().startswith("@data") for x in lines):
+        raise ValueError(f"no @data in the first {most} lines of {path}")
+    return parse_header(lines)
 
 
 def _data_lines(lines: DataFrame) -> DataFrame:

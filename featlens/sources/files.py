@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,16 @@ from featlens.operators.bins import Thresholds
 from featlens.operators.select import Selection
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local master may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints/featlens"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def read_libsvm(spark: SparkSession, path: str, dense: bool = False, n_features: int | None = None) -> DataFrame:
     """(label, features): label -1 becomes 0; features a vector, or an array if dense."""
     reader = spark.read.format("libsvm")
