@@ -15,9 +15,13 @@ template word that is not in the window cannot be matched. Of a hit and the
 windows that start in it, the one that matches most words counts, and of equal
 ones the shortest; the scan goes on behind it.
 
+Of hits of several templates that overlap, the one that matches most words
+counts (of equal ones the larger share, then the smaller name): a notice inside
+a longer one is not reported beside it.
+
 Null and empty texts have no licenses. Repeated rows are scanned each; null
-doc_ids are kept; texts of any length are scanned whole; extra columns are
-ignored.
+doc_ids are kept; texts of any length are scanned whole; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +45,32 @@ TEMPLATES = {
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "BSD-2-Clause-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0",
+    "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
@@ -101,6 +130,8 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Template:
+    """A notice's words. find() needs a share of them, and all if they are few: of five words, each tells licenses apart."""
+
     def __init__(self, name: str, notice: str):
         buf = np.frombuffer(notice.encode(), np.uint8)
         self.name, self.hashes = name, text.Tokens(buf, np.array([0, len(buf)]), TABLE).hash
@@ -111,7 +142,7 @@ class Template:
 
     def find(self, hashes: np.ndarray, hits: np.ndarray, least: float) -> list[tuple[int, int, int]]:
         """(first token, end token, matched words) of each hit in a text, given the places of the template's words in it."""
-        need = int(np.ceil(least * len(self.list)))
+        need = int(np.ceil(least * len(self.list))) if len(self.list) > 5 else len(self.list)
         weight = np.array([self.count[h] for h in hashes[hits].tolist()])
         if weight.sum() < need:  # even with every word counted at each place
             return []
@@ -151,6 +182,15 @@ class Template:
         return out
 
 
+def apart(found: list[tuple[Template, int, int, int]]) -> list[tuple[Template, int, int, int]]:
+    """Of hits (template, first word, end, matched) that overlap, the one with most matched words, of equal ones the one with the larger share, then the smaller name."""
+    kept: list[tuple[Template, int, int, int]] = []
+    for hit in sorted(found, key=lambda h: (-h[3], -h[3] / len(h[0].list), h[0].name, h[1])):
+        if not any(hit[1] < e and s < hit[2] for _, s, e, _ in kept):
+            kept.append(hit)
+    return kept
+
+
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """documents' doc_id and licenses: array of (license, start, end, matched, coverage), by start; offsets are code points.
 
@@ -186,6 +226,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, min_cove
                     if not found:
                         out.append([])
                         continue
+                    found = apart(found)
                     spans = np.array([(toks.start[a], toks.end[e - 1]) for _, a, e, _ in found]) - offs[d]
                     points = text.code_points(buf[offs[d] : offs[d + 1]], spans.ravel()).reshape(-1, 2).tolist()
                     rows = [{"license": t.name, "start": s, "end": e, "matched": m, "coverage": m / len(t.list)} for (t, _, _, m), (s, e) in zip(found, points, strict=True)]

@@ -171,6 +171,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark).where("false")).count() == 0
 
 
+def test_licenses_against_the_planted_lines(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = {"GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    found = {r.doc_id: r.licenses for r in licenses.scan(d).collect()}
+    planted = 0
+    for r in d.collect():
+        truth = sorted((m.start(), n) for n, x in lines.items() for m in re.finditer(re.escape(x), r.text or ""))
+        planted += len(truth)
+        assert [(x.start, x.license) for x in found[r.doc_id]] == truth
+    assert planted >= 20
+
+
+def test_longest_license_counts(spark):
+    both = licenses.TEMPLATES["Apache-2.0-notice"]
+    rows = [(1, both), (2, "Licensed under CC BY 4.0"), (3, "Licensed under CC BY-NC-SA 4.0"), (4, "SPDX-License-Identifier: MIT"), (5, "SPDX-License-Identifier: Other")]
+    out = {r.doc_id: [x.license for x in r.licenses] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert out == {1: ["Apache-2.0-notice"], 2: ["CC-BY-4.0-short"], 3: ["CC-BY-NC-SA-4.0-short"], 4: ["SPDX-MIT"], 5: []}
+
+
 def test_licenses_are_aligned_at_their_best_window(spark):
     mit = licenses.TEMPLATES["MIT-text"]
     prose = "we went to the end of the road and saw the house of a friend who had to sell the car for the price of the use of it " * 5
