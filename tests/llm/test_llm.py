@@ -230,6 +230,11 @@ def test_quality(spark, real):
     assert quality.judge(d, quality.train(real, labels.where("false"))).where("kept = base_failed").count() == 0
 
 
+def test_quality_fits_on_a_sample(spark, real):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    assert quality.judge(real, quality.train(real, labels, sample_docs=20)).count() == real.count()
+
+
 def test_boost_learns_and_is_monotonic():
     rng = np.random.default_rng(1)
     x = rng.random((800, 2))
