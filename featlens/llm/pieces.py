@@ -37,12 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import forget, written
+from featlens.llm.storage import forget, setting, written
 
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
 #: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
 FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
+#: Documents whose units are in memory at once, in the JVM and in Python; and units that are numbered at once.
+BATCH, AT_ONCE = 2048, 1 << 20
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -315,8 +317,10 @@ def frequent(known: DataFrame) -> F.Column:
 
 def _short_numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of whole numbers below 2**28, seven bits to a byte, all but the last marked; and how many bytes each takes."""
-    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
-    end = np.cumsum(size)
+    size = np.ones(len(x), np.uint8)
+    for k in range(1, 4):
+        size += x >= 1 << 7 * k
+    end = np.cumsum(size, dtype=np.int64)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     for k in range(4):
         at = size > k
@@ -343,11 +347,11 @@ def _numbered(batches, names: pa.Array):
         lo = 0
         while lo < len(b):
             ends = units_.offsets.to_numpy()
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 22), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, "right")) - 1)
             flat, ends = units_.values.slice(ends[lo], ends[hi] - ends[lo]), ends[lo : hi + 1] - ends[lo]
-            number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy().astype(np.int64) + 1
+            number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() + np.int32(1)
             data, size = _short_numbers(number)
-            cut = np.concatenate([[0], np.cumsum(size)])[ends]
+            cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
             missing = number == 0
             rest = np.concatenate([[0], np.cumsum(missing)])[ends]
             numbers = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
@@ -423,7 +427,8 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
     kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
     rows = documents.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "text_md5": F.unhex(F.md5("text"))})
     split = rows.select(*kept, F.coalesce(units(model), F.array().cast("array<string>")).alias("units"))
-    numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), f"{kinds}, numbers binary, rest array<string>"), "numbered", "zstd")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), f"{kinds}, numbers binary, rest array<string>"), "numbered", "zstd")
     seldom = numbered.select("row", F.posexplode("rest").alias("n", "unit")).join(known.where(~chosen).select("unit", "ids"), "unit")
     others = written(seldom.select("row", "n", "ids"), "seldom-units", "zstd")
     forget(known)

@@ -28,17 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def releasing(spark: SparkSession) -> Iterator[None]:
-    """Within it, a write's shuffle files go as soon as its table is whole: nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it, the session's setting key is value."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def releasing(spark: SparkSession):
+    """Within it, a write's shuffle files go as soon as its table is whole: nothing reads them again."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
