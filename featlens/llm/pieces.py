@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units (a run of spaces with the word that follows, or a line
-break; where no piece mixes letters, digits and other characters, words are cut
-between those too), which no piece of the model crosses. Each distinct unit is
-encoded once: its substrings of at most the longest piece's length are exploded and
+Texts are cut into units which no piece of the model crosses: between two
+characters of kinds (space, line break, letter, digit, other) that stand side by
+side in no piece. Each distinct unit is encoded once: its substrings of at most the longest piece's length are exploded and
 equi-joined to the piece table, the edges are grouped by unit, and a Spark
 higher-order aggregate folds them. For unigram models the fold is Viterbi over
 the pieces' scores. For BPE models Viterbi over scores gives other pieces than
@@ -16,7 +15,8 @@ A document is then put together from its units. The most frequent units (at
 most FREQUENT, and COMMON_LONG longer ones, whatever the corpus) are known to
 every task by number, so a text becomes a string of short numbers where it
 lies; its other units are joined to their pieces by a shuffle and return to
-their places. The whole document's ids are decoded again from the pieces' bytes.
+their places. Cutting is cheaper than keeping: texts are cut anew, in Arrow
+batches, to count units, to find the seldom ones and to number the others. The whole document's ids are decoded again from the pieces' bytes.
 Units of more than MAX_FOLD code points, which are too long for the fold's
 64-bit sets, are encoded by the same rules in Python, in Arrow batches.
 
@@ -43,8 +43,9 @@ SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
 #: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
 FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
-#: Documents whose units are in memory at once, in the JVM and in Python; and units that are numbered at once.
-BATCH, AT_ONCE = 2048, 1 << 20
+#: Documents in an Arrow batch; bytes of text whose units are in memory at once (one document at least), and that are cut at once.
+BATCH, AT_ONCE, BLOCK = 2048, 8 << 20, 1 << 20
+KINDS = "SBLDO"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -52,7 +53,7 @@ UNKNOWN_PENALTY = 10.0
 def _kind(c: str) -> str:
     """S for a space, B for a line break, L for letters and marks, D for decimal digits, O for others."""
     category = unicodedata.category(c)
-    return "S" if c == SPACE else "B" if c == "\n" else "L" if category[0] in "LM" else "D" if category == "Nd" else "O"
+    return "S" if c in (SPACE, " ") else "B" if c == "\n" else "L" if category[0] in "LM" else "D" if category == "Nd" else "O"
 
 
 @dataclass(frozen=True)
@@ -68,16 +69,6 @@ class Model:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
-    @property
-    def unit_pattern(self) -> str:
-        """Cuts texts where no piece crosses: two characters side by side within no piece can be cut apart."""
-        pairs = {_kind(a) + _kind(b) for p, _, _ in self.pieces for a, b in zip(p, p[1:])}
-        if any("B" in p for p in pairs):
-            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        if pairs <= {"SS", "SL", "SO", "LL", "OO"}:
-            return f"{SPACE}*[\\p{{L}}\\p{{M}}]+|{SPACE}*[^{SPACE}\\n\\p{{L}}\\p{{M}}\\p{{Nd}}]+|\\p{{Nd}}|{SPACE}+|\\n"
-        return f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n"
-
 
 def load(path: str) -> Model:
     """Reads a .model file of SentencePiece; only on the driver."""
@@ -108,16 +99,71 @@ def from_proto(proto) -> Model:
     return Model(pieces, first_byte if proto.trainer_spec.byte_fallback else None, unknown, kind)
 
 
-def units(model: Model) -> F.Column:
-    """The units of column text."""
-    normal = F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE)))
-    return F.when(F.col("text") != "", F.regexp_extract_all(normal, F.lit(model.unit_pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _normal() -> F.Column:
+    """Column text with the dummy prefix; a space stands for both itself and the piece's sign for it. Empty for null."""
+    return F.when(F.col("text") != "", F.concat(F.lit(" "), F.replace(F.make_valid_utf8("text"), F.lit(SPACE), F.lit(" ")))).otherwise("").alias("text")
+
+
+class Cuts:
+    """Where texts are cut: whether no piece holds a character of one kind before one of another."""
+
+    def __init__(self, model: Model):
+        self.kind = np.fromiter((KINDS.index(_kind(chr(i))) for i in range(0x110000)), np.uint8, 0x110000)
+        joined = {_kind(a) + _kind(b) for p, _, _ in model.pieces for a, b in zip(p, p[1:])}
+        self.cut = np.array([a + b not in joined for a in KINDS for b in KINDS])
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts, and where in them each text's begin, and end."""
+        texts = texts.cast(pa.string())
+        _, offsets, values = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(values, np.uint8)[at[0] : at[-1]] if values and at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        found, lo, last = [np.zeros(0, np.int32)], 0, None
+        while lo < len(data):
+            hi = min(lo + BLOCK, len(data))
+            while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                hi += 1
+            part = data[lo:hi]
+            kind = self.kind[np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)]
+            begins = np.ones(len(kind), bool)
+            begins[1:] = self.cut[kind[:-1] * 5 + kind[1:]]
+            if last is not None:
+                begins[0] = self.cut[last * 5 + int(kind[0])]
+            found.append((np.flatnonzero((part & 0xC0) != 0x80)[begins] + lo).astype(np.int32))
+            lo, last = hi, int(kind[-1])
+        found = np.concatenate(found)
+        # a text begins with a space, which only the space that ends the text before it can hide
+        first = at[:-1][at[:-1] < at[1:]]
+        place = np.searchsorted(found, first)
+        hidden = np.append(found, -1)[place] != first
+        found = np.insert(found, place[hidden], first[hidden])
+        ends = np.append(found, np.int32(len(data))).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]), np.searchsorted(found, at)
+
+
+def _parts(batches):
+    """Slices of batches with at most AT_ONCE bytes in column text, or one row."""
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _counts(batches, cuts: Cuts):
+    """(text) -> unit, seen: what units each part holds, how many times."""
+    for b in _parts(batches):
+        found = cuts.units(b.column("text"))[0].value_counts()
+        yield pa.record_batch([found.field("values"), found.field("counts")], ["unit", "seen"])
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """piece, id, cost = -score, rank: the cost's place among all costs. At most MAX_PIECES rows."""
     place = {c: i for i, c in enumerate(sorted({-s for _, _, s in model.pieces}))}
-    return spark.createDataFrame([(p, i, -s, place[-s]) for p, i, s in model.pieces], "piece string, id int, cost double, rank bigint")
+    return spark.createDataFrame([(p.replace(SPACE, " "), i, -s, place[-s]) for p, i, s in model.pieces], "piece string, id int, cost double, rank bigint")
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
@@ -274,7 +320,7 @@ def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
 
     def encoded(batches):
         m = shared.value
-        table = {p: (i, s) for p, i, s in m.pieces}
+        table = {p.replace(SPACE, " "): (i, s) for p, i, s in m.pieces}
         for b in batches:
             ids = [encode_long(m, u, table) for u in b.column("unit").to_pylist()]
             yield pa.record_batch([b.column("unit"), b.column("seen"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "seen", "ids"])
@@ -283,15 +329,15 @@ def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
     return rest.mapInArrow(encoded, "unit string, seen bigint, ids array<int>")
 
 
-def counted(documents: DataFrame, model: Model) -> DataFrame:
-    """Written table of the corpus's distinct units: unit, seen (occurrences)."""
-    rows = documents.select(F.explode(units(model)).alias("unit"))
-    return written(rows.groupBy("unit").agg(F.count("*").alias("seen")), "units", "zstd")
+def counted(documents: DataFrame, cuts) -> DataFrame:
+    """Written table of the corpus's distinct units: unit, seen (occurrences). cuts: the broadcast Cuts."""
+    rows = documents.select(_normal()).mapInArrow(lambda batches: _counts(batches, cuts.value), "unit string, seen bigint")
+    return written(rows.groupBy("unit").agg(F.sum("seen").alias("seen")), "units", "zstd")
 
 
-def vocabulary(documents: DataFrame, model: Model) -> DataFrame:
+def vocabulary(documents: DataFrame, model: Model, cuts) -> DataFrame:
     """Written table of the corpus's distinct units: unit, seen (occurrences), ids."""
-    found = counted(documents, model)
+    found = counted(documents, cuts)
     known = written(encode_units(found, model).unionByName(encode_long_units(found, model)), "vocabulary", "zstd")
     forget(found)
     return known
@@ -340,24 +386,27 @@ def _numbers(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _numbered(batches, names: pa.Array):
-    """(units, other columns) -> the others, numbers (bytes: for each unit its place in names and 1, or 0) and rest: the units that are 0, in order."""
-    for b in batches:
-        units_, others = b.column("units"), [c for c in b.schema.names if c != "units"]
-        lo = 0
-        while lo < len(b):
-            ends = units_.offsets.to_numpy()
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, "right")) - 1)
-            flat, ends = units_.values.slice(ends[lo], ends[hi] - ends[lo]), ends[lo : hi + 1] - ends[lo]
-            number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() + np.int32(1)
-            data, size = _short_numbers(number)
-            cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
-            missing = number == 0
-            rest = np.concatenate([[0], np.cumsum(missing)])[ends]
-            numbers = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-            unknown = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), flat.filter(pa.array(missing)))
-            yield pa.record_batch([*[b.column(c).slice(lo, hi - lo) for c in others], numbers, unknown], [*others, "numbers", "rest"])
-            lo = hi
+def _seldom(batches, cuts: Cuts, names: pa.Array):
+    """(row, text) -> row, n, unit: the units that names lacks, numbered from 0 in each row."""
+    for b in _parts(batches):
+        flat, ends = cuts.units(b.column("text"))
+        missing = pc.is_null(pc.index_in(flat, value_set=names))
+        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
+        text = np.searchsorted(ends[1:], at, "right")
+        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
+        yield pa.record_batch([b.column("row").take(pa.array(text)), pa.array(n.astype(np.int32)), flat.filter(missing)], ["row", "n", "unit"])
+
+
+def _numbered(batches, cuts: Cuts, names: pa.Array):
+    """(text, other columns) -> the others and numbers (bytes: for each unit its place in names and 1, or 0)."""
+    for b in _parts(batches):
+        others = [c for c in b.schema.names if c != "text"]
+        flat, ends = cuts.units(b.column("text"))
+        number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() + np.int32(1)
+        data, size = _short_numbers(number)
+        cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
+        numbers = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        yield pa.record_batch([*[b.column(c) for c in others], numbers], [*others, "numbers"])
 
 
 class Pieces:
@@ -377,6 +426,8 @@ class Pieces:
         """Ids of a text: numbers' ids, and for number 0 the next sizes[i] ids of rest."""
         start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         missing = np.flatnonzero(numbers == 0)
+        if len(missing) != len(sizes):
+            raise ValueError("the rows of documents were numbered otherwise when they were read again")
         size[missing] = sizes
         if not len(self.ids):
             return rest
@@ -416,25 +467,26 @@ def _whole(batches, table: Pieces, decode: bool):
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
     """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. documents must come straight from a table, so that rows keep their numbers."""
     spark = documents.sparkSession
-    known = vocabulary(documents, model)
+    cuts = spark.sparkContext.broadcast(Cuts(model))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        known = vocabulary(documents, model, cuts)
     chosen = frequent(known)
     # at most FREQUENT + COMMON_LONG rows
     often = known.where(chosen).orderBy(F.desc("seen"), "unit").select("unit", "ids").toArrow()
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
     table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").combine_chunks()))
     del often
-    kept = ["row", "doc_id", *(["text_md5"] if decode else [])]
-    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
-    rows = documents.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "text_md5": F.unhex(F.md5("text"))})
-    split = rows.select(*kept, F.coalesce(units(model), F.array().cast("array<string>")).alias("units"))
+    row = F.monotonically_increasing_id().alias("row")
+    seldom = documents.select(row, _normal()).mapInArrow(lambda batches: _seldom(batches, cuts.value, names.value), "row bigint, n int, unit string")
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
-        numbered = written(split.mapInArrow(lambda batches: _numbered(batches, names.value), f"{kinds}, numbers binary, rest array<string>"), "numbered", "zstd")
-    seldom = numbered.select("row", F.posexplode("rest").alias("n", "unit")).join(known.where(~chosen).select("unit", "ids"), "unit")
-    others = written(seldom.select("row", "n", "ids"), "seldom-units", "zstd")
+        others = written(seldom.join(known.where(~chosen).select("unit", "ids"), "unit").select("row", "n", "ids"), "seldom-units", "zstd")
     forget(known)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    both = numbered.drop("rest").join(gathered, "row", "left")
+    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
+    rows = documents.select(row, "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
+    numbered = rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary")
+    both = numbered.join(gathered, "row", "left")
     return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 
 
