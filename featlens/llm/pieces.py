@@ -46,6 +46,8 @@ FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
 #: Documents in an Arrow batch; bytes of text whose units are in memory at once (one document at least), and that are cut at once.
 BATCH, AT_ONCE, BLOCK = 2048, 8 << 20, 1 << 20
 KINDS = "SBLDO"
+#: Units to a partition of the lattice.
+UNITS = 20_000
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -172,7 +174,7 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle;
     # in order before the rows are many, so that the grouping's sort finds them sorted;
     # so many units to a partition that their edges fit in memory
-    dealt = distinct.select("unit", "seen").repartition(max(1, distinct.count() // 20_000), "unit").sortWithinPartitions("unit")
+    dealt = distinct.select("unit", "seen").repartition(max(1, distinct.count() // UNITS), "unit").sortWithinPartitions("unit")
     starts = dealt.select("unit", "seen", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("unit", "seen", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
     spans = spans.select("unit", "seen", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
@@ -338,7 +340,9 @@ def counted(documents: DataFrame, cuts) -> DataFrame:
 def vocabulary(documents: DataFrame, model: Model, cuts) -> DataFrame:
     """Written table of the corpus's distinct units: unit, seen (occurrences), ids."""
     found = counted(documents, cuts)
-    known = written(encode_units(found, model).unionByName(encode_long_units(found, model)), "vocabulary", "zstd")
+    # the edges of a partition's units are grouped in memory, as there are about UNITS of them; beyond twice that, by sorting
+    with setting(documents.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * UNITS)):
+        known = written(encode_units(found, model).unionByName(encode_long_units(found, model)), "vocabulary", "zstd")
     forget(found)
     return known
 
