@@ -185,3 +185,37 @@ def test_running_histograms(spark, tmp_path):
     finally:
         query.stop()
     assert got == pytest.approx({r.feature: r.mi for r in info.relevance(rows).collect()})
+
+
+def test_cuts_are_those_of_the_sql(spark, tmp_path):
+    """More cuts than max_bins + 1, and halves that could be cut below the SQL's levels."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    quantity = rng.integers(1, 51, 600_000)
+    table = {"l_orderkey": np.arange(len(quantity)), "l_linenumber": np.where(rng.random(len(quantity)) < quantity / 51, 7, 1).astype(np.int32), "l_quantity": quantity.astype(float), "l_extendedprice": 70_000 + quantity / 4}
+    (tmp_path / "lineitem.parquet").mkdir()
+    pq.write_table(pa.table(table), tmp_path / "lineitem.parquet" / "part.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("mdlp_quantity", "mdlp_full", "mdlp_levels"):
+        want = sorted(sql.execute(queries.ORACLE_SQL[name]).fetchall())
+        assert len(want) > mdlp.MAX_BINS + 1
+        assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_cuts_that_are_equal_as_floats(spark):
+    rng = np.random.default_rng(6)
+    # a cent apart above 65,536: neighbours as floats, so middles coincide
+    k = rng.integers(0, 50, 4000)
+    y = (rng.random(4000) < np.where(k < 25, 0.1, 0.9)).astype(int)
+    df = spark.createDataFrame([(int(b), [float(70_000 + a / 100)]) for a, b in zip(k, y, strict=True)], "y int, features array<double>")
+    cands = mdlp.candidates(mdlp.point_hist(df), 2).collect()
+    assert len({r.cut for r in cands}) < len(cands)
+    cum = mdlp.cumulative(mdlp.candidates(mdlp.point_hist(df), 2), 2)
+    assert cum.groupBy("cut").agg(F.count_distinct("l0", "l1").alias("n")).where("n > 1").count() == 0
+    for levels in (1, 3, None):
+        one, two = (mdlp.fit(df, max_by_part=most, max_levels=levels).cuts[0] for most in (100_000, 0))
+        assert one == two and len(set(one)) == len(one)
