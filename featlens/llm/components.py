@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import written
+from featlens.llm.storage import merging, written
 
 
 def _roots(labels: DataFrame) -> DataFrame:
     """labels (node, root), each root smaller than its node or equal -> the same with the ends of the chains, by pointer jumping."""
     while True:
-        step = written(labels.join(labels.toDF("root", "far"), "root").select("node", F.col("root").alias("old"), F.col("far").alias("root")), "labels")
+        step = written(labels.join(merging(labels.toDF("root", "far")), "root").select("node", F.col("root").alias("old"), F.col("far").alias("root")), "labels")
         moved = step.where("root <> old").limit(1).count()
         labels = step.select("node", "root")
         if not moved:
@@ -35,8 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         if found is None:
             found = labels
         else:
-            found = written(found.join(labels.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
-        ends = e.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y")
+            found = written(found.join(merging(labels.toDF("root", "next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        ends = e.join(merging(labels.toDF("a", "x")), "a").join(merging(labels.toDF("b", "y")), "b").where("x <> y")
         e = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if e.limit(1).count() == 0:
             return found

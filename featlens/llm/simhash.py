@@ -29,7 +29,7 @@ from xxhash import xxh64_intdigest
 
 from featlens.llm import text
 from featlens.llm.components import components
-from featlens.llm.storage import forget, fresh, join_many, written
+from featlens.llm.storage import forget, fresh, join_many, merging, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of the segments: one more than half as many as MAX_BITS.
@@ -83,7 +83,7 @@ def links(nodes: DataFrame) -> DataFrame:
         part = x.bitwiseAND(F.lit(_signed(((1 << n) - 1) << lo)))
         own = F.when(F.bit_count(part) == 0, F.lit(lo)).when(F.bit_count(part) == 1, F.bit_count(part - 1) if lo + n < 64 else F.bit_count(F.when(part < 0, F.lit((1 << 63) - 1)).otherwise(part - 1))).otherwise(own)
     left, right = keyed.select(F.col("bits").alias("a"), "bit", "rest"), keyed.select(F.col("bits").alias("b"), F.col("bit").alias("bit2"), F.col("rest").alias("rest2"))
-    return left.join(right, (F.col("bit") == F.col("bit2")) & (F.col("rest") == F.col("rest2")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (own == F.col("bit"))).select("a", "b")
+    return left.join(merging(right), (F.col("bit") == F.col("bit2")) & (F.col("rest") == F.col("rest2")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (own == F.col("bit"))).select("a", "b")
 
 
 def _signed(x: int) -> int:
@@ -95,9 +95,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     prints = written(fingerprints(documents), "simhash")
     nodes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "simhash-nodes")
     roots = components(links(nodes.select("bits")))
-    of = written(nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits")), "simhash-roots")
+    of = written(nodes.join(merging(roots.withColumnRenamed("node", "bits")), "bits", "left").withColumn("root", F.coalesce("root", "bits")), "simhash-roots")
     names = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(of.drop("doc_id").join(names, "root").select("bits", "component_id", "seen"), "simhash-names")
+    named = written(of.drop("doc_id").join(merging(names), "root").select("bits", "component_id", "seen"), "simhash-names")
     forget(nodes, of)
     return join_many(prints, named, ["bits"], "seen", prints.count()).select("doc_id", "bits", "component_id")
 

@@ -557,3 +557,20 @@ def test_tokens():
     t = text.Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data) - 5, len(data)]), text.byte_table(text.SPACE + b","))
     assert [data[a:b].decode() for a, b in zip(t.start, t.end, strict=True)] == ["Ab", "cd", "é", "x", "ef", "gh"] and t.of_doc.tolist() == [0, 4, 6]
     assert t.hash[0] == text.hash_of(b"ab") and len(set(t.hash.tolist())) == 6
+
+
+def test_simhash_takes_no_table_through_the_driver(spark, monkeypatch):
+    from featlens.llm import components, storage
+
+    plans = []
+
+    def recorded(df, *rest):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return storage.written(df, *rest)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "written", recorded)
+    rows = [(i, " ".join(f"w{j}" for j in range(60)) + f" x{i % 7}") for i in range(40)] + [(100 + i, f"another text number {i} of its own") for i in range(20)]
+    near = simhash.near_duplicates(docs(spark, rows))
+    assert near.count() == 60
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
