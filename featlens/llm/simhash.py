@@ -118,4 +118,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row"))
     marked = near_duplicates(rows.select(name.alias("doc_id"), "text"))
     kept = written(marked.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(row)), "simhash-kept")
-    return rows.join(kept, row, "left_semi").drop(row)
+    return rows.join(merging(kept), row, "left_semi").drop(row)
