@@ -574,3 +574,15 @@ def test_simhash_takes_no_table_through_the_driver(spark, monkeypatch):
     near = simhash.near_duplicates(docs(spark, rows))
     assert near.count() == 60
     assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_passages_of_large_groups(spark):
+    """Every two of many texts that share a passage are linked, whatever stands beside it; copies are linked to their first."""
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    p = w("p", 60)
+    own = {i: " ".join(w(f"a{i}_", 30) + p + w(f"b{i}_", 30)) for i in range(24)}
+    rows = [*own.items(), *[(100 + i, own[7]) for i in range(5)]]
+    out = passages.repeated(docs(spark, rows)).collect()
+    links = {(r.doc_id, r.partner_id) for r in out}
+    assert links == {(a, b) for a in own for b in own if b < a} | {(100 + i, 7) for i in range(5)}
+    assert all((r.start, r.end, r.partner_start, r.partner_end) == ((30, 90, 30, 90) if r.doc_id < 100 else (0, 120, 0, 120)) and r.similarity == 1 for r in out)
