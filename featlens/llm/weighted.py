@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlens.llm.storage import setting, written
+
 SAMPLES = 16
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Documents of one bucket of the order by doc_id, about, and the number of buckets at most.
@@ -119,7 +121,10 @@ def compare(documents: DataFrame, number: int = SAMPLES) -> DataFrame:
     pair = prints.groupBy("bucket", "place").agg(F.first(F.when(~F.col("is_edited"), F.col("marks")), True).alias("marks"), F.first(F.when(F.col("is_edited"), F.col("marks")), True).alias("edited_marks"))
     near = pair.withColumn("next_marks", F.lead("marks").over(Window.partitionBy("bucket").orderBy("place")))
     facts = both.where(~F.col("is_guest")).select("bucket", "place", "doc_id", F.length("text").cast("bigint").alias("n_chars"), "edited")
-    return facts.join(near, ["bucket", "place"]).select("doc_id", "n_chars", "edited", "marks", "edited_marks", likeness("marks", "edited_marks", number).alias("near_edited"), likeness("marks", "next_marks", number).alias("near_next"))
+    out = facts.join(near, ["bucket", "place"]).select("doc_id", "n_chars", "edited", "marks", "edited_marks", likeness("marks", "edited_marks", number).alias("near_edited"), likeness("marks", "next_marks", number).alias("near_next"))
+    # both sides are dealt by bucket already: the texts need not move again to be joined by place, too
+    with setting(documents.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        return written(out, "compared")
 
 
 def hexadecimal(marks: str) -> F.Column:

@@ -586,3 +586,22 @@ def test_passages_of_large_groups(spark):
     links = {(r.doc_id, r.partner_id) for r in out}
     assert links == {(a, b) for a in own for b in own if b < a} | {(100 + i, 7) for i in range(5)}
     assert all((r.start, r.end, r.partner_start, r.partner_end) == ((30, 90, 30, 90) if r.doc_id < 100 else (0, 120, 0, 120)) and r.similarity == 1 for r in out)
+
+
+def test_fingerprints_move_texts_once(spark, real, monkeypatch):
+    from featlens.llm import storage
+
+    plans = []
+
+    def recorded(df, *rest):
+        out = storage.written(df, *rest)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(weighted, "written", recorded)
+    monkeypatch.setattr(weighted, "BUCKET_DOCS", 20)
+    d = real.select("doc_id", "text")
+    with storage.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = weighted.compare(d, 4)
+    assert out.count() == d.count() and len(plans) == 1 and "SortMergeJoin" in plans[0]
+    assert not any("Exchange hashpartitioning(bucket" in x and ", place" in x for x in plans[0].split("\n"))
