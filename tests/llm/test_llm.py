@@ -605,3 +605,24 @@ def test_fingerprints_move_texts_once(spark, real, monkeypatch):
         out = weighted.compare(d, 4)
     assert out.count() == d.count() and len(plans) == 1 and "SortMergeJoin" in plans[0]
     assert not any("Exchange hashpartitioning(bucket" in x and ", place" in x for x in plans[0].split("\n"))
+
+
+def test_passage_classes(spark, monkeypatch):
+    """Every row has one row and the class that all pairs give, whether a hub's documents are held together or in blocks."""
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    p, q, line = w("p", 60), w("q", 60), w("line", 30)
+    own = {i: " ".join(w(f"a{i}_", 30) + p + w(f"b{i}_", 30)) for i in range(24)}
+    own |= {i: " ".join(w(f"a{i}_", 60) + line + w(f"b{i}_", 60)) for i in range(30, 50)}
+    # they share the line with all, and a passage with one
+    own |= {50 + i: " ".join(w(f"a{30 + i}_", 60) + line + w(f"c{i}_", 60)) for i in range(0, 20, 4)}
+    rows = [*own.items(), *[(100 + i, own[7]) for i in range(5)], (110, " ".join(p + q)), (111, " ".join(w("x", 20) + q)), *ODD]
+    link = {r.doc_id: r.partner_id for r in sorted(passages.repeated(docs(spark, rows)).collect(), reverse=True)}
+    root = lambda i: root(link[i]) if i in link else i
+    for together in (256, 5):
+        monkeypatch.setattr(passages, "TOGETHER", together)
+        out = passages.classes(docs(spark, rows)).collect()
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+        assert {r.doc_id: r.class_id for r in out} == {i: None if i is None else root(i) for i, _ in rows}
+        assert all((r.partner_id is None) == (r.doc_id not in link and r.doc_id not in link.values()) for r in out)
+        assert all(min(r.end - r.start, r.partner_end - r.partner_start) >= 50 and r.similarity >= 0.8 for r in out if r.partner_id is not None)
+    assert passages.classes(docs(spark).where("false")).count() == 0
