@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm import licenses, mixing, passages, pieces, quality, secretscan, simhash, toxicity, warc, weighted
+from featlens.llm import infill, licenses, minhash, mixing, passages, pieces, quality, secretscan, simhash, toxicity, warc, weighted, whitening
 from featlens.llm.storage import table
 
 #: The SentencePiece model that op1 and the pipeline encode with.
@@ -74,7 +74,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_licenses, op3_quality, op4_fingerprints, op5_mixing, op6_simhash, op7_toxicity, op8_secrets, op9_passages, op10_warc)}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_licenses, op3_quality, op4_fingerprints, op5_mixing, op6_simhash, op7_toxicity, op8_secrets, op9_passages, op10_warc, op11_infill, op12_whitening, op13_minhash)}
 
 ORACLE_SQL = {
     "op10_warc": """
@@ -89,5 +103,42 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p
+""",
+    "op11_infill": """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', coalesce(doc_id::VARCHAR, ''))) AS d FROM documents
+), l AS (
+  SELECT doc_id, t, CASE WHEN t = '' THEN [] WHEN t LIKE '%' || chr(10) THEN string_split(t, chr(10))[:-2] ELSE string_split(t, chr(10)) END AS lines,
+    [('0x' || substr(d, 1 + 8 * i, 8))::BIGINT for i in range(4)] AS h
+  FROM h
+), c AS (
+  SELECT doc_id, t, lines, h, len(lines) AS n, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi FROM l
+), p AS (
+  SELECT doc_id, t, n, h, CASE WHEN lo = n THEN t WHEN lo = 0 THEN '' ELSE array_to_string(lines[1:lo], chr(10)) || chr(10) END AS a,
+    CASE WHEN hi = n THEN t WHEN hi = 0 THEN '' ELSE array_to_string(lines[1:hi], chr(10)) || chr(10) END AS ab
+  FROM c
+), f AS (
+  SELECT doc_id, t, n, a, substr(ab, length(a) + 1) AS m, substr(t, length(ab) + 1) AS s,
+    CASE WHEN t = '' OR h[3] % 100 >= 100 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM p
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+""",
+    "op13_minhash": """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles
+  FROM w
+), e AS (SELECT r, len(shingles) AS n, unnest(shingles) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM p JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * shared >= 80 * (len(x.shingles) + len(y.shingles) - shared)),
+reach(r, far) AS (SELECT r, r FROM s UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.far)
+SELECT s.doc_id, len(any_value(s.shingles))::BIGINT AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
+FROM reach JOIN s USING (r) JOIN s o ON o.r = far GROUP BY s.r, s.doc_id
 """,
 }

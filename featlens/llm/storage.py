@@ -90,6 +90,25 @@ def join_many(many: DataFrame, few: DataFrame, keys: list[str], seen: str, total
     return many.join(frequent, keys).unionByName(rest.join(merging(few.where(~hot).drop(seen)), keys))
 
 
+#: Rows of one key that are joined in one place, at least.
+SPLIT = 1000
+
+
+def join_split(many: DataFrame, few: DataFrame, keys: list[str], seen: str, total: int, spread: str) -> DataFrame:
+    """join_many() for a few whose rows may be large: instead of being broadcast, the row of a hot key is repeated, once for so many of many's rows, which column spread deals over the copies.
+
+    All repeats together are at most HOT_SHARE more than few's rows; the keys
+    of these, with their numbers of copies, are what is broadcast.
+    """
+    copies = F.ceil(F.col(seen) / F.lit(max(total / HOT_SHARE, float(SPLIT)))).cast("int")
+    dealt = few.withColumn("_copies", copies)
+    hot = F.broadcast(dealt.where("_copies > 1").select(*keys, "_copies"))
+    place = F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")
+    left = many.join(hot, keys, "left").withColumn("_copy", place).drop("_copies")
+    right = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", seen)
+    return left.join(merging(right), [*keys, "_copy"]).drop("_copy")
+
+
 def sampled(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
     """About rows of total rows (all of them if there are no more), chosen by a hash of keys: reruns agree, and equal keys go together."""
     if total <= rows:
