@@ -130,15 +130,19 @@ FROM f
     "op13_minhash": """
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), u AS (
+  SELECT r, len(words) AS n, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w
+), g AS (
+  SELECT r, n, i, lead(x, 3) OVER o AS last, concat_ws(' ', x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o) AS x FROM u WINDOW o AS (PARTITION BY r ORDER BY i)
+), d AS (
+  SELECT DISTINCT r, x FROM g WHERE last IS NOT NULL OR (n < 4 AND i = 1)
 ), s AS (
-  SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles
-  FROM w
-), e AS (SELECT r, len(shingles) AS n, unnest(shingles) AS x FROM s),
+  SELECT w.r, w.doc_id, count(d.r) AS n FROM w LEFT JOIN d ON d.r = w.r GROUP BY w.r, w.doc_id
+), e AS (SELECT d.r, x, n FROM d JOIN s ON s.r = d.r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.r, b.r),
-links AS (SELECT a, b FROM p JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * shared >= 80 * (len(x.shingles) + len(y.shingles) - shared)),
+links AS (SELECT a, b FROM p JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 reach(r, far) AS (SELECT r, r FROM s UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.far)
-SELECT s.doc_id, len(any_value(s.shingles))::BIGINT AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
+SELECT s.doc_id, any_value(s.n)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
 FROM reach JOIN s USING (r) JOIN s o ON o.r = far GROUP BY s.r, s.doc_id
 """,
 }
