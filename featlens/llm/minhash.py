@@ -1,23 +1,25 @@
 """Near-duplicates by b-bit MinHash over 4-word shingles.
 
-Of each of HASHES hash functions a document keeps the smallest value over its
-distinct shingles. BANDS keys, each of ROWS of these minima, bring documents
-together; of each minimum only the low BITS bits are kept, packed in words of 64
-bits. Two packed signatures agree in a share e = J + (1 - J) / 2**BITS of their
-lanes, so J is estimated as (e - c) / (1 - c) with c = 2**-BITS, by exclusive or
-and bit counts. A pair whose estimate is SLACK standard errors below the
-threshold is left; every other pair is confirmed on the whole sets.
-
-Documents with equal sets are one node, so copies never meet in pairs. The nodes
-of a band key meet in two steps. First each meets the key's smallest node, and
-what is confirmed is contracted into components. Then, for keys whose nodes are
-in several components, pairs of different components meet: all but the key's
-most frequent component against the whole key, in squares of BLOCK by BLOCK
-nodes at most. So a key of n nodes that are one another's near copies costs n
-comparisons, and no pair of different components is left out.
+A sketch has a number of hash functions; of each a document keeps the smallest
+value over its distinct shingles, and of that only the low bits, packed in words
+of 64. Two packed signatures agree in a share e = J + (1 - J) * c of their lanes,
+c = 2**-bits, so J is estimated as (e - c) / (1 - c) by exclusive or and bit
+counts. A pair whose estimate is SLACK standard errors below the threshold is
+left; every other pair is confirmed on the whole sets.
+
+BANDS keys, each of ROWS whole minima of the coarse sketch, bring documents
+together. Documents with equal sets are one node, so copies never meet in pairs.
+The nodes of a band key meet in two steps. First each meets the key's hub, the
+node that shares most keys with others: the least edited of a group of near
+copies. What is confirmed is contracted into components. Then, for keys whose
+nodes are in several components, pairs of different components meet: all but the
+key's most frequent component against the whole key, in squares of BLOCK by
+BLOCK nodes at most, judged by a fine sketch that only these nodes get. So a key
+of n nodes that are near copies of its hub costs n comparisons, and no pair of
+different components is left out.
 
 Two documents of similarity 0.8 share no band key with a chance of 5e-8; the
-estimate loses them with a chance below 1e-6. Every link that is found is exact.
+estimates lose them with a chance below 1e-6. Every link that is found is exact.
 
 Null and empty texts, and texts of white space, have an empty set and are linked
 with nothing. Texts of fewer than four words are one shingle. Very long texts
@@ -40,18 +42,64 @@ from featlens.llm import text
 from featlens.llm.components import components
 from featlens.llm.storage import forget, join_many, join_split, merging, written
 
-SHINGLE, BANDS, ROWS, BITS = 4, 32, 4, 4
-HASHES = BANDS * ROWS
-#: Lanes of one packed word, and words of a signature.
-LANES, WORDS = 64 // BITS, HASHES * BITS // 64
+SHINGLE, BANDS, ROWS = 4, 32, 4
 #: Links have at least PERCENT of 100 shingles of their union in common.
 PERCENT, SLACK = 80, 5.0
-#: Shingles whose hash values are held at once; nodes of a key that meet as many others in one group at most.
-STEP, BLOCK = 4096, 1024
-
-_DRAW = np.random.default_rng(20)
-_TIMES = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+#: Hash values that are held at once; nodes of a key that meet as many others in one group at most.
+STEP, BLOCK = 1 << 19, 1024
+
+
+class Sketch:
+    """So many hash functions (a multiple of 64 / bits), of whose minima the low bits are kept."""
+
+    def __init__(self, hashes: int, bits: int, seed: int):
+        draw = np.random.default_rng(seed)
+        self.hashes, self.bits, self.lanes = hashes, bits, 64 // bits
+        self.words = hashes // self.lanes
+        self._times = draw.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._plus = draw.integers(0, 1 << 63, hashes, dtype=np.uint64)
+        self._shifts = (np.arange(self.lanes, dtype=np.uint64) * np.uint64(bits))[None]
+
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
+        """The smallest value of every hash function over a set that isn't empty."""
+        least, step = None, max(STEP // self.hashes, 1)
+        for lo in range(0, len(shingles), step):
+            m = (shingles[lo : lo + step, None] * self._times + self._plus).min(0)
+            least = m if least is None else np.minimum(least, m)
+        return least
+
+    def packed(self, minima: np.ndarray) -> np.ndarray:
+        """The low bits of the minima; a hash value is the upper half of its 64 bits."""
+        low = (minima >> np.uint64(32)) & np.uint64((1 << self.bits) - 1)
+        return np.bitwise_or.reduce(low.reshape(self.words, self.lanes) << self._shifts, 1)
+
+    def estimate(self, a: str, b: str) -> Column:
+        """Jaccard similarity estimated from two packed signatures, corrected for lanes that agree by chance."""
+        ones = int("".join("0" * (self.bits - 1) + "1" for _ in range(self.lanes)), 2)
+        differ = F.lit(0)
+        for k in range(self.words):
+            x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+            any_bit = x
+            for i in range(1, self.bits):
+                any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, i))
+            differ = differ + F.bit_count(any_bit if self.bits == 1 else any_bit.bitwiseAND(F.lit(ones)))
+        c = 2.0**-self.bits
+        return (F.lit(1.0) - differ / F.lit(float(self.hashes)) - F.lit(c)) / F.lit(1 - c)
+
+    def least_estimate(self) -> float:
+        """SLACK standard errors below the threshold."""
+        j, c = PERCENT / 100, 2.0**-self.bits
+        e = j + (1 - j) * c
+        return j - SLACK * math.sqrt(e * (1 - e) / self.hashes) / (1 - c)
+
+    def plausible(self, n1: str, n2: str, marks1: str, marks2: str) -> Column:
+        """Whether sets of these sizes and signatures may be linked."""
+        sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
+        return sizes & (self.estimate(marks1, marks2) >= self.least_estimate())
+
+
+#: The first brings documents together and judges them, the second judges nodes of keys that hold several components.
+COARSE, FINE = Sketch(BANDS * ROWS, 4, 20), Sketch(2048, 1, 21)
 _TABLE = text.byte_table(text.SPACE)
 _TABLE[0] = 0xFF  # NUL is part of a word; no UTF-8 text has this byte
 
@@ -68,22 +116,13 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         if b - a >= SHINGLE:
             out.append(np.unique(joined[a : b - SHINGLE + 1]))
         else:
-            h = w[a : a + 1]
+            h = w[a : min(a + 1, b)]
             for k in range(a, b):
                 h = text.mix(h * np.uint64(5) + w[k : k + 1] + np.uint64(b - a))
             out.append(h)
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of every hash function over a set that isn't empty."""
-    least = None
-    for lo in range(0, len(shingles), STEP):
-        m = (shingles[lo : lo + STEP, None] * _TIMES + _PLUS).min(0)
-        least = m if least is None else np.minimum(least, m)
-    return least
-
-
 def keys(m: np.ndarray) -> np.ndarray:
     """BANDS hashes, each of a band's number and its minima."""
     h = np.arange(BANDS, dtype=np.uint64)
@@ -92,15 +131,6 @@ def keys(m: np.ndarray) -> np.ndarray:
     return h
 
 
-_SHIFTS = (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))[None]
-
-
-def packed(m: np.ndarray) -> np.ndarray:
-    """The low BITS bits of the minima; a hash value is the upper half of its 64 bits."""
-    low = (m >> np.uint64(32)) & np.uint64((1 << BITS) - 1)
-    return np.bitwise_or.reduce(low.reshape(WORDS, LANES) << _SHIFTS, 1)
-
-
 def _printed(batches):
     zero = np.zeros(0, np.uint64)
     for b in batches:
@@ -108,8 +138,8 @@ def _printed(batches):
             sets = shingle_sets(buf, offs)
             # two sums tell sets apart: the sums of two hashes of their members
             sums = [[int(text.mix(s + np.uint64(k)).sum(dtype=np.uint64)) for s in sets] for k in (1, 2)]
-            ms = [minima(s) if len(s) else None for s in sets]
-            lists = [pa.array([(zero if m is None else f(m)).view(np.int64) for m in ms], pa.list_(pa.int64())) for f in (keys, packed)]
+            ms = [COARSE.minima(s) if len(s) else None for s in sets]
+            lists = [pa.array([(zero if m is None else f(m)).view(np.int64) for m in ms], pa.list_(pa.int64())) for f in (keys, COARSE.packed)]
             number = pa.array([len(s) for s in sets], pa.int64())
             digests = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums]
             yield pa.record_batch([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), number, *digests, *lists], ["doc_id", "text", "n_shingles", "d1", "d2", "keys", "marks"])
@@ -121,30 +151,10 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_printed, f"doc_id {kind}, text string, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, marks array<bigint>")
 
 
-def estimate(a: str, b: str) -> Column:
-    """Jaccard similarity estimated from two packed signatures, corrected for lanes that agree by chance."""
-    ones = int("".join("0" * (BITS - 1) + "1" for _ in range(LANES)), 2)
-    differ = F.lit(0)
-    for k in range(WORDS):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        any_bit = x
-        for i in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, i))
-        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
-    c = 2.0**-BITS
-    return (F.lit(1.0) - differ / F.lit(float(HASHES)) - F.lit(c)) / F.lit(1 - c)
-
-
-def least_estimate() -> float:
-    """SLACK standard errors below the threshold."""
-    j, c = PERCENT / 100, 2.0**-BITS
-    e = j + (1 - j) * c
-    return j - SLACK * math.sqrt(e * (1 - e) / HASHES) / (1 - c)
-
-
-def _plausible(n1: str, n2: str, m1: str, m2: str) -> Column:
-    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
-    return sizes & (estimate(m1, m2) >= least_estimate())
+def _refined(batches):
+    for b in batches:
+        marks = [FINE.packed(FINE.minima(x)).view(np.int64) for _, _, buf, offs in text.slices(b.column("text")) for x in shingle_sets(buf, offs)]
+        yield pa.record_batch([b.column("node"), pa.array(marks, pa.list_(pa.int64()))], ["node", "marks"])
 
 
 def _confirmed(batches):
@@ -193,7 +203,7 @@ def _crossing(members: DataFrame) -> DataFrame:
         return x.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{side}") for c in names])
 
     met = dealt("x", True).join(merging(dealt("y", False)), ["key", "i", "j"])
-    met = met.where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("major_y")) | (F.col("node_x") < F.col("node_y"))) & _plausible("n_shingles_x", "n_shingles_y", "marks_x", "marks_y"))
+    met = met.where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("major_y")) | (F.col("node_x") < F.col("node_y"))) & FINE.plausible("n_shingles_x", "n_shingles_y", "marks_x", "marks_y"))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -203,24 +213,29 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("name"), F.count("*").alias("seen"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     nodes = written(sets, "minhash-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("seen")).where("seen > 1"), "minhash-keys")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1"), "minhash-keys")
     held = shared.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first().n
-    met = written(join_many(keyed, shared, ["key"], "seen", held), "minhash-met")
-    # each node and the smallest of its keys; the smallest node of a key may be many nodes' partner
-    stars = written(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "minhash-stars")
-    hubs = stars.groupBy("a").agg(F.count("*").alias("seen"))
+    met = written(join_many(keyed, shared.select("key", "seen", F.col("seen").alias("n")), ["key"], "seen", held), "minhash-met")
+    central = met.join(merging(met.groupBy("node").agg(F.sum("n").alias("near"))), "node").groupBy("key").agg(F.max(F.struct("near", F.negate("node").alias("node"))).alias("top"), F.count("*").alias("seen"))
+    hubs = written(central.select("key", F.negate("top.node").alias("hub"), "seen"), "minhash-hubs")
+    # a hub may be many nodes' partner
+    stars = written(join_many(met, hubs, ["key"], "seen", held).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "minhash-stars")
     marks = nodes.select("node", "n_shingles", "marks")
-    few = marks.toDF("a", "n_a", "marks_a").join(merging(hubs), "a")
+    few = marks.toDF("a", "n_a", "marks_a").join(merging(stars.groupBy("a").agg(F.count("*").alias("seen"))), "a")
     both = join_many(stars, few, ["a"], "seen", stars.count()).join(merging(marks.toDF("b", "n_b", "marks_b")), "b")
-    likely = written(both.where(_plausible("n_a", "n_b", "marks_a", "marks_b")).select("a", "b"), "minhash-likely")
+    likely = written(both.where(COARSE.plausible("n_a", "n_b", "marks_a", "marks_b")).select("a", "b"), "minhash-likely")
     links = confirmed(likely, rows)
     roots = components(links)
     members = met.select("key", "node").join(merging(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # the two nodes of a key of two have met; of others, only keys that hold several roots need signatures
+    # the two nodes of a key of two have met; of others, only keys that hold several roots are of interest
     several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("seen")).where("low < high AND seen > 2").select("key", "seen")
-    apart = join_many(members, written(several, "minhash-open"), ["key"], "seen", held)
-    crossing = _crossing(written(apart.join(merging(marks), "node"), "minhash-members"))
-    further = written(crossing.join(merging(likely), ["a", "b"], "left_anti"), "minhash-further")
+    apart = written(join_many(members, written(several, "minhash-open"), ["key"], "seen", held), "minhash-apart")
+    texts = rows.select(F.col("row").alias("node"), "text").join(apart.select("node").distinct(), "node", "left_semi")
+    fine = written(texts.mapInArrow(_refined, "node bigint, marks array<bigint>"), "minhash-fine")
+    sized = fine.join(merging(nodes.select("node", "n_shingles")), "node")
+    crossing = _crossing(written(apart.join(merging(sized), "node"), "minhash-members"))
+    tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    further = written(crossing.join(merging(tried), ["a", "b"], "left_anti"), "minhash-further")
     if further.limit(1).count():
         links = links.union(confirmed(further, rows))
         roots = components(links)
@@ -228,7 +243,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = written(named, "minhash-roots")
     names = named.groupBy("root").agg(F.min("name").alias("component_id"))
     final = written(named.join(merging(names), "root").select("d1", "d2", "n_shingles", "component_id", "seen"), "minhash-names")
-    forget(nodes, shared, met, stars, likely, further, named)
+    forget(nodes, shared, met, hubs, stars, likely, apart, fine, further, named)
     full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2")
     linked = join_many(full, final, ["d1", "d2", "n_shingles"], "seen", rows.count()).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
