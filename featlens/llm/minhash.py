@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from featlens.llm import text
 from featlens.llm.components import components
-from featlens.llm.storage import forget, join_many, join_split, merging, written
+from featlens.llm.storage import forget, having, join_many, join_split, merging, written
 
 SHINGLE, BANDS, ROWS = 4, 32, 4
 #: Links have at least PERCENT of 100 shingles of their union in common.
@@ -169,8 +169,8 @@ def _confirmed(batches):
 
 def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those pairs (a, b) of row numbers whose sets are alike enough, from the whole texts of rows (row, text)."""
-    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = written(rows.select("row", "text").join(needed, "row", "left_semi"), "minhash-texts")
+    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    texts = written(having(rows.select("row", "text"), needed), "minhash-texts")
     seen = pairs.groupBy("a").agg(F.count("*").alias("seen"))
     few = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(merging(seen), "a")
     left = join_split(pairs, few, ["a"], "seen", pairs.count(), "b")
@@ -181,7 +181,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _crossing(members: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b), a < b, of members (key, node, root, n_shingles, marks) of a key whose roots differ.
+    """Plausible pairs (a, b), a < b, of members (key, node, root, n_shingles, marks, keys) of a key whose roots differ, each once: under the least of the keys that both have.
 
     All members of a key but those of its most frequent root meet the whole
     key; keys are dealt into squares of BLOCK by BLOCK members.
@@ -199,12 +199,13 @@ def _crossing(members: DataFrame) -> DataFrame:
         place = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
         x = x.withColumn("mine", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         i, j = ("mine", "other") if few else ("other", "mine")
-        names = ["node", "root", "n_shingles", "marks"] + ([] if few else ["major"])
+        names = ["node", "root", "n_shingles", "marks", "keys"] + ([] if few else ["major"])
         return x.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{side}") for c in names])
 
     met = dealt("x", True).join(merging(dealt("y", False)), ["key", "i", "j"])
-    met = met.where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("major_y")) | (F.col("node_x") < F.col("node_y"))) & FINE.plausible("n_shingles_x", "n_shingles_y", "marks_x", "marks_y"))
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    first = F.col("key") == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    met = met.where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("major_y")) | (F.col("node_x") < F.col("node_y"))) & FINE.plausible("n_shingles_x", "n_shingles_y", "marks_x", "marks_y") & first)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -230,9 +231,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # the two nodes of a key of two have met; of others, only keys that hold several roots are of interest
     several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("seen")).where("low < high AND seen > 2").select("key", "seen")
     apart = written(join_many(members, written(several, "minhash-open"), ["key"], "seen", held), "minhash-apart")
-    texts = rows.select(F.col("row").alias("node"), "text").join(apart.select("node").distinct(), "node", "left_semi")
+    texts = having(rows.select(F.col("row").alias("node"), "text"), apart.select("node"))
     fine = written(texts.mapInArrow(_refined, "node bigint, marks array<bigint>"), "minhash-fine")
-    sized = fine.join(merging(nodes.select("node", "n_shingles")), "node")
+    sized = fine.join(merging(nodes.select("node", "n_shingles")), "node").join(merging(apart.groupBy("node").agg(F.collect_list("key").alias("keys"))), "node")
     crossing = _crossing(written(apart.join(merging(sized), "node"), "minhash-members"))
     tried = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     further = written(crossing.join(merging(tried), ["a", "b"], "left_anti"), "minhash-further")

@@ -73,6 +73,17 @@ def merging(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Whole numbers that are broadcast at most: 8 MB of them.
+BROADCAST_IDS = 1_000_000
+
+
+def having(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose number is in ids, a written table of one column of df. df stays where it is if ids are few, and is shuffled if not."""
+    each = ids.distinct()
+    few = each.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(each) if few else merging(each), ids.columns, "left_semi")
+
+
 #: A key that holds more than one in so many rows is joined by broadcast: fewer keys than this can.
 HOT_SHARE = 1000
 

@@ -70,8 +70,8 @@ def edited(rng, words, share):
 WORDS = [f"w{i}" for i in range(3000)]
 
 
-@pytest.mark.parametrize("share", [0.02, 0.05])
-def test_groups_of_near_copies_around_the_threshold(spark, share, monkeypatch):
+@pytest.mark.parametrize(("share", "block"), [(0.02, 1024), (0.05, 7)])
+def test_groups_of_near_copies_around_the_threshold(spark, share, block, monkeypatch):
     """Many near copies of one text, so that keys hold several components, also in small squares."""
     rng = random.Random(share)
     base = [rng.choice(WORDS) for _ in range(160)]
@@ -79,8 +79,7 @@ def test_groups_of_near_copies_around_the_threshold(spark, share, monkeypatch):
     rows += [(200 + i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(60)]
     rows += [(300 + i, rows[i][1].upper()) for i in range(20)]
     want = brute(rows)
-    assert found(spark, rows) == want
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     assert found(spark, rows) == want
 
 
