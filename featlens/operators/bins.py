@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -9,14 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featlens.functions.scan import below
+
 
 def bin_of(value: Column, thresholds: Column) -> Column:
     """The number of thresholds below value, as floats: bins are closed at their right end."""
     return F.size(F.filter(thresholds, lambda t: t < value.cast("float")))
 
 
-def _entry(entries: str, feature: int) -> Column:
-    return F.get(F.filter(entries, lambda e: e["i"] == feature), F.lit(0))["v"]
+#: Up to so many features, each is an expression of its own in generated code; beyond, one expression searches the thresholds of all.
+UNROLLED = 64
 
 
 @dataclass
@@ -43,19 +46,33 @@ class Thresholds:
             return value.cast("float").cast("double")
         return bin_of(value, F.array(*[F.lit(c).cast("float") for c in cuts])).cast("double")
 
+    def _literal(self) -> Column:
+        """All thresholds as one constant array of arrays."""
+        return F.from_json(F.lit(json.dumps(self.cuts)), "array<array<float>>")
+
+    def _each(self, value: Column, feature: Column) -> Column:
+        """_one() of a feature that differs by row: its thresholds are searched by halving."""
+        cuts = F.get(self._literal(), feature)
+        most = max((len(c) for c in self.cuts if c), default=1)
+        passes = cuts.isNull() | (F.size(cuts) == 0)
+        return F.when(passes, value.cast("float").cast("double")).otherwise(below(cuts, value.cast("float"), most).cast("double"))
+
     def transform(self, df: DataFrame, features: str = "features", output: str = "bins") -> DataFrame:
         """df with the bins of an array column; NaN and null have no bin. Sparse entries (array<struct<i, v>>): see transform_sparse."""
+        if len(self.cuts) > UNROLLED:
+            return df.withColumn(output, F.transform(F.slice(features, 1, len(self.cuts)), lambda v, i: F.when(v.isNotNull() & ~F.isnan(v), self._each(v, i))))
         return df.withColumn(output, F.array(*[F.when(F.col(features)[i].isNull() | F.isnan(F.col(features)[i]), None).otherwise(self._one(F.col(features)[i], i)) for i in range(len(self.cuts))]))
 
     def transform_sparse(self, df: DataFrame, entries: str = "entries", keep_zeros: bool = False) -> DataFrame:
-        """df with binned entries. Implicit zeros get zero's bin, so features whose zero lies above the first threshold become dense; keep_zeros leaves them 0."""
-        cells = []
-        for i, cuts in enumerate(self.cuts):
-            zero = sum(c < 0 for c in cuts) if cuts else 0
-            own = _entry(entries, i)
-            gap = F.lit(float(zero)) if zero and not keep_zeros else F.lit(None).cast("double")
-            cells.append(F.struct(F.lit(i).alias("i"), F.when(own.isNotNull(), self._one(own, i)).otherwise(gap).alias("v")))
-        return df.withColumn(entries, F.filter(F.array(*cells), lambda e: e["v"].isNotNull() & (e["v"] != 0)))
+        """df with binned entries, by place, of stored entries only. Implicit zeros get zero's bin, so features whose zero lies above the first threshold become dense; keep_zeros leaves them 0. Entries of null have none, entries beyond the thresholds go."""
+        stored = F.filter(entries, lambda e: (e["i"] >= 0) & (e["i"] < len(self.cuts)) & e["v"].isNotNull())
+        cells = F.transform(stored, lambda e: F.struct(e["i"].cast("int").alias("i"), self._each(e["v"], e["i"]).alias("v")))
+        zeros = [{"i": i, "v": float(sum(c < 0 for c in cuts))} for i, cuts in enumerate(self.cuts) if cuts and cuts[0] < 0 and not keep_zeros]
+        if zeros:
+            gaps = F.from_json(F.lit(json.dumps(zeros)), "array<struct<i: int, v: double>>")
+            present = F.transform(stored, lambda e: e["i"].cast("int"))
+            cells = F.concat(cells, F.filter(gaps, lambda z: ~F.array_contains(present, z["i"])))
+        return df.withColumn(entries, F.array_sort(F.filter(cells, lambda e: e["v"] != 0)))
 
 
 ONE_BIN = [math.inf]

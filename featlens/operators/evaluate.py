@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featlens.functions import scan
+
 
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
@@ -36,14 +38,17 @@ def one_point_auc(df: DataFrame, positive: float = 1.0) -> DataFrame:
     return df.agg(((1 + F.avg(F.when(real, said)) - F.avg(F.when(~real, said))) / 2).alias("auc"))
 
 
-def best_threshold(df: DataFrame, score: str = "score", positive: float = 1.0) -> float:
+def best_threshold(df: DataFrame, score: str = "score", positive: float = 1.0, part_rows: int | None = None) -> float:
     """The score from which on predicting positive gives the largest F-measure; of equals the largest."""
-    per = df.groupBy(score).agg(F.sum((F.col("label") == positive).cast("bigint")).alias("tp"), F.count("*").alias("said"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.where(F.col("label") == positive).count()
-    sums = per.select(score, F.sum("tp").over(down).alias("tp"), F.sum("said").over(down).alias("said"))
-    best = sums.select(F.max(F.struct((2 * F.col("tp") / (F.col("said") + total)).alias("f"), F.col(score)))).first()[0]
-    return float(best[score]) if best else 0.5
+    per = df.groupBy(score).agg(F.sum((F.col("label") == positive).cast("bigint")).alias("hit"), F.count("*").alias("seen")).withColumn("_all", F.lit(0))
+    sums = scan.running(scan.parts(per, ["_all"], score, part_rows), ["_all"], score, {"hit": "hits", "seen": "all"})
+    total = per.agg(F.sum("hit").alias("hit"), F.sum("seen").alias("seen")).first()
+    if total.seen is None:
+        return 0.5
+    # from the score on: everything but what is below it
+    tp, said = F.lit(total.hit) - F.col("hits") + F.col("hit"), F.lit(total.seen) - F.col("all") + F.col("seen")
+    best = sums.select(F.max(F.struct((2 * tp / (said + total.hit)).alias("f"), F.col(score)))).first()[0]
+    return float(best[score])
 
 
 def fold_summary(df: DataFrame, value: str) -> DataFrame:
@@ -56,8 +61,17 @@ def rounded(df: DataFrame, features: str = "features", digits: int = 6) -> DataF
     return df.withColumn(features, F.transform(features, lambda v: F.round(v, digits)))
 
 
-def _vectors(df: DataFrame, features: str) -> DataFrame:
-    return df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>"))) if df.schema[features].dataType.typeName() == "array" else df.withColumn("_x", F.col(features))
+def _vectors(df: DataFrame, features: str, arity: dict[int, int] | None = None) -> DataFrame:
+    """df with _x, the features as a vector; arity: the number of values of each feature that is nominal, its values being numbered from 0."""
+    is_array = df.schema[features].dataType.typeName() == "array"
+    column = array_to_vector(F.col(features).cast("array<double>")) if is_array else F.col(features)
+    if not arity:
+        return df.withColumn("_x", column)
+    first = df.select(F.size(features) if is_array else F.size(vector_to_array(features))).first()
+    width = first[0] if first else max(arity) + 1
+    nominal = [{"idx": i, "name": f"x{i}", "vals": [str(v) for v in range(n)]} for i, n in sorted(arity.items())]
+    numeric = [{"idx": i, "name": f"x{i}"} for i in range(width) if i not in arity]
+    return df.withColumn("_x", column.alias("_x", metadata={"ml_attr": {"attrs": {"nominal": nominal, "numeric": numeric}, "num_attrs": width}}))
 
 
 def _tuned(make: Callable) -> Callable:
@@ -77,9 +91,11 @@ def _tuned(make: Callable) -> Callable:
 
 
 def _plain(make: Callable) -> Callable:
-    def fit(train: DataFrame, features: str = "features", **options) -> Callable[[DataFrame], DataFrame]:
-        model = make(options).setFeaturesCol("_x").setLabelCol("label").fit(_vectors(train, features))
-        return lambda df: model.transform(_vectors(df, features)).select("label", "prediction")
+    """arity: see _vectors; trees split nominal features by subsets of their values, of which maxBins must allow as many as any has."""
+
+    def fit(train: DataFrame, features: str = "features", arity: dict[int, int] | None = None, **options) -> Callable[[DataFrame], DataFrame]:
+        model = make(options).setFeaturesCol("_x").setLabelCol("label").fit(_vectors(train, features, arity))
+        return lambda df: model.transform(_vectors(df, features, arity)).select("label", "prediction")
 
     return fit
 

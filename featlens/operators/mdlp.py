@@ -1,11 +1,12 @@
 """Supervised discretization by entropy and minimum description length.
 
 Candidate cuts are the middles between neighbouring values whose classes differ.
-Each candidate carries cumulative class counts over all candidates of its
-feature, computed once. An open interval of cuts is then two cumulative rows
-and a total, so evaluating all open intervals of all features is one filter,
-one small broadcast join and one aggregation: a level of the search is one job,
-whatever the number of features and cuts. Features with few candidates are
+Neighbours, the numbers of runs and cumulative counts come from a prefix scan,
+so one feature of any size uses all tasks. Each candidate carries cumulative
+class counts over all candidates of its feature, computed once. An open interval
+of cuts is then two cumulative rows and a total; each candidate finds its own
+interval by binary search, so a level of the search is one small broadcast join
+and one aggregation, whatever the number of features and cuts. Features with few candidates are
 searched by numpy instead, one group each, from the same rows.
 
 Kept on purpose: at most max_bins + 1 cuts; the candidate that is chosen
@@ -21,11 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featlens.functions import scan
 from featlens.functions.info import complete_zeros, entropy_of
 from featlens.operators.bins import ONE_BIN, Thresholds
+from featlens.sources.files import stored
 
 MAX_BINS, MAX_BY_PART, TOLERANCE = 15, 100_000, -1e-5
 
@@ -45,24 +48,23 @@ def point_hist_sparse(df: DataFrame, entries: str = "entries") -> DataFrame:
     return complete_zeros(stored, df.groupBy("y").agg(F.count("*").alias("n")), ["y"], "v", F.lit(0.0).cast("float"))
 
 
-def candidates(points: DataFrame, classes: int) -> DataFrame:
-    """(feature, run, cut float, c0 .. c{classes-1}): class counts since the candidate before, run in the order of values; the last value of a feature is always one."""
+def candidates(points: DataFrame, classes: int, part_rows: int | None = None) -> DataFrame:
+    """(feature, run, cut float, c0 .. c{classes-1}): class counts since the candidate before, run in the order of values; the last value of a feature is always one. part_rows: distinct values that one task takes."""
     counts = [F.sum(F.when(F.col("y") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(classes)]
-    values = points.groupBy("feature", "v").agg(F.min("y").alias("low"), F.max("y").alias("high"), *counts)
-    order = Window.partitionBy("feature").orderBy("v")
-    pure = F.least("low", F.lag("low").over(order)) == F.greatest("high", F.lag("high").over(order))
-    marked = values.withColumn("starts", F.when(F.lag("v").over(order).isNotNull() & ~pure, 1).otherwise(0))
-    runs = marked.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("feature", "run").agg(F.min("v").alias("first"), F.max("v").alias("last"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(classes)])
-    following = F.lead("first").over(Window.partitionBy("feature").orderBy("run"))
-    cut = F.when(following.isNull(), F.col("last")).otherwise(((F.col("last").cast("double") + following.cast("double")) / 2).cast("float"))
+    values = stored(points.groupBy("feature", "v").agg(F.min("y").alias("low"), F.max("y").alias("high"), *counts), "values")
+    near = scan.beside(scan.parts(values, ["feature"], "v", part_rows), ["feature"], "v", ["low", "high"])
+    pure = F.least("low", F.col("_before.low")) == F.greatest("high", F.col("_before.high"))
+    marked = near.withColumn("starts", F.when(F.col("_before").isNotNull() & ~pure, 1).otherwise(0)).withColumn("after", F.col("_after.v")).drop("_before", "_after")
+    runs = scan.running(marked, ["feature"], "v", {"starts": "run"})
+    runs = runs.groupBy("feature", "run").agg(F.max(F.struct("v", "after")).alias("last"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(classes)])
+    cut = F.when(F.col("last.after").isNull(), F.col("last.v")).otherwise(((F.col("last.v").cast("double") + F.col("last.after").cast("double")) / 2).cast("float"))
     return runs.select("feature", "run", cut.alias("cut"), *[f"c{i}" for i in range(classes)])
 
 
 def cumulative(cands: DataFrame, classes: int) -> DataFrame:
     """cands with l0 ..: class counts up to and with the candidate and those of the same cut, over its whole feature."""
-    order = Window.partitionBy("feature").orderBy("cut").rangeBetween(Window.unboundedPreceding, 0)
-    return cands.select("feature", "run", "cut", *[f"c{i}" for i in range(classes)], *[F.sum(f"c{i}").over(order).alias(f"l{i}") for i in range(classes)])
+    sums = scan.running(scan.parts(cands, ["feature"], "cut"), ["feature"], "cut", {f"c{i}": f"l{i}" for i in range(classes)})
+    return sums.select("feature", "run", "cut", *[f"c{i}" for i in range(classes)], *[f"l{i}" for i in range(classes)])
 
 
 def _accepts(gain, s, k, hs, k1, h1, k2, h2, log2, power, infinite):
@@ -72,11 +74,14 @@ def _accepts(gain, s, k, hs, k1, h1, k2, h2, log2, power, infinite):
 
 
 def split_costs(cum: DataFrame, nodes: DataFrame, classes: int) -> DataFrame:
-    """For every candidate strictly inside an open interval: node, cut, run, w (weighted entropy after the cut) and accepted.
+    """For every candidate strictly inside an open interval: node, cut, run, w (weighted entropy after the cut), accepted, and its own counts c0 .., l0 ...
 
-    nodes: (feature, node, lo, hi, b0 .., t0 ..): class counts up to and with lo, and between lo and hi.
+    nodes: (feature, node, lo, hi, b0 .., t0 ..): class counts up to and with lo, and between lo and hi. No two of a feature overlap.
     """
-    inside = cum.join(F.broadcast(nodes), "feature").where((F.col("cut") > F.col("lo")) & (F.col("cut") < F.col("hi")))
+    each = nodes.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("lo", *[c for c in nodes.columns if c not in ("feature", "lo")]))).alias("open"))
+    with_open = cum.join(F.broadcast(each), "feature")
+    own = F.get(F.col("open"), scan.below(F.col("open.lo"), F.col("cut")) - 1)
+    inside = with_open.withColumn("_own", own).where(F.col("cut") < F.col("_own.hi")).select(*cum.columns, "_own.*")
     left = [F.col(f"l{i}") - F.col(f"b{i}") for i in range(classes)]
     total = [F.col(f"t{i}") for i in range(classes)]
     right = [t - a for t, a in zip(total, left, strict=True)]
@@ -88,7 +93,7 @@ def split_costs(cum: DataFrame, nodes: DataFrame, classes: int) -> DataFrame:
     hs, h1, h2 = entropy_of(total, s), entropy_of(left, s1), entropy_of(right, s2)
     w = (s1 * h1 + s2 * h2) / s
     ok = _accepts(hs - w, s, number(total), hs, number(left), h1, number(right), h2, F.log2, lambda a, b: F.pow(F.lit(a), b), s <= 1)
-    return inside.select("feature", "node", "cut", "run", w.alias("w"), F.coalesce(ok & (F.col("cut") != F.coalesce("forbidden", F.lit(float("nan")))), F.lit(False)).alias("accepted"))
+    return inside.select("feature", "node", "cut", "run", w.alias("w"), F.coalesce(ok & (F.col("cut") != F.coalesce("forbidden", F.lit(float("nan")))), F.lit(False)).alias("accepted"), *[f"{x}{i}" for x in "cl" for i in range(classes)])
 
 
 def _bounds(max_bins: int | None, max_levels: int | None) -> tuple[float, float]:
@@ -111,9 +116,8 @@ def search_levels(cum: DataFrame, classes: int, max_bins: int | None = MAX_BINS,
         level += 1
         rows = [(f, k, lo, hi, None, *base, *total) for f, parts in open_.items() for k, (lo, hi, base, total) in enumerate(parts)]
         costs = split_costs(cum, spark.createDataFrame(rows, schema), classes).where("accepted")
-        best = costs.groupBy("feature", "node").agg(F.min(F.struct("w", "cut", "run")).alias("m")).select("feature", "node", "m.run")
-        sums = best.join(cum, ["feature", "run"]).collect()
-        chosen = {(r.feature, r.node): r for r in sums}
+        best = costs.groupBy("feature", "node").agg(F.min(F.struct("w", "cut", "run", *[f"{x}{i}" for x in "cl" for i in range(classes)])).alias("m"))
+        chosen = {(r.feature, r.node): r for r in best.select("feature", "node", "m.*").collect()}
         following: dict[int, list] = {}
         for f, parts in open_.items():
             for k, (lo, hi, base, total) in enumerate(parts):

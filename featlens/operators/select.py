@@ -10,7 +10,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.functions import info
+from featlens.functions import dense, info
 from featlens.functions.criteria import Criterion, criterion
 
 
@@ -53,21 +53,23 @@ def check_bins(df: DataFrame, bins: str = "bins") -> int:
     return row.a
 
 
-def select_features(df: DataFrame, by: str | Criterion = "mrmr", n: int = 25, beta: float = 0.0, bins: str = "bins", sparse: bool = False, n_features: int | None = None) -> Selection:
+def select_features(df: DataFrame, by: str | Criterion = "mrmr", n: int = 25, beta: float = 0.0, bins: str = "bins", sparse: bool = False, n_features: int | None = None, width: int | None = None) -> Selection:
     """Selects up to n features of rows (y, bins), or (y, entries) if sparse, one at a time.
 
     Each round is one aggregation of the histogram against the last pick only;
     earlier rounds' numbers, one pair for each feature, stay on the driver.
-    Ties go to the smaller feature. Fewer features than n: all are ranked.
+    Wide rows are counted by partitions, without a row for each of their values.
+    width: of dense rows that are known to be valid, their number of features. Ties go to the smaller feature. Fewer features than n: all are ranked.
     """
     if sparse:
         width = n_features or (df.agg(F.max(F.array_max("entries.i"))).first()[0] or 0) + 1
     else:
-        width = check_bins(df, bins)
+        width = width or check_bins(df, bins)
+    wide = not sparse and width >= dense.WIDE and dense.whole(df, bins)
     if not 0 < n <= width:
         raise ValueError(f"n must lie between 1 and {width}")
     chosen = criterion(by, beta)
-    rows = (info.relevance_sparse(df) if sparse else info.relevance(df, bins)).collect()
+    rows = (info.relevance_sparse(df) if sparse else info.mutual_information(dense.hist2(df, bins)) if wide else info.relevance(df, bins)).collect()
     rel = np.full(width, -np.inf)
     for r in rows:
         rel[r.feature] = r.mi
@@ -82,7 +84,11 @@ def select_features(df: DataFrame, by: str | Criterion = "mrmr", n: int = 25, be
         if not left.any():
             break
         last = picked[-1][0]
-        pairs = (info.redundancy_sparse(df, last) if sparse else info.redundancy(df, last, bins, [int(f) for f in np.flatnonzero(left)] if left.sum() <= 512 else None)).collect()
+        open_ = [int(f) for f in np.flatnonzero(left)]
+        if wide:
+            pairs = info.pair_information(dense.hist3(df, last, bins, open_)).collect()
+        else:
+            pairs = (info.redundancy_sparse(df, last) if sparse else info.redundancy(df, last, bins, open_ if len(open_) <= 512 else None)).collect()
         a, b = np.zeros(width), np.zeros(width)
         for r in pairs:
             a[r.feature], b[r.feature] = r.mi, r.cmi

@@ -8,11 +8,14 @@ Labels are planted: of a line item 0 if it is the seventh of its order, else
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.functions import info
+from featlens import ml
+from featlens.functions import dense, info
 from featlens.functions.criteria import CRITERIA
 from featlens.operators import evaluate, evolve, generate, mdlp, select
 from featlens.operators.bins import Thresholds
@@ -101,6 +104,30 @@ def hist3_lineitem(spark, sf_dir):
     return info.hist3(binned(spark, sf_dir), 0)
 
 
+@query(f"WITH {BASE}, {LONG} SELECT feature, x, y, count(*) AS n FROM long GROUP BY ALL")
+def hist2_dense(spark, sf_dir):
+    return dense.hist2(binned(spark, sf_dir))
+
+
+@query(f"WITH {BASE}, {pair_sql(0)} SELECT feature, x, y, z, n::BIGINT AS n FROM h3")
+def hist3_dense(spark, sf_dir):
+    return dense.hist3(binned(spark, sf_dir), 0)
+
+
+#: Features of a wide table: digits of the price, in steps and bases that differ.
+DIGITS_OF_PRICE = [f"CAST(floor(l_extendedprice / {50 * (i + 1)}) AS BIGINT) % {3 + i % 5}" for i in range(40)]
+
+
+@query(
+    f"WITH base AS (SELECT {LABEL} AS y, [{', '.join(DIGITS_OF_PRICE)}] AS bins FROM lineitem), long AS (SELECT y, unnest(bins) AS x, generate_subscripts(bins, 1) - 1 AS feature FROM base), {HIST2}, {MI} "
+    f"SELECT (row_number() OVER (ORDER BY mi DESC, feature))::INT AS rank, feature::INT AS feature, {ROUND('mi')} AS score FROM mi"
+)
+def select_wide(spark, sf_dir):
+    """Features enough for select_features to count by partitions."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.expr(LABEL).alias("y"), F.array(*[F.expr(f) for f in DIGITS_OF_PRICE]).alias("bins"))
+    return select.select_features(rows, "mim", len(DIGITS_OF_PRICE)).table(spark).select("rank", "feature", rounded("score").alias("score"))
+
+
 @query(f"WITH {BASE}, {LONG} SELECT feature, (max(x) + 1)::BIGINT AS n_values FROM long GROUP BY feature")
 def cardinality(spark, sf_dir):
     return info.cardinality(info.long_form(binned(spark, sf_dir)))
@@ -249,6 +276,13 @@ def boundary_candidates(spark, sf_dir):
     return cands.select("feature", F.col("cut").cast("double").alias("cut"), "c0", "c1", "c2")
 
 
+@query(f"WITH {points_sql('l_extendedprice', PRICE_LABEL)} SELECT 0 AS feature, cut, c0, c1, c2 FROM cands")
+def price_candidates(spark, sf_dir):
+    """Of one feature with many values, which a scan cuts into many parts."""
+    cands = mdlp.candidates(mdlp.point_hist(priced(spark, sf_dir)), 3, part_rows=1000)
+    return cands.select("feature", F.col("cut").cast("double").alias("cut"), "c0", "c1", "c2")
+
+
 _PART = lambda c, s: f"CASE WHEN {c} > 0 THEN -{c} / {s} * log2({c} / {s}) ELSE 0 END"
 
 
@@ -265,7 +299,7 @@ def mdlp_root_costs(spark, sf_dir):
     return mdlp.split_costs(cum, nodes, 3).select(F.col("cut").cast("double").alias("cut"), rounded("w").alias("w"))
 
 
-def search_sql(points: str, levels: int = 5) -> str:
+def search_sql(points: str, levels: int = 5, select: str = "SELECT 0 AS feature, (row_number() OVER (ORDER BY cut) - 1)::INT AS place, cut FROM found") -> str:
     """The search for cuts by description length, unrolled level by level."""
     each = range(3)
     sums = ", ".join(f"sum(c{i}) OVER w AS l{i}" for i in each)
@@ -281,7 +315,7 @@ g{k} AS (SELECT * FROM w{k} WHERE CASE WHEN s <= 1 THEN true ELSE hs - w - (log2
 n{k + 1} AS (SELECT * FROM (SELECT lo, cut AS hi, {', '.join(f'b{i}' for i in each)}, {', '.join(f'l{i} - c{i} - b{i} AS t{i}' for i in each)} FROM g{k} UNION ALL
   SELECT cut AS lo, hi, {', '.join(f'l{i} AS b{i}' for i in each)}, {', '.join(f'b{i} + t{i} - l{i} AS t{i}' for i in each)} FROM g{k}) WHERE t0 + t1 + t2 > 0)""")
     found = " UNION ALL ".join(f"SELECT cut FROM g{k}" for k in range(levels))
-    return ", ".join(parts) + f" SELECT 0 AS feature, (row_number() OVER (ORDER BY cut) - 1)::INT AS place, cut FROM ({found})"
+    return ", ".join(parts) + f", found AS ({found}) {select}"
 
 
 #: search_sql() takes every accepted cut of its levels, however many.
@@ -313,6 +347,26 @@ def mdlp_levels(spark, sf_dir):
     return _cut_rows(spark, mdlp.fit(priced(spark, sf_dir), max_by_part=0, **AS_SQL))
 
 
+#: Quantities above each cut, and what most rows of a bin are labelled, the smaller label of equals.
+_BINNED = """, binned AS (SELECT y, (SELECT count(*) FROM found WHERE cut < q)::DOUBLE AS bin FROM (SELECT l_quantity::FLOAT AS q, {label} AS y FROM lineitem)),
+said AS (SELECT bin, y AS prediction FROM (SELECT bin, y, row_number() OVER (PARTITION BY bin ORDER BY count(*) DESC, y) AS r FROM binned GROUP BY bin, y) WHERE r = 1)
+SELECT bin, y::DOUBLE AS label, prediction::DOUBLE AS prediction, count(*) AS n FROM binned JOIN said USING (bin) GROUP BY ALL"""
+
+
+@query(search_sql(POINTS, select=_BINNED.format(label=LABEL)))
+def ml_pipeline(spark, sf_dir):
+    """Discretizer, selector and tree as one pipeline, saved and loaded; the price's bins tell nothing about these labels."""
+    rows = continuous(spark, sf_dir).select(F.col("y").cast("double").alias("label"), array_to_vector(F.col("features").cast("array<double>")).alias("features"))
+    cut = ml.Discretizer(maxBins=0, maxLevels=AS_SQL["max_levels"], continuous=[0])
+    cells = ml.Discretizer(featuresCol="bins", outputCol="cells", maxBins=1, maxLevels=1, continuous=[1])
+    chosen = ml.FeatureSelector(featuresCol="cells", criterion="mim", numTopFeatures=1)
+    tree = DecisionTreeClassifier(featuresCol="selected", labelCol="label", maxDepth=12, maxBins=64)
+    path = files.scratch(spark, "pipeline")
+    Pipeline(stages=[cut, cells, chosen, tree]).fit(rows).write().save(path)
+    said = PipelineModel.load(path).transform(rows)
+    return said.groupBy(vector_to_array("selected")[0].alias("bin"), "label", "prediction").agg(F.count("*").alias("n"))
+
+
 @query()
 def evolve_cuts(spark, sf_dir):
     o = evolve.Options(evaluations=400, rate=0.05)
@@ -334,6 +388,17 @@ def bin_then_relevance(spark, sf_dir):
     return info.relevance(rows.withColumn("bins", F.transform("bins", lambda b: b.cast("int")))).select("feature", rounded("mi").alias("mi"))
 
 
+@query(
+    f"""WITH {BASE}, b AS (SELECT y, CASE WHEN f0 <= 10.5 THEN 0 WHEN f0 <= 30.5 THEN 1 ELSE 2 END AS b0, f1 AS b1, CASE WHEN f2 <= -1 THEN 0 WHEN f2 <= 3 THEN 1 ELSE 2 END AS b2, CASE WHEN f3 <= 0 THEN 0 ELSE 1 END AS b3 FROM base)
+SELECT y, feature, bin, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT y, {i} AS feature, b{i}::DOUBLE AS bin FROM b" for i in range(4))}) WHERE bin <> 0 GROUP BY ALL"""
+)
+def sparse_bins(spark, sf_dir):
+    """Binned entries: of a feature whose zero is above a cut all rows have one; the last feature is beyond the thresholds."""
+    cuts = Thresholds([[10.5, 30.5], None, [-1.0, 3.0], [0.0]])
+    rows = cuts.transform_sparse(files.sparse_entries(binned(spark, sf_dir), "bins"))
+    return rows.select("y", F.explode("entries").alias("e")).groupBy("y", F.col("e.i").alias("feature"), F.col("e.v").alias("bin")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_quantity AS INT) AS a, l_linenumber AS b FROM lineitem")
 def select_project(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[F.expr(f) for f in FEATURES]).alias("bins"))
@@ -485,11 +550,22 @@ def fold_mean_std(spark, sf_dir):
     return evaluate.fold_summary(evaluate.accuracy(predicted(spark, sf_dir), "fold"), "accuracy").select(rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
+@query(
+    f"""WITH p AS (SELECT l_extendedprice AS score, CASE WHEN {LABEL} = 2 THEN 1 ELSE 0 END AS hit FROM lineitem), g AS (SELECT score, sum(hit) AS tp, count(*) AS said FROM p GROUP BY score),
+s AS (SELECT score, sum(tp) OVER w AS tp, sum(said) OVER w AS said, (SELECT sum(hit) FROM p) AS total FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT score AS threshold FROM s ORDER BY 2 * tp / (said + total) DESC, score DESC LIMIT 1"""
+)
+def best_threshold(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.when(F.expr(LABEL) == 2, 1.0).otherwise(0.0).alias("label"), F.col("l_extendedprice").alias("score"))
+    return spark.createDataFrame([(evaluate.best_threshold(rows, part_rows=1000),)], "threshold double")
+
+
 def _classifier(name: str) -> None:
     def classify(spark, sf_dir):
-        rows = binned(spark, sf_dir).select(F.when(F.col("y") == 2, 1.0).otherwise(0.0).alias("label"), F.col("bins").alias("features"))
+        """Accuracy on a fifth of the orders, which the classifier has not seen."""
+        rows = _table(spark, sf_dir, "lineitem").select(F.when(F.expr(LABEL) == 2, 1.0).otherwise(0.0).alias("label"), F.array(*[F.expr(f) for f in FEATURES]).alias("features"), (F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0).alias("held"))
         options = {"numTrees": 10} if name == "rf" else {"maxIter": 10} if name in ("svm", "lr") else {}
-        return evaluate.accuracy(evaluate.CLASSIFIERS[name](rows, **options)(rows))
+        return evaluate.accuracy(evaluate.CLASSIFIERS[name](rows.where("NOT held"), **options)(rows.where("held")))
 
     classify.__name__ = f"classify_{name}"
     query()(classify)

@@ -22,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in that folder: it is computed once, and its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_libsvm(spark: SparkSession, path: str, dense: bool = False, n_features: int | None = None) -> DataFrame:
     """(label, features): label -1 becomes 0; features a vector, or an array if dense."""
     reader = spark.read.format("libsvm")
