@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlens.functions import scan
+from featlens.operators import gradient
 
 
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
@@ -100,10 +101,24 @@ def _plain(make: Callable) -> Callable:
     return fit
 
 
+def _descended(loss: str) -> Callable:
+    """A linear model by gradient descent; from its margins on as _tuned()."""
+
+    def fit(train: DataFrame, features: str = "features", **options) -> Callable[[DataFrame], DataFrame]:
+        model = gradient.descend(train, loss, gradient.Options(**options), features)
+        scored = lambda df: df.withColumn("score", model.margin(features))
+        cut = best_threshold(scored(train).select("label", "score"))
+        return lambda df: scored(df).select("label", (F.col("score") >= cut).cast("double").alias("prediction"))
+
+    return fit
+
+
 #: name -> fit(train rows (label, features), features, **options) -> predict(rows) -> (label, prediction).
 CLASSIFIERS: dict[str, Callable] = {
     "svm": _tuned(lambda o: C.LinearSVC(**{"maxIter": 100, "regParam": 1.0} | o)),
     "lr": _tuned(lambda o: C.LogisticRegression(**{"maxIter": 100} | o)),
+    "svm_sgd": _descended("hinge"),
+    "lr_sgd": _descended("logistic"),
     "nb": _plain(lambda o: C.NaiveBayes(**{"smoothing": 1.0} | o)),
     "dt": _plain(lambda o: C.DecisionTreeClassifier(**{"maxDepth": 5, "maxBins": 32, "seed": 1} | o)),
     "rf": _plain(lambda o: C.RandomForestClassifier(**{"numTrees": 100, "maxDepth": 4, "maxBins": 100, "seed": 1} | o)),

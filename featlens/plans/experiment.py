@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 import time
@@ -26,6 +27,17 @@ DEFAULTS = {
 }
 
 
+#: The parameters of each classifier on the command line, and what they are called here.
+CLASSIFIER_OPTIONS = {
+    "svm": {"cls-numIter": ("maxIter", int), "cls-regParam": ("regParam", float)},
+    "lr": {"cls-numIter": ("maxIter", int)},
+    "sgd": {"cls-numIter": ("iterations", int), "cls-stepSize": ("step", float), "cls-regParam": ("reg", float), "cls-miniBatchFraction": ("fraction", float)},
+    "nb": {"cls-lambda": ("smoothing", float)},
+    "dt": {"cls-impurity": ("impurity", str), "cls-maxDepth": ("maxDepth", int), "cls-maxBins": ("maxBins", int)},
+    "rf": {"cls-impurity": ("impurity", str), "cls-maxDepth": ("maxDepth", int), "cls-maxBins": ("maxBins", int), "cls-numTrees": ("numTrees", int), "cls-featureSubsetStrategy": ("featureSubsetStrategy", str)},
+}
+
+
 @dataclass
 class Stages:
     """discretize: rows (row_id, y, features) -> Thresholds; choose: rows (y, bins) -> Selection; classify: a fit function of evaluate.CLASSIFIERS."""
@@ -146,7 +158,24 @@ def parse(args: list[str]) -> dict[str, str]:
     return out
 
 
-def stages_of(p: dict[str, str]) -> Stages:
+def classifier_of(p: dict[str, str], arity: dict[int, int] | None = None) -> Callable | None:
+    """The classifier with its options. A step size or batch fraction asks linear models for gradient descent. arity: of nominal features, which trees split by subsets."""
+    name = p["classifier"].lower()
+    if name == "no":
+        return None
+    name = name if name in evaluate.CLASSIFIERS else "svm"
+    if name in ("svm", "lr") and ("cls-stepSize" in p or "cls-miniBatchFraction" in p):
+        name += "_sgd"
+    known = CLASSIFIER_OPTIONS["sgd" if name.endswith("_sgd") else name]
+    options = {to: kind(p[given]) for given, (to, kind) in known.items() if given in p}
+    if name == "lr_sgd":
+        options = {"reg": 0.0} | options
+    if arity and name in ("dt", "rf"):
+        options["arity"] = arity
+    return functools.partial(evaluate.CLASSIFIERS[name], **options)
+
+
+def stages_of(p: dict[str, str], arity: dict[int, int] | None = None) -> Stages:
     cut = choose = None
     if p["disc"] == "mdlp":
         cut = lambda d: mdlp.fit(d, max_bins=int(p["disc-nbins"]))
@@ -155,8 +184,13 @@ def stages_of(p: dict[str, str]) -> Stages:
         cut = lambda d: evolve.fit(d, partitions=max(int(p["npart"]), 1), options=o)
     if p["fs"] == "yes":
         choose = lambda d: select.select_features(d, p["fs-criterion"], min(int(p["fs-nfeat"]), select.check_bins(d)), float(p["fs-beta"]))
-    kind = p["classifier"].lower()
-    return Stages(cut, choose, None if kind == "no" else evaluate.CLASSIFIERS.get(kind, evaluate.CLASSIFIERS["svm"]))
+    # bins and selected features are other features than the header's
+    return Stages(cut, choose, classifier_of(p, arity if not cut and not choose else None))
+
+
+def arity_of(header: declared.Header) -> dict[int, int]:
+    """The number of values of each input that declares them."""
+    return {i: len(a.values) for i, a in enumerate(header.of(declared.INPUT)) if a.values}
 
 
 def load(spark: SparkSession, p: dict[str, str], path: str) -> DataFrame:
@@ -172,7 +206,7 @@ def main(args: list[str]) -> dict:
     p = parse(args)
     spark = SparkSession.builder.getOrCreate()
     paths = files.fold_paths(p["data-dir"], p.get("leaf", "fold"), int(p["folds"])) if "data-dir" in p else [(p["train-file"], p["test-file"])]
-    return run(spark, [(load(spark, p, a), load(spark, p, b)) for a, b in paths], stages_of(p), p["output-dir"])
+    return run(spark, [(load(spark, p, a), load(spark, p, b)) for a, b in paths], stages_of(p, arity_of(declared.read_header(spark, p["header-file"])) if "header-file" in p else None), p["output-dir"])
 
 
 if __name__ == "__main__":

@@ -19,7 +19,7 @@ from featlens.functions import dense, info
 from featlens.functions.criteria import CRITERIA
 from featlens.operators import evaluate, evolve, generate, mdlp, select
 from featlens.operators.bins import Thresholds
-from featlens.sources import declared, files
+from featlens.sources import declared, dictionary, faults, files
 
 LABEL = "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 30 THEN 1 ELSE 2 END"
 FEATURES = ("CAST(l_quantity AS INT)", "CAST(floor(l_quantity / 5) AS INT)", "l_linenumber", "CAST(round(l_tax * 100) AS INT)", "CAST(round(l_discount * 100) AS INT)")
@@ -454,6 +454,59 @@ def validation_errors(spark, sf_dir):
     return declared.validate(declared.raw_rows(lines), header).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH t AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0)),
+d AS (SELECT c_name, dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM t)),
+e AS (SELECT c_name, (SELECT count(*) FROM d) + dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM d)))
+SELECT c_custkey, code FROM customer JOIN (SELECT * FROM d UNION ALL SELECT * FROM e) USING (c_name)"""
+)
+def open_dictionary(spark, sf_dir):
+    """Codes of an attribute with about as many values as rows; a third of the customers add theirs behind."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("code"))
+    known = dictionary.dictionary(rows.where("c_custkey % 3 <> 0"), "code")
+    return dictionary.coded(rows, {"code": dictionary.extended(known, rows, "code")})
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def dictionary_round_trip(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    known = {"c_name": dictionary.dictionary(rows, "c_name")}
+    return dictionary.decoded(dictionary.coded(rows, known), known)
+
+
+@query("SELECT c_custkey, c_acctbal::DOUBLE AS c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey::BIGINT END AS c_nationkey, c_mktsegment FROM customer")
+def rows_from_arrays(spark, sf_dir):
+    """Customers coded as arrays of numbers, a fifth of the nations as NaN, and back."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    each = declared.coded(rows.select("c_custkey", *[a.name for a in CUSTOMERS.attributes]), declared.Header("c", (declared.Attribute("c_custkey", declared.INTEGER), *CUSTOMERS.attributes)))
+    nation = F.when(F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_nationkey"))
+    arrays = each.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.array("c_acctbal", nation, "c_mktsegment").alias("features"))
+    return faults.from_arrays(arrays, CUSTOMERS)
+
+
+#: A customer's line, damaged in one of several ways, and a comment before every tenth.
+_DAMAGED = """CASE c_custkey % 13 WHEN 1 THEN c_acctbal || ',' || c_nationkey WHEN 2 THEN 'x1,' || c_nationkey || ',' || c_mktsegment WHEN 3 THEN c_acctbal || ',1.5,' || c_mktsegment
+WHEN 4 THEN c_acctbal || ',' || c_nationkey || ',OTHER' WHEN 5 THEN c_acctbal || ',' || c_nationkey || ',?' WHEN 6 THEN c_acctbal || ',99,' || c_mktsegment WHEN 7 THEN c_acctbal || ',-1,' || c_mktsegment WHEN 8 THEN '% ' || c_custkey
+ELSE c_acctbal || ',' || c_nationkey || ',' || c_mktsegment END"""
+_DAMAGED_HEADER = ["@attribute c_acctbal real", "@attribute c_nationkey integer [0, 24]", "@attribute c_mktsegment {AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD, MACHINERY}", "@data"]
+
+
+@query(
+    """WITH n AS (SELECT c_custkey % 13 AS k, row_number() OVER (ORDER BY c_custkey) AS line, c_nationkey FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY line) AS row FROM n WHERE k <> 8)
+SELECT [NULL, 'wrong number of values', 'number expected', 'integer expected', 'unknown nominal value', 'missing output', 'above maximum', 'below minimum'][k + 1] AS kind, line, row,
+  [NULL, NULL, 'c_acctbal', 'c_nationkey', 'c_mktsegment', 'c_mktsegment', 'c_nationkey', 'c_nationkey'][k + 1] AS attribute, [NULL, NULL, 0, 1, 2, 2, 1, 1][k + 1]::INT AS place,
+  [NULL, NULL, 'input', 'input', 'output', 'output', 'input', 'input'][k + 1] AS direction, [NULL, '2', 'x1', '1.5', 'OTHER', NULL, '99', '-1'][k + 1] AS value
+FROM r WHERE k BETWEEN 1 AND 7"""
+)
+def row_faults(spark, sf_dir):
+    """Faults of damaged lines by line and row, numbered through files that Spark writes in the order of the customers."""
+    path = files.scratch(spark, "damaged")
+    lines = _table(spark, sf_dir, "customer").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").select(F.expr(_DAMAGED).alias("value"))
+    lines.write.text(path)
+    rows = faults.numbered_rows(faults.numbered_lines(spark, path, through=True), through=True, part_rows=200)
+    return faults.row_faults(rows, declared.parse_header(_DAMAGED_HEADER)).drop("file")
+
+
 # ---- files ----
 
 COUNTED = f"WITH {BASE} SELECT y::DOUBLE AS label, {', '.join(f'f{i}::DOUBLE AS f{i}' for i in range(len(FEATURES)))}, count(*) AS n FROM base GROUP BY ALL"

@@ -26,7 +26,7 @@ NOMINAL, INTEGER, REAL = "nominal", "integer", "real"
 INPUT, OUTPUT, UNDEFINED = "input", "output", "undefined"
 
 #: Kinds of errors in a row or header.
-ERRORS = ("wrong number of values", "number expected", "integer expected", "below minimum", "above maximum", "unknown nominal value", "missing output", "unknown nominal output value in test", "header differs")
+ERRORS = ("wrong number of values", "number expected", "integer expected", "below minimum", "above maximum", "unknown nominal value", "missing output", "unknown nominal output value in test", "header differs", "unknown nominal value in test", "number outside bounds in test")
 
 
 @dataclass(frozen=True)
@@ -129,6 +129,20 @@ def parse_header(lines: list[str]) -> Header:
     return header.directed(ins, outs)
 
 
+def header_parts(lines: list[str]) -> tuple[list[str], dict[str, list[str]]]:
+    """Names of the attributes as they are declared, repeats too, and those that @inputs and @outputs name; nothing is checked."""
+    names, sides = [], {}
+    for line in (x.strip() for x in lines):
+        word = line.split(None, 1)[0].lower() if line else ""
+        if word == "@data":
+            break
+        if m := _ATTRIBUTE.match(line):
+            names.append(m[1].strip("'"))
+        elif word.rstrip("s") in ("@input", "@output") and " " in line:
+            sides[word.rstrip("s")[1:]] = [n.strip() for n in line.split(None, 1)[1].split(",")]
+    return names, sides
+
+
 def _attribute(name: str, rest: str) -> Attribute:
     if rest.startswith("{"):
         return Attribute(name, NOMINAL, values=tuple(v.strip() for v in rest[1 : rest.rindex("}")].split(",")))
@@ -155,9 +169,9 @@ def _data_lines(lines: DataFrame) -> DataFrame:
 
 
 def raw_rows(lines: DataFrame) -> DataFrame:
-    """(line, cells) of lines (value): trimmed cells, null where missing; the header's lines, comments and blank lines are left out."""
+    """(line, cells) of lines (value), and further columns as they are: trimmed cells, null where missing; the header's lines, comments and blank lines are left out."""
     cells = F.transform(F.split("value", ",", -1), lambda c: F.when(F.lower(F.trim(c)).isin("?", "<null>"), None).otherwise(F.trim(c)))
-    return _data_lines(lines).select(F.col("value").alias("line"), cells.alias("cells"))
+    return _data_lines(lines).select(*[c for c in lines.columns if c != "value"], F.col("value").alias("line"), cells.alias("cells"))
 
 
 def typed(rows: DataFrame, header: Header) -> DataFrame:
@@ -178,8 +192,8 @@ def from_lines(spark: SparkSession, lines: list[str]) -> tuple[DataFrame, Header
     return typed(raw_rows(spark.createDataFrame([(x,) for x in lines], "value string")), header), header
 
 
-def validate(rows: DataFrame, header: Header, test: bool = False) -> DataFrame:
-    """(kind, line, attribute, value) of every fault of raw rows. Test rows may leave the bounds; unknown output values count as their own kind there."""
+def validate(rows: DataFrame, header: Header, test: bool = False, bounds_in_test: bool = False) -> DataFrame:
+    """(kind, line, attribute, value) of every fault of raw rows, and their further columns. Test rows may leave the bounds, unless bounds_in_test reports it; unknown output values count as their own kind there, unknown input values too if bounds_in_test."""
     wide = F.size("cells") != len(header.attributes)
     faults = [F.when(wide, F.struct(F.lit(ERRORS[0]).alias("kind"), F.lit("").alias("attribute"), F.size("cells").cast("string").alias("value")))]
     for i, a in enumerate(header.attributes):
@@ -194,7 +208,7 @@ def validate(rows: DataFrame, header: Header, test: bool = False) -> DataFrame:
             fault(cell.isNull(), ERRORS[6])
         if a.kind == NOMINAL:
             if a.values:
-                fault(cell.isNotNull() & ~cell.isin(*a.values), ERRORS[7] if test and a.direction == OUTPUT else ERRORS[5])
+                fault(cell.isNotNull() & ~cell.isin(*a.values), ERRORS[7] if test and a.direction == OUTPUT else ERRORS[9] if test and bounds_in_test else ERRORS[5])
             continue
         number = cell.try_cast("double")
         fault(cell.isNotNull() & number.isNull(), ERRORS[1])
@@ -203,8 +217,11 @@ def validate(rows: DataFrame, header: Header, test: bool = False) -> DataFrame:
         if a.low is not None and not test:
             fault(number < a.low, ERRORS[3])
             fault(number > a.high, ERRORS[4])
-    found = rows.select("line", F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("x"))
-    return found.select("x.kind", "line", "x.attribute", "x.value")
+        elif a.low is not None and bounds_in_test:
+            fault((number < a.low) | (number > a.high), ERRORS[10])
+    more = [c for c in rows.columns if c not in ("line", "cells")]
+    found = rows.select("line", *more, F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("x"))
+    return found.select("x.kind", "line", "x.attribute", "x.value", *more)
 
 
 class DataFault(ValueError):
@@ -224,13 +241,21 @@ def checked(rows: DataFrame, header: Header, test: bool = False, shown: int = 10
     return clamped(out, header) if test else out
 
 
+#: Values of a nominal attribute that learned() takes to the driver at most.
+MAX_VALUES = 100_000
+
+
 def learned(df: DataFrame, header: Header) -> Header:
-    """header with the bounds and value lists that it doesn't declare, from training rows. Values are in order."""
+    """header with the bounds and value lists that it doesn't declare, from training rows. Values are in order. An attribute of more than MAX_VALUES stays open: its values are a table's, see sources.dictionary."""
     aggs = []
+    open_ = [a.name for a in header.attributes if a.kind == NOMINAL and not a.values]
+    if open_:
+        many = df.agg(*[F.count_distinct(n).alias(n) for n in open_]).first()
+        open_ = [n for n in open_ if many[n] <= MAX_VALUES]
     for a in header.attributes:
         if a.kind != NOMINAL and a.low is None:
             aggs += [F.min(a.name).cast("double").alias(f"{a.name}:low"), F.max(a.name).cast("double").alias(f"{a.name}:high")]
-        if a.kind == NOMINAL and not a.values:
+        if a.name in open_:
             aggs.append(F.array_sort(F.collect_set(a.name)).alias(f"{a.name}:values"))
     if not aggs:
         return header
