@@ -464,9 +464,23 @@ def _whole(batches, table: Pieces, decode: bool):
             yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], [*kept, "ids", "n_units", *(["decoded"] if decode else [])])
 
 
+def _is_scan(documents: DataFrame) -> bool:
+    """Whether documents is a file table, narrowed to rows or columns at most: Spark reads its rows in the same order each time, whichever columns are wanted."""
+    open_ = [documents._jdf.queryExecution().optimizedPlan()]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation"):
+            return False
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
-    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. documents must come straight from a table, so that rows keep their numbers."""
+    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. Rows are numbered each time they are read, so documents that don't come straight from a table are written to one first."""
     spark = documents.sparkSession
+    if not _is_scan(documents):
+        documents = written(documents.select("doc_id", "text"), "pieces-documents")
     cuts = spark.sparkContext.broadcast(Cuts(model))
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
         known = vocabulary(documents, model, cuts)

@@ -626,3 +626,17 @@ def test_passage_classes(spark, monkeypatch):
         assert all((r.partner_id is None) == (r.doc_id not in link and r.doc_id not in link.values()) for r in out)
         assert all(min(r.end - r.start, r.partner_end - r.partner_start) >= 50 and r.similarity >= 0.8 for r in out if r.partner_id is not None)
     assert passages.classes(docs(spark).where("false")).count() == 0
+
+
+def test_pieces_of_shuffled_documents_are_the_library_s(spark, real, monkeypatch):
+    """Rows that come in another order each time they are read, most of whose units are seldom."""
+    import sentencepiece as sp
+
+    lib = sp.SentencePieceProcessor(model_file=queries.PIECES)
+    model = pieces.load(queries.PIECES)
+    monkeypatch.setattr(pieces, "FREQUENT", 3)
+    few = real.where("n_chars < 2000")
+    assert pieces._is_scan(few) and not pieces._is_scan(few.repartition(4))
+    texts = {r.doc_id: r.text for r in few.collect()}
+    got = {r.doc_id: list(r.ids) for r in pieces.encode_documents(few.repartition(4), model).collect()}
+    assert got == {i: lib.encode(t or "") for i, t in texts.items()} and len(got) > 50
