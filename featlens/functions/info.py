@@ -41,6 +41,10 @@ def hist2(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
 
 
+#: Cells over all instances that are broadcast at most.
+BROADCAST_CELLS = 1_000_000
+
+
 def complete_zeros(stored: DataFrame, totals: DataFrame, others: list[str], value: str = "x", zero: Column | None = None) -> DataFrame:
     """Adds to a histogram of stored entries the cells of implicit zeros, by subtraction.
 
@@ -51,7 +55,9 @@ def complete_zeros(stored: DataFrame, totals: DataFrame, others: list[str], valu
     zero = F.lit(0) if zero is None else zero
     features = stored.select("feature").distinct()
     own = stored.where(F.col(value) != zero).groupBy("feature", *others).agg(F.sum("n").alias("_own"))
-    every = features.join(F.broadcast(totals.withColumnRenamed("n", "_all")))
+    # each feature meets each cell of totals: that many cells are the result
+    few = totals.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    every = features.crossJoin(F.broadcast(totals.withColumnRenamed("n", "_all")) if few else totals.withColumnRenamed("n", "_all"))
     missing = every.join(own, ["feature", *others], "left").withColumn("n", F.col("_all") - F.coalesce("_own", F.lit(0))).where("n > 0")
     cells = missing.select("feature", zero.cast(stored.schema[value].dataType).alias(value), *others, "n")
     return stored.where(F.col(value) != zero).select(*cells.columns).unionByName(cells)

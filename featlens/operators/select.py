@@ -53,6 +53,21 @@ def check_bins(df: DataFrame, bins: str = "bins") -> int:
     return row.a
 
 
+def check_entries(df: DataFrame, entries: str = "entries") -> int:
+    """The number of features of sparse rows, the largest place and 1; raises unless all values are whole and not negative, and no row has a place twice or below 0."""
+    e = F.col(entries)
+    bad = F.exists(e, lambda x: x["v"].isNull() | (x["v"] < 0) | (x["v"] % 1 != 0))
+    places = F.transform(e, lambda x: x["i"])
+    row = df.agg(F.max(F.array_max(places)).alias("last"), F.max(bad.cast("int")).alias("bad"), F.max(((F.size(F.array_distinct(places)) < F.size(e)) | F.exists(places, lambda i: i.isNull() | (i < 0))).cast("int")).alias("twice"), F.count("*").alias("n")).first()
+    if not row.n:
+        raise ValueError("the table is empty")
+    if row.bad:
+        raise ValueError("features must be whole numbers of 0 or more: discretize them first")
+    if row.twice:
+        raise ValueError("a row has a feature twice, or one without a place")
+    return 0 if row["last"] is None else row["last"] + 1
+
+
 def select_features(df: DataFrame, by: str | Criterion = "mrmr", n: int = 25, beta: float = 0.0, bins: str = "bins", sparse: bool = False, n_features: int | None = None, width: int | None = None) -> Selection:
     """Selects up to n features of rows (y, bins), or (y, entries) if sparse, one at a time.
 
@@ -62,7 +77,7 @@ def select_features(df: DataFrame, by: str | Criterion = "mrmr", n: int = 25, be
     width: of dense rows that are known to be valid, their number of features. Ties go to the smaller feature. Fewer features than n: all are ranked.
     """
     if sparse:
-        width = n_features or (df.agg(F.max(F.array_max("entries.i"))).first()[0] or 0) + 1
+        width = max(n_features or 0, check_entries(df))
     else:
         width = width or check_bins(df, bins)
     wide = not sparse and width >= dense.WIDE and dense.whole(df, bins)

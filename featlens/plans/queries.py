@@ -223,6 +223,31 @@ def sparse_redundancy(spark, sf_dir):
     return info.redundancy_sparse(files.sparse_entries(binned(spark, sf_dir), "bins"), 0).select("feature", rounded("mi").alias("mi"), rounded("cmi").alias("cmi"))
 
 
+@query(f"WITH {BASE}, {LONG}, {HIST2}, {MI} SELECT (row_number() OVER (ORDER BY mi DESC, feature))::INT AS rank, feature, {ROUND('mi')} AS score FROM mi")
+def relevance_report(spark, sf_dir):
+    """What a search by another criterion reports of relevance alone, of sparse rows."""
+    rows = files.sparse_entries(binned(spark, sf_dir), "bins")
+    found = select.select_features(rows, "jmi", len(FEATURES), sparse=True)
+    return select.Selection(found.max_relevance).table(spark).select("rank", "feature", rounded("score").alias("score"))
+
+
+@query(f"WITH {BASE} SELECT y::DOUBLE AS label, f0::DOUBLE AS a, f2::DOUBLE AS b, count(*) AS n FROM base GROUP BY ALL")
+def sparse_project(spark, sf_dir):
+    """Two of five features of sparse vectors, which stay sparse, as read from a sparse file."""
+    path = files.scratch(spark, "libsvm")
+    files.write_libsvm(_labelled(spark, sf_dir), path)
+    kept = select.Selection([(2, 1.0), (0, 0.5)]).transform(files.read_libsvm(spark, path, n_features=len(FEATURES)), "features")
+    v = vector_to_array("features")
+    return kept.groupBy("label", v[0].alias("a"), v[1].alias("b")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BASE}, {LONG} SELECT feature, x::DOUBLE AS v, y, count(*) AS n FROM long GROUP BY ALL")
+def sparse_value_hist(spark, sf_dir):
+    """Values of sparse rows for the cut search, the zeros by subtraction."""
+    hist = mdlp.point_hist_sparse(files.sparse_entries(binned(spark, sf_dir), "bins"))
+    return hist.select("feature", F.col("v").cast("double").alias("v"), "y", "n")
+
+
 CHI = f"""{BASE}, {LONG}, {HIST2}, g AS (SELECT f.feature, f.x, l.y, nx, ny, nt, coalesce(h.n, 0) AS n FROM
   (SELECT feature, x, sum(n) AS nx FROM h2 GROUP BY ALL) f JOIN (SELECT feature, y, sum(n) AS ny, sum(sum(n)) OVER (PARTITION BY feature) AS nt FROM h2 GROUP BY feature, y) l USING (feature)
   LEFT JOIN h2 h ON h.feature = f.feature AND h.x = f.x AND h.y = l.y),
@@ -552,11 +577,12 @@ def declared_round_trip(spark, sf_dir):
     return rows.groupBy("c_acctbal", "c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 10.5::DOUBLE), (0, 1, 30.5::DOUBLE), (2, 0, 4.0::DOUBLE)) t(feature, place, cut)")
+@query(search_sql(POINTS))
 def threshold_store(spark, sf_dir):
+    """Fitted thresholds, stored and read back."""
     path = files.scratch(spark, "thresholds")
-    files.write_thresholds(spark, Thresholds([[10.5, 30.5], None, [4.0]]), path)
-    return _cut_rows(spark, files.read_thresholds(spark, path, 3))
+    files.write_thresholds(spark, mdlp.fit(continuous(spark, sf_dir), only=[0], **AS_SQL), path)
+    return _cut_rows(spark, files.read_thresholds(spark, path, 2))
 
 
 @query(f"WITH {BASE}, {LONG}, {HIST2}, {MI} SELECT rank, feature, {ROUND('mi')} AS score FROM (SELECT *, (row_number() OVER (ORDER BY mi DESC, feature))::INT AS rank FROM mi) WHERE rank <= 4")

@@ -136,3 +136,18 @@ def test_thresholds_of_many_features(spark):
         zero = [0.0 if keep or not c else float(sum(x < 0 for x in c)) for c in cuts]
         want = [[(i, b) for i in range(2000) if (b := bin_of(row[i], cuts[i]) if i in row else zero[i])] for row in sparse]
         assert [list(map(tuple, r.entries)) for r in t.transform_sparse(entries, keep_zeros=keep).collect()] == want
+
+
+def test_sparse_rows_are_validated(spark):
+    def of(*rows):
+        return select.check_entries(spark.createDataFrame([(list(r),) for r in rows], "entries array<struct<i: int, v: double>>"))
+
+    assert of([(0, 1.0), (7, 2.0)], []) == 8 and of([]) == 0
+    for bad in ([(0, 1.5)], [(0, -1.0)], [(0, None)]):
+        with pytest.raises(ValueError, match="whole"):
+            of(bad)
+    for bad in ([(2, 1.0), (2, 1.0)], [(-1, 1.0)]):
+        with pytest.raises(ValueError, match="twice"):
+            of(bad)
+    with pytest.raises(ValueError, match="empty"):
+        of()
