@@ -24,10 +24,10 @@ def whole(df: DataFrame, bins: str) -> bool:
 
 
 class Cells:
-    """Counts of cells (feature, x, group), numbered feature by feature; spans of x and groups double as needed."""
+    """Counts of cells (feature, x, group), numbered feature by feature; spans of x and groups double as needed. Once a value is negative, values are folded: 0, -1, 1, -2, ..."""
 
     def __init__(self):
-        self.spans, self.groups = (16, 4), {}
+        self.spans, self.groups, self.folded = (16, 4), {}, False
         self.numbers, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def code(self, columns: list[list]) -> np.ndarray:
@@ -39,13 +39,20 @@ class Cells:
         return *np.divmod(rest, self.spans[0]), group
 
     def add(self, feature: np.ndarray, x: np.ndarray, group: np.ndarray) -> None:
-        if not len(x):
+        """feature, x and group are as long as each other, or spread over rows and features."""
+        if not x.size:
             return
+        if not self.folded and x.min() < 0:
+            f, v, g = self.parts()
+            self.folded, self.spans = True, (2 * self.spans[0], self.spans[1])
+            self.numbers = (f * self.spans[0] + 2 * v) * self.spans[1] + g
+        if self.folded:
+            x = (x << 1) ^ (x >> 63)
         spans = tuple(max(s, 1 << int(m).bit_length()) for s, m in zip(self.spans, (x.max(), max(len(self.groups) - 1, 0)), strict=True))
         if spans != self.spans:
             f, v, g = self.parts()
             self.spans, self.numbers = spans, (f * spans[0] + v) * spans[1] + g
-        numbers = (feature * spans[0] + x) * spans[1] + group
+        numbers = ((feature * spans[0] + x) * spans[1] + group).ravel()
         if numbers.max() <= 4 * len(numbers):
             counted = np.bincount(numbers)
             new = np.flatnonzero(counted)
@@ -62,13 +69,15 @@ class Cells:
         f, x, g = self.parts()
         keys = list(self.groups)
         columns = [pa.array([keys[i][k] for i in g.tolist()], pa.int64()) for k in range(others)]
-        # undo the folding of negative numbers
-        x = (x >> 1) ^ -(x & 1)
+        if self.folded:
+            x = (x >> 1) ^ -(x & 1)
         return pa.record_batch([pa.array(f.astype(np.int32)), pa.array(x), *columns, pa.array(self.counts)], ["feature", "x", *[f"o{k}" for k in range(others)], "n"])
 
 
 def _counter(others: int, keep: list[int] | None, skip: int | None):
-    wanted = None if keep is None else np.array(sorted(keep), np.int64)
+    def wanted(feature: np.ndarray) -> np.ndarray:
+        mask = np.ones(len(feature), bool) if keep is None else np.isin(feature, keep)
+        return mask if skip is None else mask & (feature != skip)
 
     def of(batches):
         cells = Cells()
@@ -76,16 +85,22 @@ def _counter(others: int, keep: list[int] | None, skip: int | None):
             lists, columns = b.column("bins"), [b.column(f"o{k}").to_pylist() for k in range(others)]
             lengths = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             values = lists.flatten()
+            group = cells.code(columns)
+            if len(lengths) and not values.null_count and (lengths == lengths[0]).all():
+                # a table of rows and features
+                feature = np.flatnonzero(wanted(np.arange(lengths[0])))
+                x = values.to_numpy().reshape(len(lengths), -1)
+                x = (x if len(feature) == lengths[0] else x[:, feature]).astype(np.int64)
+                cells.add(feature[None], x, group[:, None])
+                if len(cells.numbers) > FLUSH:
+                    yield cells.batch(others)
+                    cells = Cells()
+                continue
             ends = np.cumsum(lengths)
             feature = np.arange(len(values)) - np.repeat(ends - lengths, lengths)
-            group = np.repeat(cells.code(columns), lengths)
-            ok = np.asarray(values.is_valid().to_numpy(zero_copy_only=False), bool)
-            if wanted is not None:
-                ok &= np.isin(feature, wanted)
-            if skip is not None:
-                ok &= feature != skip
+            ok = np.asarray(values.is_valid().to_numpy(zero_copy_only=False), bool) & wanted(feature)
             x = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[ok]
-            cells.add(feature[ok], (x << 1) ^ (x >> 63), group[ok])
+            cells.add(feature[ok], x, np.repeat(group, lengths)[ok])
             if len(cells.numbers) > FLUSH:
                 yield cells.batch(others)
                 cells = Cells()

@@ -140,10 +140,31 @@ def run(spark: SparkSession, folds: list[tuple[DataFrame, DataFrame]], stages: S
             "classes": [r.asDict() for r in evaluate.class_measures(said).orderBy("class").collect()],
             "auc": evaluate.one_point_auc(said).first().auc,
         }
-    spark.createDataFrame([(json.dumps(report, indent=1, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+    for name, text in (("report", json.dumps(report, indent=1, default=str)), ("summary", rendered(report))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
     return report
 
 
+def rendered(report: dict) -> str:
+    """A report for reading: mean times, accuracy by fold with mean and deviation, confusion with a row for each label, measures by class, and the area under the curve, training rows beside test rows."""
+    lines = [f"{name}\t{seconds:.3f} s" for name, seconds in report["mean_seconds"].items()]
+    sides = [s for s in ("train", "test") if s in report]
+    if sides:
+        table = [("accuracy", *sides)]
+        table += [(f"fold {f['fold']}", *[f"{f[f'accuracy_{s}']:.6f}" for s in sides]) for f in report["folds"]]
+        table += [(name, *[f"{report[s][name]:.6f}" for s in sides]) for name in ("mean", "std")]
+        table += [("auc", *["-" if report[s]["auc"] is None else f"{report[s]['auc']:.6f}" for s in sides])]
+        lines += ["", *["\t".join(row) for row in table]]
+    for side in sides:
+        cells = {(c["label"], c["prediction"]): c["n"] for c in report[side]["confusion"]}
+        classes = sorted({k for pair in cells for k in pair})
+        lines += ["", f"{side}: predicted", "\t".join(["label", *map(str, classes)])]
+        lines += ["\t".join([str(a), *[str(cells.get((a, b), 0)) for b in classes]]) for a in classes]
+        lines += ["\t".join(["class", "precision", "recall", "f_measure"])]
+        lines += ["\t".join([str(c["class"]), *[f"{c[m]:.6f}" for m in ("precision", "recall", "f_measure")]]) for c in report[side]["classes"]]
+    return "\n".join(lines)
+
+
 def parse(args: list[str]) -> dict[str, str]:
     """--name=value arguments; values may hold = and --."""
     out = dict(DEFAULTS)

@@ -158,6 +158,9 @@ def test_experiment_resumes(spark, tmp_path):
     one = experiment.run(spark, [(rows, rows)], experiment.stages_of(p), str(tmp_path))
     two = experiment.run(spark, [(rows, rows)], experiment.stages_of(p), str(tmp_path))
     assert one["test"]["mean"] > 0.8 and one["folds"][0]["seconds"]["select"] == pytest.approx(two["folds"][0]["seconds"]["select"], rel=0.2)
+    summary = [r.value for r in spark.read.text(f"{tmp_path}/summary").collect()]
+    assert summary == experiment.rendered(two).split("\n") and f"mean\t{two['train']['mean']:.6f}\t{two['test']['mean']:.6f}" in summary
+    assert sum(int(n) for line in summary if line.startswith(("0.0\t", "1.0\t")) and "." not in line.split("\t", 1)[1] for n in line.split("\t")[1:]) == 600
     assert experiment.parse(["--output-dir=a=b"])["output-dir"] == "a=b"
 
 
