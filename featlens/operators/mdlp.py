@@ -55,7 +55,8 @@ def candidates(points: DataFrame, classes: int, part_rows: int | None = None) ->
     near = scan.beside(scan.parts(values, ["feature"], "v", part_rows), ["feature"], "v", ["low", "high"])
     pure = F.least("low", F.col("_before.low")) == F.greatest("high", F.col("_before.high"))
     marked = near.withColumn("starts", F.when(F.col("_before").isNotNull() & ~pure, 1).otherwise(0)).withColumn("after", F.col("_after.v")).drop("_before", "_after")
-    runs = scan.running(marked, ["feature"], "v", {"starts": "run"})
+    # what is summed is read twice: a part's rows, and all parts' sums
+    runs = scan.running(stored(marked, "marked"), ["feature"], "v", {"starts": "run"})
     runs = runs.groupBy("feature", "run").agg(F.max(F.struct("v", "after")).alias("last"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(classes)])
     cut = F.when(F.col("last.after").isNull(), F.col("last.v")).otherwise(((F.col("last.v").cast("double") + F.col("last.after").cast("double")) / 2).cast("float"))
     return runs.select("feature", "run", cut.alias("cut"), *[f"c{i}" for i in range(classes)])
@@ -73,14 +74,14 @@ def _accepts(gain, s, k, hs, k1, h1, k2, h2, log2, power, infinite):
     return infinite | (gain - (log2(s - 1) + delta) / s > TOLERANCE)
 
 
-def split_costs(cum: DataFrame, nodes: DataFrame, classes: int) -> DataFrame:
+def split_costs(cum: DataFrame, nodes: DataFrame, classes: int, most: int = 1 << 16) -> DataFrame:
     """For every candidate strictly inside an open interval: node, cut, run, w (weighted entropy after the cut), accepted, and its own counts c0 .., l0 ...
 
-    nodes: (feature, node, lo, hi, b0 .., t0 ..): class counts up to and with lo, and between lo and hi. No two of a feature overlap.
+    nodes: (feature, node, lo, hi, b0 .., t0 ..): class counts up to and with lo, and between lo and hi. No two of a feature overlap; a feature has most at most.
     """
     each = nodes.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("lo", *[c for c in nodes.columns if c not in ("feature", "lo")]))).alias("open"))
     with_open = cum.join(F.broadcast(each), "feature")
-    own = F.get(F.col("open"), scan.below(F.col("open.lo"), F.col("cut")) - 1)
+    own = F.get(F.col("open"), scan.below(F.col("open.lo"), F.col("cut"), most) - 1)
     inside = with_open.withColumn("_own", own).where(F.col("cut") < F.col("_own.hi")).select(*cum.columns, "_own.*")
     left = [F.col(f"l{i}") - F.col(f"b{i}") for i in range(classes)]
     total = [F.col(f"t{i}") for i in range(classes)]
@@ -115,7 +116,7 @@ def search_levels(cum: DataFrame, classes: int, max_bins: int | None = MAX_BINS,
     while open_ and level < levels:
         level += 1
         rows = [(f, k, lo, hi, None, *base, *total) for f, parts in open_.items() for k, (lo, hi, base, total) in enumerate(parts)]
-        costs = split_costs(cum, spark.createDataFrame(rows, schema), classes).where("accepted")
+        costs = split_costs(cum, spark.createDataFrame(rows, schema), classes, max(len(p) for p in open_.values())).where("accepted")
         best = costs.groupBy("feature", "node").agg(F.min(F.struct("w", "cut", "run", *[f"{x}{i}" for x in "cl" for i in range(classes)])).alias("m"))
         chosen = {(r.feature, r.node): r for r in best.select("feature", "node", "m.*").collect()}
         following: dict[int, list] = {}
