@@ -1,22 +1,24 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units which no piece of the model crosses: between two
-characters of kinds (space, line break, letter, digit, other) that stand side by
-side in no piece. Each distinct unit is encoded once: its substrings of at most the longest piece's length are exploded and
+characters that stand side by side in no piece, or that are no piece themselves
+and stand in none together with the character before or behind them. Each distinct unit is encoded once: its substrings of at most the longest piece's length are exploded and
 equi-joined to the piece table, the edges are grouped by unit, and a Spark
 higher-order aggregate folds them. For unigram models the fold is Viterbi over
 the pieces' scores. For BPE models Viterbi over scores gives other pieces than
 SentencePiece does, because its scores are merge ranks: there the fold runs the
 merges on the same edges, at each step the best-scored edge that spans exactly
 two of the pieces so far, leftmost first. Characters that are no piece become
-byte pieces, or the unknown piece where the model has none.
+byte pieces, or where the model has none the unknown piece, one for a run of
+them.
 
 A document is then put together from its units. The most frequent units (at
 most FREQUENT, and COMMON_LONG longer ones, whatever the corpus) are known to
 every task by number, so a text becomes a string of short numbers where it
 lies; its other units are joined to their pieces by a shuffle and return to
-their places. Cutting is cheaper than keeping: texts are cut anew, in Arrow
-batches, to count units, to find the seldom ones and to number the others. The whole document's ids are decoded again from the pieces' bytes.
+their places, by a row number that is written beside them. Texts are cut in Arrow
+batches, once to count units and once to number them. Documents are read for both,
+and must give the same texts each time, in any order. The whole document's ids are decoded again from the pieces' bytes.
 Units of more than MAX_FOLD code points, which are too long for the fold's
 64-bit sets, are encoded by the same rules in Python, in Arrow batches.
 
@@ -27,8 +29,8 @@ null doc_ids are kept. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import forget, setting, written
+from featlens.llm.storage import forget, join_split, setting, written
 
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
@@ -45,17 +47,10 @@ MAX_FOLD, MAX_PIECES = 60, 1 << 20
 FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
 #: Documents in an Arrow batch; bytes of text whose units are in memory at once (one document at least), and that are cut at once.
 BATCH, AT_ONCE, BLOCK = 2048, 8 << 20, 1 << 20
-KINDS = "SBLDO"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
 
-def _kind(c: str) -> str:
-    """S for a space, B for a line break, L for letters and marks, D for decimal digits, O for others."""
-    category = unicodedata.category(c)
-    return "S" if c in (SPACE, " ") else "B" if c == "\n" else "L" if category[0] in "LM" else "D" if category == "Nd" else "O"
-
-
 @dataclass(frozen=True)
 class Model:
     """pieces: (piece, id, score) of normal pieces; first_byte: id of byte piece 0, or None; kind: UNIGRAM or BPE."""
@@ -105,12 +100,45 @@ def _normal() -> F.Column:
 
 
 class Cuts:
-    """Where texts are cut: whether no piece holds a character of one kind before one of another."""
+    """Where texts are cut. Pairs and runs of three characters are looked up by a hash: two of one hash may keep a place whole, and never cut one that a piece crosses."""
+
+    BITS = 22
+    #: Pairs: in no piece, in longer pieces only, a piece.
+    ABSENT, INSIDE, PIECE = 0, 1, 2
 
     def __init__(self, model: Model):
-        self.kind = np.fromiter((KINDS.index(_kind(chr(i))) for i in range(0x110000)), np.uint8, 0x110000)
-        joined = {_kind(a) + _kind(b) for p, _, _ in model.pieces for a, b in zip(p, p[1:])}
-        self.cut = np.array([a + b not in joined for a in KINDS for b in KINDS])
+        self.pairs, self.threes = np.zeros(1 << self.BITS, np.uint8), np.zeros(1 << self.BITS, bool)
+        codes = [_codes(p.replace(SPACE, " ").encode()) for p, _, _ in model.pieces]
+        for c in codes:
+            if len(c) > 2:
+                self.pairs[self._place(c[:-1], c[1:])] = self.INSIDE
+                self.threes[self._place(c[:-2], c[1:-1], c[2:])] = True
+        for c in codes:
+            if len(c) == 2:
+                self.pairs[self._place(c[:1], c[1:])] = self.PIECE
+
+    def _place(self, *codes: np.ndarray) -> np.ndarray:
+        mixed = codes[0] * np.uint32(0x9E3779B1)
+        for c, odd in zip(codes[1:], (0x85EBCA77, 0xC2B2AE3D), strict=False):
+            mixed = mixed ^ (c * np.uint32(odd))
+        return mixed >> np.uint32(32 - self.BITS)
+
+    def _begins(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether each character begins a unit, those of starts a text."""
+        begins = starts.copy()
+        pair = self.pairs[self._place(c[:-1], c[1:])]
+        begins[1:] |= pair == self.ABSENT
+        at = np.flatnonzero((pair == self.INSIDE) & ~starts[1:]) + 1
+        held = np.zeros(len(at), bool)
+        # a window that reaches into another text is none
+        before = np.flatnonzero(~starts[at - 1] & (at > 1))
+        i = at[before]
+        held[before] = self.threes[self._place(c[i - 2], c[i - 1], c[i])]
+        after = np.flatnonzero(~np.append(starts, True)[at + 1])
+        i = at[after]
+        held[after] |= self.threes[self._place(c[i - 1], c[i], c[i + 1])]
+        begins[at[~held]] = True
+        return begins
 
     def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units of all texts, and where in them each text's begin, and end."""
@@ -119,29 +147,35 @@ class Cuts:
         at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(values, np.uint8)[at[0] : at[-1]] if values and at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
-        found, lo, last = [np.zeros(0, np.int32)], 0, None
+        first = at[:-1][at[:-1] < at[1:]]
+        found, lo = [np.zeros(0, np.int32)], 0
         while lo < len(data):
-            hi = min(lo + BLOCK, len(data))
-            while hi < len(data) and data[hi] & 0xC0 == 0x80:
-                hi += 1
-            part = data[lo:hi]
-            kind = self.kind[np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)]
-            begins = np.ones(len(kind), bool)
-            begins[1:] = self.cut[kind[:-1] * 5 + kind[1:]]
-            if last is not None:
-                begins[0] = self.cut[last * 5 + int(kind[0])]
-            found.append((np.flatnonzero((part & 0xC0) != 0x80)[begins] + lo).astype(np.int32))
-            lo, last = hi, int(kind[-1])
+            hi = _border(data, min(lo + BLOCK, len(data)), 1)
+            # two characters before the block and one behind it tell what its own ends need
+            low = _border(data, _border(data, lo - 1, -1) - 1, -1)
+            part = data[low : _border(data, hi + 1, 1)]
+            place = np.flatnonzero((part & 0xC0) != 0x80) + low
+            starts = np.zeros(len(place), bool)
+            starts[np.searchsorted(place, first[np.searchsorted(first, low) : np.searchsorted(first, low + len(part))])] = True
+            begins = self._begins(_codes(part.tobytes()), starts) & (place >= lo) & (place < hi)
+            found.append(place[begins].astype(np.int32))
+            lo = hi
         found = np.concatenate(found)
-        # a text begins with a space, which only the space that ends the text before it can hide
-        first = at[:-1][at[:-1] < at[1:]]
-        place = np.searchsorted(found, first)
-        hidden = np.append(found, -1)[place] != first
-        found = np.insert(found, place[hidden], first[hidden])
         ends = np.append(found, np.int32(len(data))).astype(np.int32)
         return pa.Array.from_buffers(pa.string(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]), np.searchsorted(found, at)
 
 
+def _codes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+
+
+def _border(data: np.ndarray, at: int, step: int) -> int:
+    """The first place from at on, in this direction, where a character begins or data ends."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at += step
+    return min(max(at, 0), len(data))
+
+
 def _parts(batches):
     """Slices of batches with at most AT_ONCE bytes in column text, or one row."""
     for b in batches:
@@ -301,7 +335,7 @@ def encode_long(model: Model, unit: str, table: dict[str, tuple[int, float]]) ->
         if p := table.get(unit[s:e]):
             out.append(p[0])
         elif model.first_byte is None:
-            out.append(model.unknown)
+            out += [model.unknown] if out[-1:] != [model.unknown] else []
         else:
             out += [model.first_byte + b for b in unit[s:e].encode()]
     return out
@@ -386,19 +420,24 @@ def _numbers(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seldom(batches, cuts: Cuts, names: pa.Array):
-    """(row, text) -> row, n, unit: the units that names lacks, numbered from 0 in each row."""
-    for b in _parts(batches):
-        flat, ends = cuts.units(b.column("text"))
-        missing = pc.is_null(pc.index_in(flat, value_set=names))
-        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
-        text = np.searchsorted(ends[1:], at, "right")
-        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
-        yield pa.record_batch([b.column("row").take(pa.array(text)), pa.array(n.astype(np.int32)), flat.filter(missing)], ["row", "n", "unit"])
+def _key(unit) -> F.Column:
+    """What a unit is joined by: itself, or a digest if it is long, told by a sign that no unit holds."""
+    return F.when(F.char_length(unit) > MAX_FOLD, F.concat(F.lit(SPACE), F.md5(unit))).otherwise(F.col(unit))
+
+
+def _keys(units: pa.Array) -> pa.Array:
+    """The same of an array."""
+    long = np.flatnonzero(pc.greater(pc.utf8_length(units), MAX_FOLD).to_numpy(zero_copy_only=False))
+    if not len(long):
+        return units
+    digests = pa.array([SPACE + hashlib.md5(u.encode()).hexdigest() for u in units.take(pa.array(long)).to_pylist()], pa.string())
+    mask = np.zeros(len(units), bool)
+    mask[long] = True
+    return pc.replace_with_mask(units, pa.array(mask), digests)
 
 
 def _numbered(batches, cuts: Cuts, names: pa.Array):
-    """(text, other columns) -> the others and numbers (bytes: for each unit its place in names and 1, or 0)."""
+    """(text, other columns) -> the others, numbers (bytes: for each unit its place in names and 1, or 0) and keys: of the units that names lacks, in order."""
     for b in _parts(batches):
         others = [c for c in b.schema.names if c != "text"]
         flat, ends = cuts.units(b.column("text"))
@@ -406,7 +445,9 @@ def _numbered(batches, cuts: Cuts, names: pa.Array):
         data, size = _short_numbers(number)
         cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
         numbers = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-        yield pa.record_batch([*[b.column(c) for c in others], numbers], [*others, "numbers"])
+        missing = np.flatnonzero(number == 0)
+        keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends).astype(np.int32)), _keys(flat.take(pa.array(missing))))
+        yield pa.record_batch([*[b.column(c) for c in others], numbers, keys], [*others, "numbers", "keys"])
 
 
 class Pieces:
@@ -421,18 +462,20 @@ class Pieces:
         texts = [of.get(i, b"") for i in range(max(of) + 1)]
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.byte_ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        self.joined = model.unknown if model.first_byte is None else None
 
     def whole(self, numbers: np.ndarray, rest: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of a text: numbers' ids, and for number 0 the next sizes[i] ids of rest."""
         start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         missing = np.flatnonzero(numbers == 0)
         if len(missing) != len(sizes):
-            raise ValueError("the rows of documents were numbered otherwise when they were read again")
+            raise ValueError("documents gave other texts when they were read again")
         size[missing] = sizes
-        if not len(self.ids):
-            return rest
-        out = self.ids.take(_spread(start, size), mode="clip")
+        out = self.ids.take(_spread(start, size), mode="clip") if len(self.ids) else rest.copy()
         out[_spread((np.cumsum(size) - size)[missing], size[missing])] = rest
+        if self.joined is not None:
+            unknown = out == self.joined
+            out = out[~(unknown & np.concatenate([[False], unknown[:-1]]))]
         return out
 
     def decoded(self, ids: np.ndarray) -> str:
@@ -464,23 +507,9 @@ def _whole(batches, table: Pieces, decode: bool):
             yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], [*kept, "ids", "n_units", *(["decoded"] if decode else [])])
 
 
-def _is_scan(documents: DataFrame) -> bool:
-    """Whether documents is a file table, narrowed to rows or columns at most: Spark reads its rows in the same order each time, whichever columns are wanted."""
-    open_ = [documents._jdf.queryExecution().optimizedPlan()]
-    while open_:
-        node = open_.pop()
-        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation"):
-            return False
-        children = node.children()
-        open_ += [children.apply(i) for i in range(children.size())]
-    return True
-
-
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
-    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. Rows are numbered each time they are read, so documents that don't come straight from a table are written to one first."""
+    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids."""
     spark = documents.sparkSession
-    if not _is_scan(documents):
-        documents = written(documents.select("doc_id", "text"), "pieces-documents")
     cuts = spark.sparkContext.broadcast(Cuts(model))
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
         known = vocabulary(documents, model, cuts)
@@ -490,17 +519,18 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
     table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").combine_chunks()))
     del often
-    row = F.monotonically_increasing_id().alias("row")
-    seldom = documents.select(row, _normal()).mapInArrow(lambda batches: _seldom(batches, cuts.value, names.value), "row bigint, n int, unit string")
+    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
-        others = written(seldom.join(known.where(~chosen).select("unit", "ids"), "unit").select("row", "n", "ids"), "seldom-units", "zstd")
+        numbered = written(rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary, keys array<string>"), "numbered", "zstd")
+    rest = known.where(~chosen).select(_key("unit").alias("key"), "seen", "ids")
+    total = rest.agg(F.sum("seen")).first()[0] or 0
+    seldom = numbered.select("row", F.posexplode("keys").alias("n", "key"))
+    others = written(join_split(seldom, rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
     forget(known)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
-    rows = documents.select(row, "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
-    numbered = rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary")
-    both = numbered.join(gathered, "row", "left")
+    both = numbered.drop("keys").join(gathered, "row", "left")
     return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 
 

@@ -636,7 +636,65 @@ def test_pieces_of_shuffled_documents_are_the_library_s(spark, real, monkeypatch
     model = pieces.load(queries.PIECES)
     monkeypatch.setattr(pieces, "FREQUENT", 3)
     few = real.where("n_chars < 2000")
-    assert pieces._is_scan(few) and not pieces._is_scan(few.repartition(4))
     texts = {r.doc_id: r.text for r in few.collect()}
     got = {r.doc_id: list(r.ids) for r in pieces.encode_documents(few.repartition(4), model).collect()}
     assert got == {i: lib.encode(t or "") for i, t in texts.items()} and len(got) > 50
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+def test_unknown_characters_are_joined_without_byte_pieces(spark, kind, monkeypatch):
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for p, s, t in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("ab", -1.0, 1), ("▁a", -2.0, 1), ("▁", -3.0, 1), ("a", -4.0, 1), ("b", -5.0, 1), ("zq", -6.0, 1)]:
+        m.pieces.add(piece=p, score=s, type=t)
+    m.trainer_spec.model_type = kind
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.normalizer_spec.add_dummy_prefix = True
+    lib = sp.SentencePieceProcessor(model_proto=m.SerializeToString())
+    texts = ["azzb", "zzz", "azéb zz", "zqz", "qzqz ab", "z" * 70 + "a" + "éz" * 40, "zaz az", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (pieces.FREQUENT, 2):
+        monkeypatch.setattr(pieces, "FREQUENT", most)
+        out = pieces.encode_documents(d, pieces.from_proto(m)).collect()
+        assert {r.doc_id: r.ids for r in out} == {i: lib.encode(t) for i, t in enumerate(texts)}
+
+
+def test_no_piece_crosses_units(real, monkeypatch):
+    """Units are a text's own, however texts are batched and read in blocks, and no piece of the model reaches over their ends."""
+    import pyarrow as pa
+
+    model = pieces.load(queries.PIECES)
+    known, longest = {p.replace(pieces.SPACE, " ") for p, _, _ in model.pieces}, model.longest
+    cuts = pieces.Cuts(model)
+    texts = [" " + t for (t,) in real.where("n_chars < 3000").select("text").limit(30).collect() if t] + [" ", "   ", "", "  é🎉漢字 x\n\n", " ---  "]
+    alone = [cuts.units(pa.array([t]))[0].to_pylist() for t in texts]
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    flat, ends = cuts.units(pa.array(["zz", *texts]).slice(1))
+    flat = flat.to_pylist()
+    assert [flat[a:b] for a, b in zip(ends, ends[1:])] == alone
+    for t, units in zip(texts, alone, strict=True):
+        assert "".join(units) == t
+        at = 0
+        for u in units[:-1]:
+            at += len(u)
+            assert not any(t[s:e] in known for s in range(max(0, at - longest), at) for e in range(at + 1, min(len(t), s + longest) + 1))
+    assert sum(map(len, alone)) > len(" ".join(texts).split())
+
+
+def test_long_units_that_many_documents_hold(spark, monkeypatch):
+    import sentencepiece as sp
+
+    from featlens.llm import storage
+
+    lib, model = sp.SentencePieceProcessor(model_file=queries.PIECES), pieces.load(queries.PIECES)
+    monkeypatch.setattr(pieces, "FREQUENT", 3)
+    monkeypatch.setattr(pieces, "COMMON_LONG", 0)
+    monkeypatch.setattr(storage, "SPLIT", 5)
+    rng = np.random.default_rng(1)
+    line = "".join(rng.choice(list("abcdefgh"), 6000))
+    texts = [f"{line} {i} {line[i:]}" for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in pieces.encode_documents(d, model).collect()} == {i: lib.encode(t) for i, t in enumerate(texts)}
