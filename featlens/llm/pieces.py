@@ -16,9 +16,8 @@ A document is then put together from its units. The most frequent units (at
 most FREQUENT, and COMMON_LONG longer ones, whatever the corpus) are known to
 every task by number, so a text becomes a string of short numbers where it
 lies; its other units are joined to their pieces by a shuffle and return to
-their places, by a row number that is written beside them. Texts are cut in Arrow
-batches, once to count units and once to number them. Documents are read for both,
-and must give the same texts each time, in any order. The whole document's ids are decoded again from the pieces' bytes.
+their places. Cutting is cheaper than keeping: texts are cut anew, in Arrow
+batches, to count units, to find the seldom ones and to number the others. The whole document's ids are decoded again from the pieces' bytes.
 Units of more than MAX_FOLD code points, which are too long for the fold's
 64-bit sets, are encoded by the same rules in Python, in Arrow batches.
 
@@ -39,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import forget, join_split, setting, written
+from featlens.llm.storage import forget, join_split, releasing, setting, written
 
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
@@ -436,8 +435,19 @@ def _keys(units: pa.Array) -> pa.Array:
     return pc.replace_with_mask(units, pa.array(mask), digests)
 
 
+def _seldom(batches, cuts: Cuts, names: pa.Array):
+    """(row, text) -> row, n, key: of the units that names lacks, numbered from 0 in each row."""
+    for b in _parts(batches):
+        flat, ends = cuts.units(b.column("text"))
+        missing = pc.is_null(pc.index_in(flat, value_set=names))
+        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
+        text = np.searchsorted(ends[1:], at, "right")
+        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
+        yield pa.record_batch([b.column("row").take(pa.array(text)), pa.array(n.astype(np.int32)), _keys(flat.filter(missing))], ["row", "n", "key"])
+
+
 def _numbered(batches, cuts: Cuts, names: pa.Array):
-    """(text, other columns) -> the others, numbers (bytes: for each unit its place in names and 1, or 0) and keys: of the units that names lacks, in order."""
+    """(text, other columns) -> the others and numbers (bytes: for each unit its place in names and 1, or 0)."""
     for b in _parts(batches):
         others = [c for c in b.schema.names if c != "text"]
         flat, ends = cuts.units(b.column("text"))
@@ -445,9 +455,7 @@ def _numbered(batches, cuts: Cuts, names: pa.Array):
         data, size = _short_numbers(number)
         cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
         numbers = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-        missing = np.flatnonzero(number == 0)
-        keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends).astype(np.int32)), _keys(flat.take(pa.array(missing))))
-        yield pa.record_batch([*[b.column(c) for c in others], numbers, keys], [*others, "numbers", "keys"])
+        yield pa.record_batch([*[b.column(c) for c in others], numbers], [*others, "numbers"])
 
 
 class Pieces:
@@ -469,7 +477,7 @@ class Pieces:
         start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         missing = np.flatnonzero(numbers == 0)
         if len(missing) != len(sizes):
-            raise ValueError("documents gave other texts when they were read again")
+            raise ValueError("the rows of documents were numbered otherwise when they were read again")
         size[missing] = sizes
         out = self.ids.take(_spread(start, size), mode="clip") if len(self.ids) else rest.copy()
         out[_spread((np.cumsum(size) - size)[missing], size[missing])] = rest
@@ -507,30 +515,46 @@ def _whole(batches, table: Pieces, decode: bool):
             yield pa.record_batch([*cols, *([pa.array(texts, pa.string())] if decode else [])], [*kept, "ids", "n_units", *(["decoded"] if decode else [])])
 
 
+def _is_scan(documents: DataFrame) -> bool:
+    """Whether documents is a file table, narrowed to rows or columns at most: Spark reads its rows in the same order each time, whichever columns are wanted."""
+    open_ = [documents._jdf.queryExecution().optimizedPlan()]
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation"):
+            return False
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
-    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids."""
+    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. Rows are numbered each time they are read, so documents that don't come straight from a table are written to one first."""
     spark = documents.sparkSession
+    if not _is_scan(documents):
+        documents = written(documents.select("doc_id", "text"), "pieces-documents")
     cuts = spark.sparkContext.broadcast(Cuts(model))
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
         known = vocabulary(documents, model, cuts)
     chosen = frequent(known)
     # at most FREQUENT + COMMON_LONG rows
-    often = known.where(chosen).orderBy(F.desc("seen"), "unit").select("unit", "ids").toArrow()
+    with releasing(spark):
+        often = known.where(chosen).orderBy(F.desc("seen"), "unit").select("unit", "ids").toArrow()
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
     table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").combine_chunks()))
     del often
-    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
-        numbered = written(rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary, keys array<string>"), "numbered", "zstd")
+    row = F.monotonically_increasing_id().alias("row")
+    seldom = documents.select(row, _normal()).mapInArrow(lambda batches: _seldom(batches, cuts.value, names.value), "row bigint, n int, key string")
     rest = known.where(~chosen).select(_key("unit").alias("key"), "seen", "ids")
     total = rest.agg(F.sum("seen")).first()[0] or 0
-    seldom = numbered.select("row", F.posexplode("keys").alias("n", "key"))
-    others = written(join_split(seldom, rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        others = written(join_split(seldom, rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
     forget(known)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    both = numbered.drop("keys").join(gathered, "row", "left")
+    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
+    rows = documents.select(row, "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
+    numbered = rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary")
+    both = numbered.join(gathered, "row", "left")
     return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 
 
