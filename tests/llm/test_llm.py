@@ -628,6 +628,26 @@ def test_passage_classes(spark, monkeypatch):
     assert passages.classes(docs(spark).where("false")).count() == 0
 
 
+def test_texts_that_share_a_line_do_not_meet_in_blocks(spark, monkeypatch):
+    """Of a hub in blocks only documents whose shingles in other classes can make a passage go on: here the two that share one."""
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    line, p = w("line", 40), w("p", 60)
+    rows = [(i, " ".join(w(f"a{i}_", 60) + line + w(f"b{i}_", 60))) for i in range(30)]
+    rows += [(100 + i, " ".join(w(f"c{i}_", 60) + line + w(f"d{i}_", 30) + p)) for i in range(2)]
+    met, crossing = [], passages._crossing
+
+    def recorded(*args):
+        out = crossing(*args)
+        met.append({r.doc for r in out.select("doc").collect()})
+        return out
+
+    monkeypatch.setattr(passages, "_crossing", recorded)
+    monkeypatch.setattr(passages, "TOGETHER", 5)
+    out = {r.doc_id: r.class_id for r in passages.classes(docs(spark, rows)).collect()}
+    assert out == {i: 100 if i == 101 else i for i, _ in rows}
+    assert len(met) == 1 and met[0] <= {100, 101}
+
+
 def test_pieces_of_shuffled_documents_are_the_library_s(spark, real, monkeypatch):
     """Rows that come in another order each time they are read, most of whose units are seldom."""
     import sentencepiece as sp
