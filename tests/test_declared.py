@@ -141,3 +141,19 @@ def test_options_of_the_command_line():
     assert of("--classifier=NB", "--cls-lambda=2").keywords == {"smoothing": 2.0} and of("--classifier=no") is None
     assert of("--classifier=other", "--cls-regParam=0.1").keywords == {"regParam": 0.1}
     assert experiment.arity_of(declared.parse_header(HEAD)) == {2: 2}
+
+
+def test_equal_rows_are_one_row_of_a_step(spark, monkeypatch):
+    """However often the rows are repeated, a step reads the different ones, and weighs them by their number."""
+    once = [(float(i % 2), [float(i), 1.0]) for i in range(6)]
+    table = once * 20 + once[:2] * 30
+    df = spark.createDataFrame(table, "label double, features array<double>").repartition(3)
+    read, real = [], gradient._batch
+    monkeypatch.setattr(gradient, "_batch", lambda rows, t, o: read.append(rows.count()) or real(rows, t, o))
+    model = gradient.descend(df, "logistic", gradient.Options(iterations=3, reg=0.01))
+    assert read == [6, 6, 6]
+    w, x, y = np.zeros(2), np.array([r[1] for r in table]), np.array([r[0] for r in table])
+    for t in range(1, 4):
+        rate = 1 / np.sqrt(t)
+        w = w * (1 - rate * 0.01) - rate * (gradient.LOSSES["logistic"](x @ w, y)[1] @ x) / len(x)
+    assert np.allclose(model.weights, w)
