@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featlens.llm import mixing, pieces, queries, secretscan, simhash, toxicity
-from featlens.llm.storage import table, written
+from featlens.llm.storage import setting, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,9 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("simhash", near_duplicates), ("secrets", secrets), ("mixing", mixed), ("sentencepiece", encoded)]
 
+#: Documents that pass to Python at once: an executor holds a batch for each of its tasks, twice.
+BATCH = 1000
+
 #: No stage is expressible in SQL: two fit models, one finds components, one iterates, one folds merges.
 ORACLE_SQL = None
 
@@ -45,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,6 +45,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 #: Documents that the fit reads at most, as an expected number; tokens on each side of a secret, and secrets of one document, that it takes; tokens that it is fitted on.
 SAMPLE_DOCS, SLICE, SLICES, FIT_TOKENS = 12_000, 50, 3, 160_000
+#: Bytes of texts that are scanned at once, or one text.
+SLICE_BYTES = 1 << 20
 #: What planted secrets are made of, and the words before them.
 ALPHABETS = (b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 LEADS = (b"", b"Authorization: Bearer ", b"bearer ", b"auth=", b"pwd: ", b"credential ", b"private_key: ", b"signing key ", b"postgres://svc:", b"login ", b"passphrase: ", b"session=", b"key: ")
@@ -233,7 +235,7 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             out = []
-            for lo, hi, buf, offs in text.slices(b.column("text")):
+            for lo, hi, buf, offs in text.slices(b.column("text"), SLICE_BYTES):
                 base, more = base_matches(buf, offs), m.spans(buf, offs)
                 for d in range(hi - lo):
                     spans = base[d] + [(s, 3, e) for s, e in more[d] if not any(s < y and x < e for x, _, y in base[d])]
@@ -258,8 +260,9 @@ def redacted(documents: DataFrame, model: Model, mask: str = "[secret]") -> Data
     def masked(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, _, buf, offs in text.slices(b.column(at)):
+            for lo, hi, buf, offs in text.slices(b.column(at), SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
+                texts = part.column(at).to_pylist()
                 base, more = base_matches(buf, offs), m.spans(buf, offs)
                 for d, (x, y) in enumerate(zip(base, more, strict=True)):
                     spans = sorted([(s, e) for s, _, e in x] + y)
@@ -270,9 +273,9 @@ def redacted(documents: DataFrame, model: Model, mask: str = "[secret]") -> Data
                         if s >= end:
                             out += [doc[end:s], mask.encode()]
                         end = max(end, e)
-                    texts[lo + d] = b"".join([*out, doc[end:]]).decode()
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.record_batch(columns, b.schema.names)
+                    texts[d] = b"".join([*out, doc[end:]]).decode()
+                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.record_batch(columns, b.schema.names)
 
     return documents.mapInArrow(masked, documents.schema)
 

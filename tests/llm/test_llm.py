@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -719,3 +720,19 @@ def test_long_units_that_many_documents_hold(spark, monkeypatch):
     texts = [f"{line} {i} {line[i:]}" for i in range(40)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.ids for r in pieces.encode_documents(d, model).collect()} == {i: lib.encode(t) for i, t in enumerate(texts)}
+
+
+def test_stages_of_the_pipeline_pass_small_batches(spark, monkeypatch):
+    """The texts of a stage reach Python a few at a time, and the session's own setting is back afterwards."""
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def measured(spark, docs, sf_dir):
+        count = lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+        sizes.extend(r.n for r in spark.range(5000, numPartitions=1).mapInArrow(count, "n bigint").collect())
+        return docs
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: spark.range(3))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("measured", measured), ("last", lambda spark, docs, sf_dir: docs)])
+    assert corpus_pipeline.run(spark, "").count() == 3
+    assert sum(sizes) == 5000 and max(sizes) <= corpus_pipeline.BATCH and spark.conf.get(key) == before
