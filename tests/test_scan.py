@@ -159,3 +159,18 @@ def test_parts_that_are_read_twice_are_the_same(spark):
     sums = scan.running(scan.parts(df, ["g"], "v", 100), ["g"], "v", {"n": "upto"})
     assert "percentile_approx" not in sums._jdf.queryExecution().toString()
     assert sums.where("upto <> v + 1").count() == 0
+
+
+def test_few_thresholds_of_sparse_entries_are_compared_not_searched(spark):
+    """And bins are the same, however many thresholds decide how."""
+    values = [-2.0, 0.0, 1.0, 1.5, 2.0, 9.0, math.nan]
+    df = spark.createDataFrame([(i, [(0, v), (1, v), (2, v)]) for i, v in enumerate(values)], "k int, entries array<struct<i: int, v: double>>")
+    few, many = [1.0, 2.0], [float(t) for t in range(20)]
+    short = Thresholds([few, None, []]).transform_sparse(df)
+    long = Thresholds([few, None, many]).transform_sparse(df)
+    assert "sequence" not in short._jdf.queryExecution().toString() and "sequence" in long._jdf.queryExecution().toString()
+    for a, b in zip(short.orderBy("k").collect(), long.orderBy("k").collect(), strict=True):
+        one, other = ({e.i: e.v for e in r.entries if e.i < 2} for r in (a, b))
+        assert str(one) == str(other)
+        v = values[a.k]
+        assert one.get(0, 0.0) == sum(math.isnan(v) or t < v for t in few)
