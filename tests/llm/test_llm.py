@@ -649,6 +649,31 @@ def test_texts_that_share_a_line_do_not_meet_in_blocks(spark, monkeypatch):
     assert len(met) == 1 and met[0] <= {100, 101}
 
 
+def test_only_documents_of_a_hub_move_for_passages(spark, monkeypatch):
+    """A hub in blocks whose documents are one class lists none of their keys, and texts that meet no other stay where they are."""
+    w = lambda s, n: [f"{s}{i}" for i in range(n)]
+    rows = [(i, " ".join(w("p", 80) + w(f"a{i}_", 5))) for i in range(12)] + [(50 + i, " ".join(w(f"s{i}_", 200))) for i in range(9)]
+    seen, moved, write, having = {}, [], passages.written, passages.having
+
+    def recorded(df, name, *more):
+        out = write(df, name, *more)
+        seen[name] = out.count()
+        return out
+
+    def held(df, ids):
+        out = having(df, ids)
+        moved.append({r.doc for r in out.select("doc").collect()})
+        return out
+
+    monkeypatch.setattr(passages, "written", recorded)
+    monkeypatch.setattr(passages, "having", held)
+    monkeypatch.setattr(passages, "TOGETHER", 5)
+    out = {r.doc_id: r.class_id for r in passages.classes(docs(spark, rows)).collect()}
+    assert out == {i: 0 if i < 12 else i for i, _ in rows}
+    assert seen["passage-wide"] == 12 and seen["passage-ways"] == 0
+    assert all(x <= set(range(12)) for x in moved)
+
+
 def test_pieces_of_shuffled_documents_are_the_library_s(spark, real, monkeypatch):
     """Rows that come in another order each time they are read, most of whose units are seldom."""
     import sentencepiece as sp
