@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featlens.llm import minhash, queries
-from featlens.llm.storage import join_split
+from featlens.llm.storage import join_many, join_split
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -143,3 +143,15 @@ def test_split_join_is_a_join(spark):
     got = join_split(many, few, ["k"], "seen", 9000, "id")
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, many.join(few, "k").select("id", "k", "v").collect()))
     assert got.count() == 9000
+
+
+def test_join_many_needs_no_anti_join(spark):
+    """Hot keys are told by a hash; where there are none, one join is all."""
+    many = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("j"))
+    few = many.groupBy("k", "j").agg(F.count("*").alias("seen"), F.min("id").alias("v")).where("k % 5 <> 1")
+    want = sorted(map(tuple, many.join(few, ["k", "j"]).select("id", "k", "j", "v").collect()))
+    for total, joins in ((9000, 2), (1 << 40, 1)):
+        got = join_many(many, few, ["k", "j"], "seen", total)
+        assert sorted(map(tuple, got.select("id", "k", "j", "v").collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and plan.count("Join Inner") == joins
