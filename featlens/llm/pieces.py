@@ -16,8 +16,9 @@ A document is then put together from its units. The most frequent units (at
 most FREQUENT, and COMMON_LONG longer ones, whatever the corpus) are known to
 every task by number, so a text becomes a string of short numbers where it
 lies; its other units are joined to their pieces by a shuffle and return to
-their places. Cutting is cheaper than keeping: texts are cut anew, in Arrow
-batches, to count units, to find the seldom ones and to number the others. The whole document's ids are decoded again from the pieces' bytes.
+their places, by a row number that is written beside both. Texts are cut in Arrow
+batches, once to count units and once to number them. Numbers and seldom units are
+written apart, so that the latter are gone when the numbers are shuffled. The whole document's ids are decoded again from the pieces' bytes.
 Units of more than MAX_FOLD code points, which are too long for the fold's
 64-bit sets, are encoded by the same rules in Python, in Arrow batches.
 
@@ -38,14 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlens.llm.storage import forget, join_split, releasing, setting, written
+from featlens.llm.storage import forget, join_split, releasing, setting, written, written_apart
 
 SPACE = "▁"
 MAX_FOLD, MAX_PIECES = 60, 1 << 20
 #: Units that every task knows: of at most MAX_FOLD code points, and longer ones of at most LONG.
 FREQUENT, COMMON_LONG, LONG = 3 << 18, 1 << 10, 4096
 #: Documents in an Arrow batch; bytes of text whose units are in memory at once (one document at least), and that are cut at once.
-BATCH, AT_ONCE, BLOCK = 2048, 8 << 20, 1 << 20
+BATCH, AT_ONCE, BLOCK = 2048, 8 << 20, 1 << 18
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -196,7 +197,10 @@ def _counts(batches, cuts: Cuts):
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """piece, id, cost = -score, rank: the cost's place among all costs. At most MAX_PIECES rows."""
     place = {c: i for i, c in enumerate(sorted({-s for _, _, s in model.pieces}))}
-    return spark.createDataFrame([(p.replace(SPACE, " "), i, -s, place[-s]) for p, i, s in model.pieces], "piece string, id int, cost double, rank bigint")
+    names, ids, scores = zip(*model.pieces, strict=True) if model.pieces else ((), (), ())
+    columns = [pa.array([p.replace(SPACE, " ") for p in names], pa.string()), pa.array(ids, pa.int32()), pa.array([-s for s in scores], pa.float64()), pa.array([place[-s] for s in scores], pa.int64())]
+    # an Arrow table takes no Python workers on the executors; a list would
+    return spark.createDataFrame(pa.table(columns, ["piece", "id", "cost", "rank"]))
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
@@ -435,27 +439,23 @@ def _keys(units: pa.Array) -> pa.Array:
     return pc.replace_with_mask(units, pa.array(mask), digests)
 
 
-def _seldom(batches, cuts: Cuts, names: pa.Array):
-    """(row, text) -> row, n, key: of the units that names lacks, numbered from 0 in each row."""
-    for b in _parts(batches):
-        flat, ends = cuts.units(b.column("text"))
-        missing = pc.is_null(pc.index_in(flat, value_set=names))
-        at = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
-        text = np.searchsorted(ends[1:], at, "right")
-        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
-        yield pa.record_batch([b.column("row").take(pa.array(text)), pa.array(n.astype(np.int32)), _keys(flat.filter(missing))], ["row", "n", "key"])
-
-
 def _numbered(batches, cuts: Cuts, names: pa.Array):
-    """(text, other columns) -> the others and numbers (bytes: for each unit its place in names and 1, or 0)."""
+    """(row, text, other columns) -> of each text a row of its columns but text and numbers (bytes: for each unit its place in names and 1, or 0); and of each unit that names lacks a row of row, n (numbered from 0 in each text) and key. seldom tells them apart."""
     for b in _parts(batches):
-        others = [c for c in b.schema.names if c != "text"]
         flat, ends = cuts.units(b.column("text"))
         number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() + np.int32(1)
         data, size = _short_numbers(number)
         cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
         numbers = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-        yield pa.record_batch([*[b.column(c) for c in others], numbers], [*others, "numbers"])
+        at = np.flatnonzero(number == 0)
+        text = np.searchsorted(ends[1:], at, "right")
+        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
+        others = [c for c in b.schema.names if c != "text"]
+        names_of = [*others, "numbers", "n", "key", "seldom"]
+        yield pa.record_batch([*[b.column(c) for c in others], numbers, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()), pa.array(np.zeros(len(b), np.int8))], names_of)
+        if len(at):
+            empty = [b.column("row").take(pa.array(text)) if c == "row" else pa.nulls(len(at), b.schema.field(c).type) for c in others]
+            yield pa.record_batch([*empty, pa.nulls(len(at), pa.binary()), pa.array(n.astype(np.int32)), _keys(flat.take(pa.array(at))), pa.array(np.ones(len(at), np.int8))], names_of)
 
 
 class Pieces:
@@ -477,7 +477,7 @@ class Pieces:
         start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         missing = np.flatnonzero(numbers == 0)
         if len(missing) != len(sizes):
-            raise ValueError("the rows of documents were numbered otherwise when they were read again")
+            raise ValueError("documents gave other texts when they were read again")
         size[missing] = sizes
         out = self.ids.take(_spread(start, size), mode="clip") if len(self.ids) else rest.copy()
         out[_spread((np.cumsum(size) - size)[missing], size[missing])] = rest
@@ -528,7 +528,7 @@ def _is_scan(documents: DataFrame) -> bool:
 
 
 def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -> DataFrame:
-    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. Rows are numbered each time they are read, so documents that don't come straight from a table are written to one first."""
+    """documents' doc_id, ids (of the whole text), n_units and, if asked for, decoded: the text of the ids. Documents are read twice, and must give the same texts each time, in any order; those that don't come straight from a table are written to one first."""
     spark = documents.sparkSession
     if not _is_scan(documents):
         documents = written(documents.select("doc_id", "text"), "pieces-documents")
@@ -542,18 +542,18 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
     names = spark.sparkContext.broadcast(often.column("unit").combine_chunks())
     table = spark.sparkContext.broadcast(Pieces(model, often.column("ids").combine_chunks()))
     del often
-    row = F.monotonically_increasing_id().alias("row")
-    seldom = documents.select(row, _normal()).mapInArrow(lambda batches: _seldom(batches, cuts.value, names.value), "row bigint, n int, key string")
+    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+        numbered, seldom = written_apart(rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary, n int, key string, seldom tinyint"), "seldom", "numbered", "zstd")
     rest = known.where(~chosen).select(_key("unit").alias("key"), "seen", "ids")
     total = rest.agg(F.sum("seen")).first()[0] or 0
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
-        others = written(join_split(seldom, rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
-    forget(known)
+    others = written(join_split(seldom.select("row", "n", "key"), rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
+    # what follows shuffles numbers: the keys need not lie beside them
+    forget(known, seldom)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
-    rows = documents.select(row, "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
-    numbered = rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary")
+    numbered = numbered.drop("n", "key")
     both = numbered.join(gathered, "row", "left")
     return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 

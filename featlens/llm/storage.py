@@ -53,6 +53,25 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def written_apart(df: DataFrame, kind: str, name: str, compression: str = "snappy") -> tuple[DataFrame, DataFrame]:
+    """Two tables as written() makes them, in one pass over df: its rows whose kind is 0, and those whose kind is 1, without that column."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with releasing(df.sparkSession):
+        df.write.partitionBy(kind).parquet(path, compression=compression)
+    return _part(df, kind, path, 0), _part(df, kind, path, 1)
+
+
+def _part(df: DataFrame, kind: str, path: str, value: int) -> DataFrame:
+    spark, schema = df.sparkSession, df.drop(kind).schema
+    folder = f"{path}/{kind}={value}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    # no row, no folder
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    out = spark.read.schema(schema).parquet(folder)
+    out._written_to = folder
+    return out
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """name, made longer until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from featlens.llm import chain, licenses, mixing, passages, pieces, quality, queries, secretscan, simhash, text, toxicity, warc, weighted
+from featlens.llm import chain, licenses, mixing, passages, pieces, quality, queries, secretscan, simhash, storage, text, toxicity, warc, weighted
 from featlens.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -761,3 +761,29 @@ def test_stages_of_the_pipeline_pass_small_batches(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("measured", measured), ("last", lambda spark, docs, sf_dir: docs)])
     assert corpus_pipeline.run(spark, "").count() == 3
     assert sum(sizes) == 5000 and max(sizes) <= corpus_pipeline.BATCH and spark.conf.get(key) == before
+
+
+def test_texts_are_cut_once_to_count_and_once_to_number(spark, real):
+    plan = pieces.encode_documents(real, pieces.load(queries.PIECES))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_written_apart(spark):
+    rows = spark.range(10).selectExpr("id", "cast(id % 2 as tinyint) AS kind")
+    even, odd = storage.written_apart(rows, "kind", "apart")
+    assert sorted(r.id for r in even.collect()) == [0, 2, 4, 6, 8] and sorted(r.id for r in odd.collect()) == [1, 3, 5, 7, 9] and odd.columns == ["id"]
+    storage.forget(odd)
+    assert even.count() == 5
+    assert storage.written_apart(rows.where("kind = 0"), "kind", "apart")[1].count() == 0
+
+
+def test_cutting_takes_little_memory():
+    import tracemalloc
+
+    cuts = pieces.Cuts(pieces.load(queries.PIECES))
+    texts = pa.array(["a few words of a text, 123 " * 40_000] * 4)
+    tracemalloc.start()
+    cuts.units(texts)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 25
