@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, total: float
 
 
 def _frame(spark, stats: pd.DataFrame) -> DataFrame:
-    return spark.createDataFrame(stats, "source string, source_size bigint, target double, mean double, l double")
+    # an Arrow table takes no Python workers on the executors; a pandas one would
+    kinds = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "mean": pa.float64(), "l": pa.float64()}
+    return spark.createDataFrame(pa.table({c: pa.array(stats[c].to_list(), t) for c, t in kinds.items()}))
 
 
 def multipliers(histogram: DataFrame, stats: pd.DataFrame, cap: float) -> pd.DataFrame:

@@ -787,3 +787,12 @@ def test_cutting_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert most < 25
+
+
+def test_small_tables_take_no_python_workers(spark):
+    import pandas as pd
+
+    stats = pd.DataFrame({"source": ["a", None], "source_size": [1, 2], "target": [1.0, 2.0], "mean": [1.0, 1.0], "l": [0.0, float("inf")]})
+    for made in (mixing._frame(spark, stats), pieces.piece_table(spark, pieces.load(queries.PIECES))):
+        assert "LocalTableScan" in made._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in mixing._frame(spark, stats).collect()] == [("a", 1, 1.0, 1.0, 0.0), (None, 2, 2.0, 1.0, float("inf"))]
