@@ -9,8 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from featlens import ml
-from featlens.operators import evaluate, mdlp
-from featlens.operators.bins import ONE_BIN
+from featlens.operators import evaluate, mdlp, select
+from featlens.operators.bins import ONE_BIN, Thresholds
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,22 @@ def test_nominal_features_are_split_by_subsets(spark, name):
         return evaluate.accuracy(predict(df.where("held"))).first().accuracy
 
     assert accuracy() < 0.75 and accuracy(arity={0: 16}) == 1.0
+
+
+def test_a_fit_looks_for_labels_once(spark, monkeypatch):
+    """What a fit reads is not made again for every reading: labels' codes are a table, and so are the selector's bins."""
+    rows = spark.createDataFrame([(i % 3, [float(i % 3), float(i % 7)]) for i in range(200)], "label int, features array<double>")
+    seen = []
+    labelled, check = ml._Columns._labelled, select.check_bins
+    monkeypatch.setattr(ml._Columns, "_labelled", lambda self, *a: seen.append(labelled(self, *a)) or seen[-1])
+    monkeypatch.setattr(select, "check_bins", lambda df, *a: seen.append(df) or check(df, *a))
+    ml.FeatureSelector(featuresCol="features", numTopFeatures=1, criterion="mim").fit(rows)
+    codes, bins = (df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+    assert "Window" not in codes and "Join" not in bins
+
+
+def test_few_thresholds_are_compared_in_generated_code(spark):
+    rows = spark.createDataFrame([(i, [v]) for i, v in enumerate([None, float("nan"), -1.0, 1.0, 1.5, 2.0, 9.0])], "id int, features array<double>")
+    out = Thresholds([[1.0, 2.0]]).transform(rows)
+    assert [r.bins[0] for r in out.orderBy("id").collect()] == [None, None, 0.0, 0.0, 1.0, 1.0, 2.0]
+    assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString()
