@@ -7,8 +7,9 @@ equi-joined to the piece table, the edges are grouped by unit, and a Spark
 higher-order aggregate folds them. For unigram models the fold is Viterbi over
 the pieces' scores. For BPE models Viterbi over scores gives other pieces than
 SentencePiece does, because its scores are merge ranks: there the fold runs the
-merges on the same edges, at each step the best-scored edge that spans exactly
-two of the pieces so far, leftmost first. Characters that are no piece become
+merges on the same edges, always the best-scored edge that spans exactly
+two of the pieces so far, leftmost first. Where all edges are of pieces that two parts
+of better scores make, that is one pass over the edges in order. Characters that are no piece become
 byte pieces, or where the model has none the unknown piece, one for a run of
 them.
 
@@ -195,16 +196,33 @@ def _counts(batches, cuts: Cuts):
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece, id, cost = -score, rank: the cost's place among all costs. At most MAX_PIECES rows."""
+    """piece, id, cost = -score, rank: the cost's place among all costs, late: as late() has it for BPE models. At most MAX_PIECES rows."""
     place = {c: i for i, c in enumerate(sorted({-s for _, _, s in model.pieces}))}
     names, ids, scores = zip(*model.pieces, strict=True) if model.pieces else ((), (), ())
-    columns = [pa.array([p.replace(SPACE, " ") for p in names], pa.string()), pa.array(ids, pa.int32()), pa.array([-s for s in scores], pa.float64()), pa.array([place[-s] for s in scores], pa.int64())]
+    behind = late(model) if model.kind == BPE else set()
+    columns = [pa.array([p.replace(SPACE, " ") for p in names], pa.string()), pa.array(ids, pa.int32()), pa.array([-s for s in scores], pa.float64()), pa.array([place[-s] for s in scores], pa.int64()), pa.array([p in behind for p in names], pa.bool_())]
     # an Arrow table takes no Python workers on the executors; a list would
-    return spark.createDataFrame(pa.table(columns, ["piece", "id", "cost", "rank"]))
+    return spark.createDataFrame(pa.table(columns, ["piece", "id", "cost", "rank", "late"]))
+
+
+def late(model: Model) -> set[str]:
+    """The pieces of a BPE model that may be merged after others of a higher rank: those whose own characters the merges of lower ranks don't leave as two parts."""
+    table = {p: s for p, _, s in model.pieces}
+    out = set()
+    for piece, score in table.items():
+        ends = list(range(len(piece) + 1))
+        while True:
+            steps = [(-s, i) for i in range(len(ends) - 2) if (s := table.get(piece[ends[i] : ends[i + 2]])) is not None and s > score]
+            if not steps:
+                break
+            del ends[min(steps)[1] + 1]
+        if len(ends) > 3:
+            out.add(piece)
+    return out
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct (unit, seen) -> unit, seen, edges: array of (s, e, id, outer, inner, and for unigram models cost), by cost, then s; gap: whether a character is no piece. outer and inner are the bits of an edge's ends and of the boundaries it spans."""
+    """distinct (unit, seen) -> unit, seen, edges: array of edges as _edge() packs them (for unigram models of structs edge, cost), in order; odd: GAP if a character is no piece, LATE if an edge is late."""
     n = F.char_length("unit")
     # dealt by unit once: neither the explodes nor the broadcast join move rows, so the grouping needs no further shuffle;
     # in order before the rows are many, so that the grouping's sort finds them sorted;
@@ -214,23 +232,36 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     spans = starts.select("unit", "seen", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
     spans = spans.select("unit", "seen", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     edges = spans.join(F.broadcast(piece_table(distinct.sparkSession, model)), "piece", "left").where((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
-    # an edge travels as one number, rank, s, e and id beside each other, which sorts as they do
-    place = [F.call_function("shiftleft", F.col(c).cast("bigint"), F.lit(by)) for c, by in (("rank", 32), ("s", 26), ("e", 20), ("id", 0))]
-    packed = place[0] + place[1] + place[2] + place[3]
-    costly = model.kind == UNIGRAM
-    edge = F.when(F.col("id").isNotNull(), F.struct(packed.alias("edge"), "cost") if costly else packed)
-    grouped = edges.groupBy("unit").agg(F.any_value("seen").alias("seen"), F.sort_array(F.collect_list(edge)).alias("edges"), F.max(F.col("id").isNull()).alias("gap"))
+    packed = _edge(F.col("rank"), F.col("s"), F.col("e"), F.col("id"))
+    edge = F.when(F.col("id").isNotNull(), F.struct(packed.alias("edge"), "cost") if model.kind == UNIGRAM else packed)
+    odd = F.when(F.col("id").isNull(), GAP).when(F.col("late"), LATE).otherwise(0)
+    return edges.groupBy("unit").agg(F.any_value("seen").alias("seen"), F.sort_array(F.collect_list(edge)).alias("edges"), F.bit_or(odd).alias("odd"))
+
+
+#: What a unit has.
+GAP, LATE = 1, 2
+
+
+def _edge(rank: F.Column, s: F.Column, e: F.Column, piece: F.Column) -> F.Column:
+    """An edge as one number, which sorts as its rank, s, e and id do."""
+    place = [F.call_function("shiftleft", c.cast("bigint"), F.lit(by)) for c, by in ((rank, 32), (s, 26), (e, 20), (piece, 0))]
+    return place[0] + place[1] + place[2] + place[3]
+
+
+def _field(x: F.Column, by: int, bits: int) -> F.Column:
+    return F.call_function("shiftright", x, F.lit(by)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
 
-    def field(x, by, bits):
-        return F.call_function("shiftright", x, F.lit(by)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+def _start(x: F.Column) -> F.Column:
+    return _field(x, 26, 6)
 
-    def unpacked(item):
-        x = item["edge"] if costly else item
-        s, e = field(x, 26, 6), field(x, 20, 6)
-        parts = [s.alias("s"), e.alias("e"), field(x, 0, 20).alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("outer"), (_bit(e) - _bit(s + 1)).alias("inner")]
-        return F.struct(*parts, *([item["cost"].alias("cost")] if costly else []))
 
-    return grouped.withColumn("edges", F.transform("edges", unpacked))
+def _end(x: F.Column) -> F.Column:
+    return _field(x, 20, 6)
+
+
+def _odd(what: int) -> F.Column:
+    return F.col("odd").bitwiseAND(F.lit(what)) != 0
 
 
 def _bit(i) -> F.Column:
@@ -246,7 +277,27 @@ def _bytes(model: Model, char: F.Column) -> F.Column:
 
 
 def _merged(model: Model) -> F.Column:
-    """BPE: the set of boundaries that is left, as bits, folded over merges. An edge leaves the state when one of its ends is merged away, or all that it spans."""
+    """BPE: the set of boundaries that is left, as bits.
+
+    Merges come in the order of their edges, so one fold over the edges makes
+    them: when an edge's turn has come, it spans two of the pieces so far, or it
+    never will. Only units with a late edge are folded merge by merge.
+    """
+    return F.when(_odd(LATE), _merged_in_steps()).otherwise(_merged_in_order())
+
+
+def _merged_in_order() -> F.Column:
+    def step(cuts, x):
+        s, e = _bit(_start(x)), _bit(_end(x))
+        # the boundaries from s to before e: s, and one within
+        two = (F.bit_count(cuts.bitwiseAND(e - s)) == 2) & (cuts.bitwiseAND(s) != 0) & (cuts.bitwiseAND(e) != 0)
+        return F.when(two, cuts.bitwiseAND(F.bitwise_not(e - s)).bitwiseOR(s)).otherwise(cuts)
+
+    return F.aggregate("edges", _bit(F.char_length("unit") + 1) - F.lit(1), step)
+
+
+def _merged_in_steps() -> F.Column:
+    """Folded over merges. An edge leaves the state when one of its ends is merged away, or all that it spans."""
     n = F.char_length("unit")
 
     def within(x, cuts):
@@ -258,16 +309,16 @@ def _merged(model: Model) -> F.Column:
         left = F.filter(wide, lambda x: within(x, cuts) & (cuts.bitwiseAND(x["inner"]) != 0))
         return F.struct(cuts.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint")))).alias("cuts"), left.alias("wide"))
 
-    wide = F.transform(F.filter("edges", lambda x: x["inner"] != 0), lambda x: F.struct(x["outer"].alias("outer"), x["inner"].alias("inner")))
+    wide = F.filter(F.transform("edges", lambda x: F.struct(_bit(_start(x)).bitwiseOR(_bit(_end(x))).alias("outer"), (_bit(_end(x)) - _bit(_start(x) + 1)).alias("inner"))), lambda x: x["inner"] != 0)
     whole = (_bit(n + 1) - F.lit(1)).alias("cuts")
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.struct(whole, wide.alias("wide")), step, lambda s: s["cuts"])
 
 
 def _viterbi(model: Model) -> F.Column:
-    """Unigram: the boundaries of the best path, as bits. The state holds for each end the best score and the start of its last piece."""
+    """Unigram: the boundaries of the best path over column known (s, e, cost), as bits. The state holds for each end the best score and the start of its last piece."""
     n = F.char_length("unit")
     unknown = F.lit(min((s for _, _, s in model.pieces), default=0.0) - UNKNOWN_PENALTY)
-    known = F.col("edges")
+    known = F.col("known")
 
     def at_end(state, e):
         steps = F.transform(F.filter(known, lambda x: x["e"] == e), lambda x: F.struct((F.get(state, x["s"])["score"] - x["cost"]).alias("score"), x["s"].alias("s")))
@@ -283,16 +334,21 @@ def _viterbi(model: Model) -> F.Column:
 def _ids(model: Model) -> F.Column:
     """Piece ids from the boundaries in column cuts."""
     n = F.char_length("unit")
+    edges = F.col("edges.edge") if model.kind == UNIGRAM else F.col("edges")
     ends = F.filter(F.sequence(F.lit(0), n), lambda i: F.col("cuts").bitwiseAND(_bit(i)) != 0)
     tokens = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
     def of(t):
-        found = F.get(F.filter("edges", lambda x: (x["s"] == t["s"]) & (x["e"] == t["e"])), F.lit(0))["id"]
+        found = _field(F.get(F.filter(edges, lambda x: (_start(x) == t["s"]) & (_end(x) == t["e"])), F.lit(0)), 0, 20)
         return F.when(found.isNotNull(), F.array(found)).otherwise(_bytes(model, F.substring(F.col("unit"), t["s"] + 1, F.lit(1))))
 
-    taken = F.filter("edges", lambda x: (F.col("cuts").bitwiseAND(x["outer"]) == x["outer"]) & (F.col("cuts").bitwiseAND(x["inner"]) == 0))
-    known = F.sort_array(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))["id"]
-    return F.when(F.col("gap"), F.flatten(F.transform(tokens, of))).otherwise(known)
+    def taken(x):
+        s, e = _bit(_start(x)), _bit(_end(x))
+        return (F.col("cuts").bitwiseAND(e - s) == s) & (F.col("cuts").bitwiseAND(e) != 0)
+
+    # without their ranks edges sort by their places
+    placed = F.sort_array(F.transform(F.filter(edges, taken), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
+    return F.when(_odd(GAP), F.flatten(F.transform(tokens, of))).otherwise(F.transform(placed, lambda x: _field(x, 0, 20)))
 
 
 def encode_long(model: Model, unit: str, table: dict[str, tuple[int, float]]) -> list[int]:
@@ -347,8 +403,11 @@ def encode_long(model: Model, unit: str, table: dict[str, tuple[int, float]]) ->
 def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
     """distinct (unit, seen, further columns), each unit once -> unit, seen, ids; dealt by unit."""
     short = distinct.where(F.char_length("unit") <= MAX_FOLD)
+    found = lattice(short, model)
+    if model.kind == UNIGRAM:
+        found = found.withColumn("known", F.transform("edges", lambda x: F.struct(_start(x["edge"]).alias("s"), _end(x["edge"]).alias("e"), x["cost"].alias("cost"))))
     fold = _merged(model) if model.kind == BPE else _viterbi(model)
-    return lattice(short, model).withColumn("cuts", fold).select("unit", "seen", _ids(model).alias("ids"))
+    return found.withColumn("cuts", fold).select("unit", "seen", _ids(model).alias("ids"))
 
 
 def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:

@@ -796,3 +796,28 @@ def test_small_tables_take_no_python_workers(spark):
     for made in (mixing._frame(spark, stats), pieces.piece_table(spark, pieces.load(queries.PIECES))):
         assert "LocalTableScan" in made._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in mixing._frame(spark, stats).collect()] == [("a", 1, 1.0, 1.0, 0.0), (None, 2, 2.0, 1.0, float("inf"))]
+
+
+def test_merges_in_one_pass_are_the_librarys(spark):
+    """Of models whose pieces are late, and of those whose pieces aren't."""
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    real = pieces.late(pieces.load(queries.PIECES))
+    assert real and all(not p.strip(pieces.SPACE) for p in real)
+    rng = np.random.default_rng(5)
+    for seed in range(3):
+        names = ["ab", "bc", "abc", "ca", "cab", "bca", "abca", "bb", "abb", "bbc", "aa", "caa"]
+        order = names if seed == 0 else rng.permutation(names).tolist()
+        m = pb.ModelProto()
+        for p, s, t in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(p, -1.0 - i, 1) for i, p in enumerate([*order, "a", "b", "c", "▁"])]]:
+            m.pieces.add(piece=p, score=s, type=t)
+        m.trainer_spec.model_type = 2
+        m.normalizer_spec.name = "identity"
+        m.normalizer_spec.remove_extra_whitespaces = False
+        m.normalizer_spec.add_dummy_prefix = True
+        lib, model = sp.SentencePieceProcessor(model_proto=m.SerializeToString()), pieces.from_proto(m)
+        assert seed == 0 or pieces.late(model)
+        texts = ["".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 30, 200)]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.ids for r in pieces.encode_documents(d, model).collect()} == {i: lib.encode(t) for i, t in enumerate(texts)}
