@@ -499,7 +499,7 @@ def _keys(units: pa.Array) -> pa.Array:
 
 
 def _numbered(batches, cuts: Cuts, names: pa.Array):
-    """(row, text, other columns) -> of each text a row of its columns but text and numbers (bytes: for each unit its place in names and 1, or 0); and of each unit that names lacks a row of row, n (numbered from 0 in each text) and key. seldom tells them apart."""
+    """(row, text, other columns) -> of each text a row of its columns but text and numbers (bytes: for each unit its place in names and 1, or 0); and of each text with units that names lacks a row of row and their keys, in the text's order. seldom tells them apart."""
     for b in _parts(batches):
         flat, ends = cuts.units(b.column("text"))
         number = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() + np.int32(1)
@@ -507,14 +507,15 @@ def _numbered(batches, cuts: Cuts, names: pa.Array):
         cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
         numbers = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
         at = np.flatnonzero(number == 0)
-        text = np.searchsorted(ends[1:], at, "right")
-        n = np.arange(len(at)) - np.searchsorted(at, ends[:-1])[text]
+        borders = np.searchsorted(at, ends)
+        text = np.flatnonzero(np.diff(borders))
         others = [c for c in b.schema.names if c != "text"]
-        names_of = [*others, "numbers", "n", "key", "seldom"]
-        yield pa.record_batch([*[b.column(c) for c in others], numbers, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()), pa.array(np.zeros(len(b), np.int8))], names_of)
-        if len(at):
-            empty = [b.column("row").take(pa.array(text)) if c == "row" else pa.nulls(len(at), b.schema.field(c).type) for c in others]
-            yield pa.record_batch([*empty, pa.nulls(len(at), pa.binary()), pa.array(n.astype(np.int32)), _keys(flat.take(pa.array(at))), pa.array(np.ones(len(at), np.int8))], names_of)
+        names_of = [*others, "numbers", "keys", "seldom"]
+        yield pa.record_batch([*[b.column(c) for c in others], numbers, pa.nulls(len(b), pa.list_(pa.string())), pa.array(np.zeros(len(b), np.int8))], names_of)
+        if len(text):
+            empty = [b.column("row").take(pa.array(text)) if c == "row" else pa.nulls(len(text), b.schema.field(c).type) for c in others]
+            keys = pa.ListArray.from_arrays(pa.array(borders[[*text, -1]].astype(np.int32)), _keys(flat.take(pa.array(at))))
+            yield pa.record_batch([*empty, pa.nulls(len(text), pa.binary()), keys, pa.array(np.ones(len(text), np.int8))], names_of)
 
 
 class Pieces:
@@ -604,15 +605,15 @@ def encode_documents(documents: DataFrame, model: Model, decode: bool = False) -
     kinds = f"row bigint, doc_id {documents.schema['doc_id'].dataType.simpleString()}{', text_md5 binary' if decode else ''}"
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *([F.unhex(F.md5("text")).alias("text_md5")] if decode else []), _normal())
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
-        numbered, seldom = written_apart(rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary, n int, key string, seldom tinyint"), "seldom", "numbered", "zstd")
+        numbered, seldom = written_apart(rows.mapInArrow(lambda batches: _numbered(batches, cuts.value, names.value), f"{kinds}, numbers binary, keys array<string>, seldom tinyint"), "seldom", "numbered", "zstd")
     rest = known.where(~chosen).select(_key("unit").alias("key"), "seen", "ids")
     total = rest.agg(F.sum("seen")).first()[0] or 0
-    others = written(join_split(seldom.select("row", "n", "key"), rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
+    others = written(join_split(seldom.select("row", F.posexplode("keys").alias("n", "key")), rest, ["key"], "seen", total, "row").select("row", "n", "ids"), "seldom-units", "zstd")
     # what follows shuffles numbers: the keys need not lie beside them
     forget(known, seldom)
     gathered = others.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("x"))
     gathered = gathered.select("row", F.flatten("x.ids").alias("rest"), F.transform("x", lambda v: F.size(v["ids"])).alias("sizes"))
-    numbered = numbered.drop("n", "key")
+    numbered = numbered.drop("keys")
     both = numbered.join(gathered, "row", "left")
     return both.mapInArrow(lambda batches: _whole(batches, table.value, decode), f"{kinds}, ids array<int>, n_units int{', decoded string' if decode else ''}").drop("row")
 

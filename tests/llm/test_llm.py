@@ -798,6 +798,18 @@ def test_small_tables_take_no_python_workers(spark):
     assert [tuple(r) for r in mixing._frame(spark, stats).collect()] == [("a", 1, 1.0, 1.0, 0.0), (None, 2, 2.0, 1.0, float("inf"))]
 
 
+def test_a_text_makes_two_rows_at_most_however_many_of_its_units_are_seldom():
+    cuts = pieces.Cuts(pieces.load(queries.PIECES))
+    texts = [" one two three", "", " two", "", " " + "x1" * 80 + " four", " one"]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], ["row", "text"])
+    numbers, seldom = pieces._numbered([batch], cuts, pa.array([" one", " two"]))
+    assert numbers.column("row").to_pylist() == [*range(6)] and numbers.column("keys").null_count == 6
+    keys = dict(zip(seldom.column("row").to_pylist(), seldom.column("keys").to_pylist(), strict=True))
+    assert set(keys) == {0, 4} and keys[0] == [" three"] and keys[4][-1] == " four"
+    for row, n in zip(range(6), numbers.column("numbers").to_pylist(), strict=True):
+        assert (pieces._numbers(np.frombuffer(n, np.uint8)) == 0).sum() == len(keys.get(row, []))
+
+
 def test_merges_in_one_pass_are_the_librarys(spark):
     """Of models whose pieces are late, and of those whose pieces aren't."""
     import sentencepiece as sp
